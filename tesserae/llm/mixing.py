@@ -139,8 +139,10 @@ def _shard_of(quota: DataFrame, mix: Mix) -> DataFrame:
         rest = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["q"])
         zero = F.struct(n.alias("n"), rest.alias("rest"), F.array().cast("array<bigint>").alias("left"))
 
-        def step(a: Column, x: Column, level: int = level) -> Column:
-            u = (F.xxhash64(F.lit(mix.seed + 1), F.lit(level), F.col("lo"), x["skey"]).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
+        salt = F.lit(level)
+
+        def step(a: Column, x: Column) -> Column:
+            u = (F.xxhash64(F.lit(mix.seed + 1), salt, F.col("lo"), x["skey"]).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
             took = F.when(F.col("hi") - F.col("lo") < 2, x["q"]).otherwise(draw_column(x["q"], a["rest"] - x["q"], a["n"], u))
             # the draw stands in a one-element array so that it is made once
             return F.element_at(F.transform(F.array(took), lambda t: F.struct((a["n"] - t).alias("n"), (a["rest"] - x["q"]).alias("rest"), F.concat(a["left"], F.array(t)).alias("left"))), 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, pfor, quality, sharding
+from . import bpe, jaccard, katz, mixing, pfor, quality, sharding
 from .common import read, shared_dir
 
 #: Where the vocabulary files of public tokenizers lie; None: the installed package's own folder.
@@ -58,6 +58,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a model of four fifths of them."""
+    return katz.score(read(spark, sf_dir, "documents"))
+
+
 def op8_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality.assess(read(spark, sf_dir, "documents"))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_katz_scores": op7_katz_scores,
     "op8_adaptive_quality": op8_adaptive_quality,
     "op9_mixture": op9_mixture,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, katz, mixing, pfor, quality, sharding
+from . import bpe, jaccard, katz, mixing, neighbours, pfor, quality, sharding
 from .common import read, shared_dir
 
 #: Where the vocabulary files of public tokenizers lie; None: the installed package's own folder.
@@ -73,6 +73,11 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.assign(read(spark, sf_dir, "documents"))
 
 
+def op10_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of all other vectors for every vector whose id is divisible by 50."""
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfor_blocks": op1_pfor_blocks,
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_katz_scores": op7_katz_scores,
     "op8_adaptive_quality": op8_adaptive_quality,
     "op9_mixture": op9_mixture,
+    "op10_projected_neighbours": op10_projected_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {}

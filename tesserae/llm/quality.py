@@ -61,8 +61,8 @@ def _measures(df: DataFrame, text_col: str, p: str) -> DataFrame:
     starts = F.sort_array(F.transform(twice, lambda e: e["i"]))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     covered = F.aggregate(starts, zero, lambda a, i: F.struct((a["n"] + i + 3 - F.greatest(i, a["end"])).alias("n"), (i + 3).alias("end")), lambda a: a["n"])
-    df = df.select("*", F.coalesce(covered, F.lit(0).cast("long")).alias(p + "n_repeat_words")).drop(p + "s")
-    return df
+    # the row number keeps filters above from being merged into these expressions, which would repeat them
+    return df.select("*", F.coalesce(covered, F.lit(0).cast("long")).alias(p + "n_repeat_words"), F.monotonically_increasing_id().alias(p + "row")).drop(p + "s")
 
 
 def _features(p: str) -> dict[str, Column]:
@@ -87,7 +87,7 @@ def sketch(measured: DataFrame, rules: Rules, *, p: str = "", lang_col: str = "l
     bucket counts, whose number does not depend on the number of documents."""
     lang, source = _group(F.col(lang_col), F.col(source_col))
     features = F.array(*(F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in _features(p).items()))
-    rows = measured.where(~_base_failed(p, rules)).select(lang.alias("lang"), source.alias("source"), F.explode(features).alias("f"))
+    rows = measured.where(~_base_failed(p, rules) & (F.col(p + "row") >= 0)).select(lang.alias("lang"), source.alias("source"), F.explode(features).alias("f"))
     bucket = F.when(F.col("f.value") < rules.least, F.lit(0)).otherwise(F.ceil(F.log(F.col("f.value") / rules.least) / F.log(F.lit(rules.ratio))).cast("int") + 1)
     return rows.groupBy("lang", "source", F.col("f.feature").alias("feature"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -144,7 +144,7 @@ def assess(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     measured = stored(_measures(rows, "text", "").drop("text"), "quality")
     limits = thresholds(sketch(measured, rules), rules)
-    return judged(measured, limits, rules).drop("upper", "n_lines")
+    return judged(measured, limits, rules).drop("upper", "n_lines", "row")
 
 
 def keep(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rules: Rules = Rules()) -> DataFrame:
@@ -153,4 +153,4 @@ def keep(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sourc
     narrow = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     sketches = stored(sketch(_measures(narrow, "text", ""), rules), "sketch")
     x = judged(_measures(df, text_col, p), thresholds(sketches, rules), rules, p=p, lang_col=lang_col, source_col=source_col)
-    return x.where(F.col(p + "kept")).select(*df.columns)
+    return x.where(F.col(p + "kept") & (F.col(p + "row") >= 0)).select(*df.columns)

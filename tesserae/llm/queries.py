@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, katz, mixing, neighbours, pfor, quality, sharding
+from . import bpe, jaccard, katz, mixing, neighbours, pfor, pii, quality, sharding
 from .common import read, shared_dir
 
 #: Where the vocabulary files of public tokenizers lie; None: the installed package's own folder.
@@ -53,6 +53,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_bpe(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op5_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by 3-word shingles at a similarity of 0.9."""
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"), words=3, num=90, den=100)
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfor_blocks": op1_pfor_blocks,
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_boosted_pii": op5_boosted_pii,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_katz_scores": op7_katz_scores,
     "op8_adaptive_quality": op8_adaptive_quality,

@@ -10,7 +10,12 @@ from tesserae.llm import stages
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", stages.quality_rules),
+    ("near_duplicates", stages.near_duplicates),
+    ("personal_data", stages.personal_data),
+    ("mixture", stages.mixture),
+    ("tokens", stages.tokens),
 ]
+#: None: the stages' near duplicates, trees and tokens cannot be expressed in SQL; tests hold them against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -14,6 +14,7 @@ starts (uint64 each), document ids (int64 each), null flags of the ids (uint8 ea
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -220,51 +221,52 @@ class WordEncoder:
     """Encodes whole texts with the tokenizers library, word by word with a cache.
 
     The tokenizer drops white space before it splits, so a text's ids are those of its pieces between spaces or
-    line feeds, in order. Pieces not seen lately are encoded together, with a mark between them whose id no piece
-    without that mark can have; pieces with it, or with a special token's bracket, are encoded alone.
+    line feeds, in order. A new piece of visible ASCII and Latin letters, whose normal form is its lower case, is
+    split as the tokenizer's pattern does and its parts, most of them known, go to the tokenizer's model; any other
+    new piece goes through the whole tokenizer.
     """
 
-    MARK = "\x01"
+    PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str, size: int = 250_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.memo = Tokenizer.from_file(path), Memo(size)
-        (self.mark,) = self.ids(self.MARK)
-
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def learn(self, words: list[str]) -> None:
-        memo, mark = self.memo, self.MARK
-        alone = [w for w in words if mark in w or "<|" in w]
-        memo.update((w, np.array(self.ids(w), "<u4").tobytes()) for w in alone)
-        words = [w for w in words if not (mark in w or "<|" in w)] if alone else words
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            (made,) = self.tokenizer.encode_batch_fast([f" {mark} ".join(part)], add_special_tokens=False)
-            ids = np.array(made.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            memo.update(zip(part, (data[a:b] for a, b in zip([0, *(4 * cuts + 4).tolist()], ends))))
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.memo, self.parts = Tokenizer.from_file(path), Memo(size), Memo(size)
+        self.model = self.tokenizer.model
+        visible = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.visible = {i: visible.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x100)}
+
+    def part(self, part: str) -> bytes:
+        try:
+            return self.parts[part]
+        except KeyError:
+            seen = part if part.isascii() else part.translate(self.visible)
+            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
+            return ids
+
+    def learn(self, word: str) -> bytes:
+        if self.PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.part, self.PARTS.findall(word.lower())))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
+        memo, out = self.memo, []
         memo.room()
-        split, old, new = [t.replace("\n", " ").split(" ") for t in texts], memo.old, {}
-        out: list[bytes | None] = []
-        for words in split:
+        self.parts.room()
+        old = memo.old
+        for text in texts:
+            words = text.replace("\n", " ").split(" ")
             try:
                 out.append(b"".join(map(memo.__getitem__, words)))
             except KeyError:
-                out.append(None)
-                new.update((w, None) for w in words if w not in memo and w not in old)
-        if new:
-            self.learn(list(new))
-            out = [b"".join(map(memo.__getitem__, words)) if x is None else x for x, words in zip(out, split)]
+                for w in words:
+                    if w not in memo and w not in old:
+                        memo[w] = self.learn(w)
+                out.append(b"".join(map(memo.__getitem__, words)))
         return out
 
 

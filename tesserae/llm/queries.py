@@ -70,7 +70,8 @@ def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
-    return quality.assess(read(spark, sf_dir, "documents"))
+    made = quality.assess(read(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +96,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_projected_neighbours": op10_projected_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+_BLANK = "regexp_replace({0}, '[\\x20\\x09-\\x0D]+', '', 'g')"
+_OP6 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM x a JOIN x b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 90 * (na + nb - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS o FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.o = e.a)
+SELECT r.doc_id, any_value(len(s.s))::BIGINT AS n_shingles, min(o) AS component_id FROM r JOIN s ON s.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+
+def _op8() -> str:
+    rules = quality.Rules()
+    slack = " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.slack)
+    bounds = lambda keys, s: f"""bd{s} AS (SELECT {keys} f, min(CASE WHEN below >= 0.5 * total THEN v END) AS mid, min(CASE WHEN below >= 0.75 * total THEN v END) AS high, max(total) AS total FROM (
+  SELECT {keys} f, bucket, CASE WHEN bucket = 0 THEN 0.0 ELSE {rules.least} * pow({rules.ratio}, bucket - 1.5) END AS v,
+  sum(n) OVER (PARTITION BY {keys} f ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {keys} f) AS total FROM (SELECT {keys} f, bucket, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL),
+th{s} AS (SELECT {keys} f, mid, CASE WHEN total >= {rules.min_group} THEN mid + {rules.spread} * (high - mid) + CASE f {slack} END END AS bound FROM bd{s})"""
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('v' || lang, 'n') AS lang, coalesce('v' || source, 'n') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, {_WORDS.format("text")} AS w, {_BLANK.format("text")} AS bare, list_filter(string_split(text, chr(10)), lambda x: {_BLANK.format("x")} <> '') AS lines FROM d),
+t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w)),
+r AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM t, range(0, 3) AS z(o) WHERE c > 1 GROUP BY 1),
+m AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(bare)::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+  length(bare) - length(regexp_replace(bare, '[A-Z]', '', 'g')) AS upper FROM w LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, (n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.repeat_percent} * n_words) AS base_failed,
+  n_symbols / greatest(word_chars, 1) AS symbols, upper / greatest(word_chars, 1) AS upper_share, n_dup_lines / greatest(n_lines, 1) AS dup_lines, n_repeat_words / greatest(n_words, 1) AS repeats FROM m),
+f AS (SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'upper', 'dup_lines', 'repeats']) AS f, unnest([symbols, upper_share, dup_lines, repeats]) AS v FROM b),
+sk AS (SELECT lang, source, f, CASE WHEN v < {rules.least} THEN 0 ELSE ceil(ln(v / {rules.least}) / ln({rules.ratio}))::INT + 1 END AS bucket, count(*) AS n FROM f WHERE NOT base_failed GROUP BY ALL),
+{bounds("lang, source,", "")},
+{bounds("lang,", "_lang")},
+{bounds("", "_all")},
+q AS (SELECT t.lang, t.source, t.f, coalesce(CASE WHEN t.bound IS NOT NULL THEN least(t.bound, coalesce(l.bound, a.bound) + CASE t.f {slack} END) END, l.bound, a.bound, a.mid + CASE t.f {slack} END) AS hi
+  FROM th t JOIN th_lang l ON l.lang = t.lang AND l.f = t.f JOIN th_all a ON a.f = t.f),
+v AS (SELECT f.doc_id, bool_and(coalesce(f.v <= q.hi, true)) AS fine FROM f LEFT JOIN q ON q.lang = f.lang AND q.source = f.source AND q.f = f.f GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept FROM b JOIN v USING (doc_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": _OP6, "op8_adaptive_quality": _op8()}

@@ -110,10 +110,13 @@ def plan(df: DataFrame, *, size: Column, source_col: str = "source", key_cols: t
     x = placed.join(cut, ["skey", "bucket"])
     end = F.col("offset") + F.col("before") + F.col("size")
     got = x.groupBy("skey").agg(F.coalesce(F.max(F.when(end <= F.col("part"), end)), F.lit(0).cast("long")).alias("got"))
+    cut = stored(cut.join(got, "skey"), "mix-got")  # a row for each bucket; documents meet it by bucket, not by source
+    x = placed.join(cut, ["skey", "bucket"])
     gap = F.col("part") - F.col("got")
     missed = F.abs(F.col("size") - gap)
     fits = (end > F.col("part")) & (missed < gap) & (F.col("full") < mix.most)
-    best = x.join(got, "skey").groupBy("skey").agg(F.max("got").alias("got"), F.min(F.when(fits, F.struct(missed.alias("missed"), "bucket", "rn"))).alias("best"))
+    tried = x.groupBy("skey", "bucket").agg(F.min(F.when(fits, F.struct(missed.alias("missed"), "bucket", "rn"))).alias("best"))
+    best = tried.groupBy("skey").agg(F.min("best").alias("best"))
     cut = stored(cut.join(best, "skey"), "mix-best")
     rows = _taken(placed.join(cut, ["skey", "bucket"]), mix)
     quota = rows.select("skey", F.explode("blocks").alias("block")).groupBy("skey").agg((F.max("block") + 1).alias("q"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, katz, mixing, neighbours, pfor, pii, quality, sharding
+from . import bpe, dedup, jaccard, katz, mixing, neighbours, pfor, pii, quality, sharding
 from .common import read, shared_dir
 
 #: Where the vocabulary files of public tokenizers lie; None: the installed package's own folder.
@@ -30,6 +30,11 @@ def op1_pfor_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_ids(spark, out, files, with_ids=False)
 
 
+def op2_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that occurred before, in an earlier document or earlier in the same one."""
+    return dedup.find_repeats(read(spark, sf_dir, "documents"))
+
+
 def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, whole, in 40 shards of equal row counts; digests are taken from the sharded rows."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -86,6 +91,7 @@ def op10_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfor_blocks": op1_pfor_blocks,
+    "op2_gear_chunks": op2_gear_chunks,
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_boosted_pii": op5_boosted_pii,

@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.llm import boosting, bpe, components, jaccard, katz, mixing, neighbours, pfor, pii, quality, sharding
+from tesserae.llm import boosting, bpe, components, dedup, jaccard, katz, mixing, neighbours, pfor, pii, quality, sharding
 from tesserae.llm.hypergeometric import draw, matrix
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -429,3 +429,73 @@ def test_neighbours(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert neighbours.search(none, F.col("vec_id") % 50 == 0).count() == 0
     assert abs(neighbours.chi2_cdf(neighbours.chi2_quantile(0.99, 8), 8) - 0.99) < 1e-9
+
+
+# ---- 2 ----
+
+
+def plain_repeats(texts, options):
+    """The same by one pass over all documents in order of their ids."""
+    known, out = set(), []
+    for t in texts:
+        data = (t or "").encode()
+        ends = dedup.chunk_ends([data], options)[0]
+        seen, a = [], 0
+        for b in ends:
+            seen.append((a, b, data[a:b] in known))
+            known.add(data[a:b])
+            a = b
+        runs, last = [], None
+        for a, b, s in seen:
+            if s and last and last[1] == a:
+                last[1] = b
+            elif s:
+                runs.append(last := [a, b])
+            last = last if s else None
+        out.append((len(data), len(ends), sum(s for *_, s in seen), [tuple(r) for r in runs if r[1] - r[0] >= options.run]))
+    return out
+
+
+def test_chunks_of_a_text():
+    rnd = random.Random(2)
+    options = dedup.Chunks()
+    for t in ["", "a", "é" * 500, "x" * 1000, *made(20)]:
+        data = t.encode()
+        ends = dedup.chunk_ends([data], options)[0]
+        assert (ends[-1] if ends else 0) == len(data) and ends == sorted(set(ends))
+        assert all(b - a <= options.most + 3 for a, b in zip([0, *ends], ends))
+        assert all(b - a >= options.least for a, b in zip([0, *ends[:-1]], ends[:-1]))
+        assert "".join(data[a:b].decode() for a, b in zip([0, *ends], ends)) == t
+        assert dedup.chunk_ends([b"other", data, b""], options)[1] == ends
+        h = dedup.gear(np.frombuffer(data, np.uint8).copy()) if data else []
+        for i in range(min(len(data), 40)):
+            plain = sum(int(dedup.GEAR[data[i - j]]) << j for j in range(min(16, i + 1))) % 2**32
+            assert int(h[i]) == plain
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(5000))
+    own = {long[a:b] for e in [dedup.chunk_ends([long.encode()], options)[0]] for a, b in zip([0, *e], e)}
+    moved = long[:2000] + "inserted" + long[2000:]
+    new = {moved[a:b] for e in [dedup.chunk_ends([moved.encode()], options)[0]] for a, b in zip([0, *e], e)}
+    assert len(own - new) <= 6
+
+
+def test_repeats(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    passage = " ".join(word() for _ in range(55))
+    texts = [" ".join(word() for _ in range(200)) for _ in range(20)]
+    for i in (3, 8, 15):
+        w = texts[i].split(" ")
+        at = rnd.randrange(100)
+        texts[i] = " ".join([*w[:at], passage, *w[at:]])
+    clean = set(range(20)) - {8, 15}
+    texts = texts + ODD + [texts[0]]
+    options = dedup.Chunks(block=5000)
+    rows = {r["doc_id"]: r for r in dedup.find_repeats(table(spark, texts), options=options).collect()}
+    for i, (size, n, seen, runs) in enumerate(plain_repeats(texts, options)):
+        r = rows[i]
+        assert (r["n_bytes"], r["n_chunks"], r["n_seen"], [(x["start"], x["end"]) for x in r["repeats"]]) == (size, n, seen, runs)
+    assert rows[8]["repeats"] and rows[15]["repeats"] and not any(rows[i]["repeats"] for i in clean)
+    assert rows[len(texts) - 1]["seen_bytes"] == len(texts[0].encode())
+    cut = {r["doc_id"]: r["text"] for r in dedup.remove_repeats(table(spark, texts), options=options).collect()}
+    assert cut[len(texts) - 1] == "" and all(cut[i] == texts[i] for i in clean) and len(cut[8]) < len(texts[8]) - 100
+    assert dedup.find_repeats(empty(spark)).count() == 0

@@ -8,14 +8,16 @@
    all others: sets that are linked to one leader are connected whatever their own similarity is, and by the
    triangle inequality of Jaccard distance, two sets cannot be similar if their distances from a common leader
    differ by more than the limit.
-4. Rest: lists are scanned for pairs that the answers leave open: not connected yet, sizes and positions allow the
-   similarity (the scan skips to where they do), and no common leader rules it out. These pairs are verified.
+4. Rest: lists are scanned for pairs that the answers leave open: not connected yet, sizes allow the similarity (the
+   scan skips blocks of smaller sets), no common leader rules it out, and they share as many of their first tokens
+   as similar sets must. These pairs are verified.
 5. Components of all links give the answer for each document.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh, shuffle_partitions, stored
 from .components import components
-from .shingles import Hasher, mix, set_id, shingle_set
+from .shingles import Hasher, mix, set_id, shingle_sets
 
-CELLS = 1 << 20  # of the frequency sketch: one megabyte once it is broadcast
+CELLS = 1 << 22  # of the frequency sketch: four megabytes once it is broadcast
 BLOOM = 1 << 23  # bits
 LIST = 2000  # longest piece of a list that one group holds
 _NONE = -(1 << 63)
@@ -39,8 +41,16 @@ def _sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     global _HASHER
     if _HASHER is None:
         _HASHER = Hasher()
-    for i in range(len(column)):
-        yield shingle_set(column[i].as_py(), k, _HASHER)
+    for i in range(0, len(column), 64):
+        yield from shingle_sets(column.slice(i, 64).to_pylist(), k, _HASHER)
+
+
+def least_shared(na, nb, num: int, den: int):
+    """How many tokens two similar sets of these sizes share among their first ones, at least. Of two sets with an
+    overlap of ``need``, the first n - need + l tokens of each share l or more."""
+    need = -(-num * (na + nb) // (num + den))
+    own = lambda n: -(-num * n // den)  # noqa: E731  # what the index leaves out, less one
+    return np.maximum(1, np.minimum(need - own(na) + 1, need - own(nb) + 1))
 
 
 def _prefix(s: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -59,13 +69,14 @@ def _first_pass(rows: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            n, cid = [], []
+            n, cid, seen = [], [], []
             for s in _sets(batch.column(1), k):
                 n.append(len(s))
                 cid.append(set_id(s) if len(s) else None)
-                if len(s):
-                    np.add.at(cells, (s % np.uint64(CELLS)).astype(np.int64), 1)
+                seen.append((s % np.uint64(CELLS)).astype(np.int32))
             m = len(n)
+            if m:
+                cells += np.bincount(np.concatenate(seen), minlength=CELLS).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.nulls(m, pa.binary())], ["kind", "key", "n", "cid", "blob"])
         step = CELLS // 16
         for b in range(16):
@@ -90,12 +101,13 @@ def _rank(sketches: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["b", "blob"])
 
     merged = sketches.select("key", "blob").repartition(16, "key").mapInArrow(merge, "b long, blob binary").collect()  # 16 rows
-    cells = np.zeros(CELLS, np.uint64)
-    step = CELLS // 16
+    cells = np.zeros((16, CELLS // 16), np.float32)
     for r in merged:
-        cells[r["b"] * step : (r["b"] + 1) * step] += np.frombuffer(zlib.decompress(r["blob"]), np.uint64)
-    mean = max(4.0, 4.0 * float(cells.mean()))
-    return np.maximum(0, np.ceil(np.log2(np.maximum(cells, 1) / mean))).astype(np.uint8)
+        cells[r["b"]] = np.frombuffer(zlib.decompress(r["blob"]), np.uint64)
+    # other tokens of a cell add up to the mean, give or take its root
+    mean = float(cells.mean(dtype=np.float64))
+    usual = mean + 5 * mean**0.5 + 3
+    return np.maximum(0, np.ceil(np.log2(np.maximum(cells, 1) / usual))).astype(np.uint8).reshape(-1)
 
 
 def _index(rows: DataFrame, k: int, rank, num: int, den: int, parts: int) -> DataFrame:
@@ -131,7 +143,8 @@ def _index(rows: DataFrame, k: int, rank, num: int, den: int, parts: int) -> Dat
 
 
 def _lists(index: DataFrame, num: int, den: int, parts: int) -> DataFrame:
-    """From the inverted lists: star pairs (kind 0: a, b) and the entries of lists with two sets of fitting sizes
+    """From the inverted lists: star pairs (kind 0: a, b, n = tokens they must share, pos = tokens they share here) and
+    the entries of lists with two sets of fitting sizes
     (kind 1: a = id, token, n, pos)."""
     names = ["kind", "a", "b", "n", "pos"]
     band = np.log(den / num)
@@ -157,11 +170,15 @@ def _lists(index: DataFrame, num: int, den: int, parts: int) -> DataFrame:
         first = np.ones(len(t), bool)
         first[1:] = (t[1:] != t[:-1]) | (z[1:] != z[:-1])
         leader = c[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        pairs = np.stack([leader, c], 1)[leader != c]
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-        m = len(pairs)
+        other = leader != c
+        lead_n = n[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
+        least = least_shared(lead_n.astype(np.int64), n[order].astype(np.int64), num, den)
+        star = np.zeros(int(other.sum()), np.dtype([("a", "i8"), ("b", "i8"), ("least", "i4")]))
+        star["a"], star["b"], star["least"] = leader[other], c[other], least[other]
+        star, count = np.unique(star, return_counts=True)
+        m = len(star)
         if m:
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, np.int32))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), *(pa.array(np.ascontiguousarray(star[x])) for x in ("a", "b", "least")), pa.array(count.astype(np.int32))], names)
         for i in range(0, len(token), 100_000):
             s = slice(i, i + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(token[s]), np.int32)), pa.array(cid[s]), pa.array(token[s].view(np.int64)), pa.array(n[s]), pa.array(pos[s])], names)
@@ -219,14 +236,17 @@ def _texts(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield batch.filter(pa.array(keep))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one key may stand before several texts
+        # one key may stand before several texts; copies of a row lie together, and one that is left does no harm
+        last = None
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            keep = [len(s) > 0 and set_id(s) == c for s, c in zip(_sets(batch.column(1), k), own)]
+            keep = []
+            for s, c in zip(_sets(batch.column(1), k), batch.column(0).to_pylist()):
+                keep.append(len(s) > 0 and c != last and set_id(s) == c)
+                last = c if keep[-1] else last
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     found = rows.mapInArrow(pick, "key long, text string").join(wanted, "key").select("cid", "text")
-    return found.mapInArrow(check, "cid long, text string").dropDuplicates(["cid"])
+    return found.mapInArrow(check, "cid long, text string")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -266,11 +286,10 @@ def _open_pairs(entries: DataFrame, labels: DataFrame, answers: DataFrame, num:
     x = x.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cid", "n", "pos", "root", "near", "own")
     limit = 1.0 - num / den
 
-    def scan(rows: list[tuple]) -> list[tuple[int, int]]:
+    def scan(rows: list[tuple]) -> list[tuple[int, int, int]]:
         """rows of one group, sorted by size, then position."""
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int]] = []
         n = np.array([r[4] for r in rows], np.int64)
-        pos = np.array([r[5] for r in rows], np.int64)
         root = np.array([r[6] for r in rows], np.int64)
         own = np.array([r[8] for r in rows], np.int64)
         i, j = rows[0][1], rows[0][2]
@@ -279,8 +298,7 @@ def _open_pairs(entries: DataFrame, labels: DataFrame, answers: DataFrame, num:
             if first >= y:
                 continue
             s = slice(first, y)
-            need = -(-num * (n[s] + n[y]) // (num + den))
-            ok = (np.minimum(n[s] - pos[s], n[y] - pos[y]) >= need) & (root[s] != root[y])
+            ok = root[s] != root[y]
             if i != j:
                 ok &= own[s] != own[y]
             for z in np.flatnonzero(ok):
@@ -289,7 +307,7 @@ def _open_pairs(entries: DataFrame, labels: DataFrame, answers: DataFrame, num:
                     da = {q["leader"]: q["distance"] for q in a[7]}
                     if any(q["leader"] in da and abs(q["distance"] - da[q["leader"]]) > limit + 1e-9 for q in b[7]):
                         continue
-                out.append((min(a[3], b[3]), max(a[3], b[3])))
+                out.append((min(a[3], b[3]), max(a[3], b[3]), int(least_shared(a[4], b[4], num, den))))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,19 +319,22 @@ def _open_pairs(entries: DataFrame, labels: DataFrame, answers: DataFrame, num:
                     rows = []
                 key = r[:3]
                 rows.append(r)
-            if len(found) >= 20_000:
+            if len(found) >= 200_000:
                 yield _pairs(found)
                 found = []
         if rows:
             found += scan(rows)
         yield _pairs(found)
 
-    def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        found = list(dict.fromkeys(found))
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+    def _pairs(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        count = Counter(found)
+        a, b, least = (pa.array([p[i] for p in count], pa.int64()) for i in range(3))
+        return pa.RecordBatch.from_arrays([a, b, least, pa.array(count.values(), pa.int64())], ["a", "b", "least", "shared"])
 
     parts = shuffle_partitions(entries.sparkSession)
-    return x.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "pos").mapInArrow(run, "a long, b long").distinct()
+    x = x.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "pos").mapInArrow(run, "a long, b long, least long, shared long")
+    # every list that both sets are in has been scanned, so the sum is all that they share
+    return x.groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("shared").alias("shared")).where("shared >= least").select("a", "b")
 
 
 def _labelled(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -324,11 +345,19 @@ def _labelled(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     rank = spark.sparkContext.broadcast(_rank(first.where("kind = 1")))
     own = first.where("kind = 0").select("key", "n", "cid")
     lists = stored(_lists(_index(rows.select("text"), k, rank, num, den, parts), num, den, parts), "lists")
-    stars = stored(lists.where("kind = 0").select("a", "b").distinct(), "stars")
+    star = lists.where("kind = 0").groupBy("a", "b").agg(F.max("n").alias("least"), F.sum("pos").alias("shared"))
+    # a pair's leader may lead only some of the lists it is in, so half of the tokens is asked for; what is left out
+    # here is not lost: the scan of open pairs meets it
+    stars = stored(star.where("2 * shared >= least").select("a", "b"), "stars")
     entries = lists.where("kind = 1").select(F.col("a").alias("cid"), F.col("b").alias("token"), "n", "pos")
     classes = own.where("n > 0").groupBy("cid").agg(F.min("key").alias("key"))
-    wanted = stored(classes.join(entries.select("cid").distinct(), "cid", "left_semi"), "wanted")
-    texts = stored(_texts(rows, wanted, k), "texts")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        wanted = stored(classes.join(ids, "cid"), "wanted")
+        return stored(_texts(rows, wanted, k), "texts")
+
+    texts = texts_of(stars)
     linked = (den + num) * F.col("both") >= num * (F.col("na") + F.col("nb"))
     checked = stored(_verify(stars, texts, k).withColumn("linked", linked), "answers")
     links = checked.where("linked").select("a", "b")
@@ -338,8 +367,11 @@ def _labelled(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     near = near.unionByName(checked.select(F.col("a").alias("cid")).distinct().select("cid", F.struct(F.col("cid").alias("leader"), F.lit(0.0).alias("distance")).alias("q")))
     answers = near.groupBy("cid").agg(F.collect_list("q").alias("near"))
     rest = stored(_open_pairs(entries, labels, answers, num, den), "open")
-    more = stored(_verify(rest, texts, k).where(linked).select("a", "b"), "more-links")
-    roots = components(labels.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
+    if rest.isEmpty():
+        roots = labels
+    else:
+        more = stored(_verify(rest, texts_of(rest), k).where(linked).select("a", "b"), "more-links")
+        roots = components(labels.select(F.col("v").alias("a"), F.col("root").alias("b")).unionByName(more))
     return own.join(roots.select(F.col("v").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
 

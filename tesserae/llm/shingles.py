@@ -24,7 +24,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Hasher:
-    """Hashes of words, with a bounded memo."""
+    """Hashes of words, with a bounded memo of their bytes."""
 
     def __init__(self, size: int = 200_000) -> None:
         self.memo = Memo(size)
@@ -32,15 +32,15 @@ class Hasher:
     def __call__(self, tokens: list[bytes]) -> np.ndarray:
         memo = self.memo
         try:
-            out = list(map(memo.__getitem__, tokens))
+            out = b"".join(map(memo.__getitem__, tokens))
         except KeyError:
             memo.room()
-            old = memo.old
+            old, digest = memo.old, xxhash.xxh3_64_digest
             for w in tokens:
                 if w not in memo and w not in old:
-                    memo[w] = xxhash.xxh3_64_intdigest(w)
-            out = list(map(memo.__getitem__, tokens))
-        return np.array(out, np.uint64)
+                    memo[w] = digest(w)
+            out = b"".join(map(memo.__getitem__, tokens))
+        return np.frombuffer(out, ">u8").astype(np.uint64)
 
 
 def windows(ids: np.ndarray, k: int) -> np.ndarray:
@@ -55,9 +55,24 @@ def windows(ids: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def shingle_set(text: str | None, k: int, hasher: Hasher) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
-    return np.unique(windows(hasher(words(text)), k))
+def shingle_sets(texts: list[str | None], k: int, hasher: Hasher) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles. All texts' words are hashed as one sequence."""
+    tokens = [words(t) for t in texts]
+    ids = hasher([w for own in tokens for w in own])
+    h = windows(ids, k) if len(ids) >= k else ids
+    out, at = [], 0
+    for own in tokens:
+        n = len(own)
+        s = h[at : at + n - k + 1] if n >= k else windows(ids[at : at + n], k)
+        if len(s) > 1:
+            s = np.sort(s)
+            new = np.empty(len(s), bool)
+            new[0] = True
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            s = s[new]
+        out.append(s)
+        at += n
+    return out
 
 
 def set_id(s: np.ndarray) -> int:

@@ -128,7 +128,7 @@ def tier_distance(a: str, b: str) -> int:
 @F.pandas_udf(IntegerType())
 def distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """:func:`tier_distance` of each pair. Sentences may be lines of thousands of characters, where the engine's own
-    function, which works cell by cell, takes some twenty times as long."""
+    function, which works cell by cell, takes far longer."""
     return pd.Series([tier_distance(x, y) for x, y in zip(a, b)], dtype="int32")
 
 

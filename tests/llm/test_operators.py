@@ -499,3 +499,33 @@ def test_repeats(spark):
     cut = {r["doc_id"]: r["text"] for r in dedup.remove_repeats(table(spark, texts), options=options).collect()}
     assert cut[len(texts) - 1] == "" and all(cut[i] == texts[i] for i in clean) and len(cut[8]) < len(texts[8]) - 100
     assert dedup.find_repeats(empty(spark)).count() == 0
+
+
+def test_planted_passages_are_found(spark):
+    """Passages of just over 50 words between fresh contexts: none without a repeat, few bytes left; none invented."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9)))
+    common = [word() for _ in range(400)]
+    texts, places = [], {}
+    for i in range(300):
+        passage = " ".join([rnd.choice(common)] * 51 if i % 10 == 0 else [rnd.choice(common) for _ in range(51)])
+        for _ in range(2):
+            head = " ".join(word() for _ in range(40)) + " "
+            places[len(texts)] = (len(head), len(head) + len(passage))
+            texts.append(head + passage + " " + " ".join(word() for _ in range(40)))
+    rows = {r["doc_id"]: r["repeats"] for r in dedup.find_repeats(table(spark, texts)).collect()}
+    missed = covered = size = beside = 0
+    for i in range(1, len(texts), 2):
+        a, b = places[i]
+        own = sum(max(0, min(r["end"], b) - max(r["start"], a)) for r in rows[i])
+        missed, covered, size = missed + (not own), covered + own, size + b - a
+        beside += sum(r["end"] - r["start"] for r in rows[i]) - own
+    assert missed == 0 and covered > 0.85 * size and beside < 0.01 * size
+
+
+def test_common_phrases_are_no_repeat(spark):
+    """Texts whose words all occurred before, two at a time, but no passage did."""
+    rnd = random.Random(12)
+    common = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(40)]
+    texts = [" ".join(rnd.choice(common) for _ in range(120)) for _ in range(200)]
+    assert not any(r["repeats"] for r in dedup.find_repeats(table(spark, texts)).collect())

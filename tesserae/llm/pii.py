@@ -33,8 +33,8 @@ BASE = (
 )
 #: Kinds that the method adds, in the order of their generators.
 ADDED = (
-    ("credential", r"(?<![A-Za-z0-9_])[A-Za-z_]{2,32}\x20?[=:]\x20?[^\x20\x09-\x0D\"',;|]{4,200}"),
-    ("key", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,200}"),
+    ("credential", r"(?<![A-Za-z0-9_])[A-Za-z_]{2,32}\x20?[=:]\x20?[^\x20\x09-\x0D\"',;|]{4,}+"),
+    ("key", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+"),
     ("number", r"(?<![0-9A-Za-z.,+])\(?[0-9]{2,5}\)?(?:[\x20./-]?[0-9]{2,6}){1,5}(?![0-9A-Za-z])"),
     ("address", r"[A-Za-z0-9._-]{2,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]{2,63})++"),
 )
@@ -97,7 +97,7 @@ def _features(x: Column) -> list[Column]:
     count = lambda cls: F.char_length(F.regexp_replace(s, f"[^{cls}]", "")).cast("double")
     says = lambda c, pattern: F.when(c.rlike(pattern), 1.0).otherwise(0.0)
     value = F.regexp_replace(s, r"^[A-Za-z_]{2,32}\x20?[=:]\x20?", "")
-    mixed = F.char_length(F.regexp_replace(value, "[0-9]", "")) * F.char_length(_digits(value))
+    mixed = F.char_length(F.regexp_replace(value, "[0-9]", "")).cast("long") * F.char_length(_digits(value))
     return [
         n.cast("double"),
         count("0-9"),
@@ -109,7 +109,7 @@ def _features(x: Column) -> list[Column]:
         says(before, r"(phone|tel|call|mobile|fax|ssn|social security|passport|account|iban|id)[a-z.]*[\x20:#=]*$"),
         says(s, r"[\[(](?:at|dot)[\])]"),
         says(s, r"^[A-Z0-9]{16,}$"),
-        F.least(mixed, F.lit(400)).cast("double"),
+        F.least(mixed, F.lit(400).cast("long")).cast("double"),
         says(s, r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"),
         says(s, r"^(?:19|20)[0-9]{2}[./-]|^[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}"),
     ]

@@ -198,6 +198,16 @@ def test_added_spans_and_redaction(spark):
     assert x[4] == "[EMAIL] é [IP]" and x[5] is None and x[6] == ""
 
 
+@pytest.mark.parametrize("n", [300, 5_000, 150_000])
+def test_long_secrets_go_whole(spark, n):
+    rnd = random.Random(n)
+    secret = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n - 60)) + "7q" * 30
+    texts = [f"see {secret} to", f"on token={secret} st", f'on api_key = "{secret}" st']
+    x = {r["doc_id"]: r["text"] for r in pii.redact(table(spark, texts)).collect()}
+    assert x[0] == "see [KEY] to" and x[1] == "on [CREDENTIAL] st"
+    assert secret[-50:] not in x[2] and secret[:50] not in x[2] and len(x[2]) < 60
+
+
 def test_boosting_separates_held_out_rows():
     rng = np.random.default_rng(1)
     x = rng.random((900, 3))

@@ -107,8 +107,22 @@ def containment_top(query: DataFrame, library: DataFrame, k: int = sm.TOP) -> Da
     return best.join(qs, "q_norm").select("q_doc", "q_idx", "q_norm", "doc_id", "s_idx", "s_display", "norm", "score", "rank")
 
 
-def fallback_matches(query: DataFrame, library: DataFrame) -> DataFrame:
-    """Matches of pending sentences by containment, decided by edit similarity, else by a strong score."""
+def vector_top(query: DataFrame, library: DataFrame, vectors: DataFrame, k: int = sm.TOP) -> DataFrame:
+    """As ``containment_top``, by the cosine of the normal forms' vectors (norm, vec). Forms without one match none."""
+    vec = vectors.select("norm", "vec").dropDuplicates(["norm"])
+    qs = query.select(F.col("doc_id").alias("q_doc"), F.col("idx").alias("q_idx"), F.col("norm").alias("q_norm"))
+    lib = library.select("doc_id", F.col("idx").alias("s_idx"), F.col("display").alias("s_display"), "norm")
+    q = vec.join(query.select("norm").distinct(), "norm").select(F.col("norm").alias("q_id"), F.col("vec").alias("q_vec"))
+    top = cosine_top(q, lib.join(vec, "norm").select(F.struct("doc_id", "s_idx").alias("id"), "vec"), k)
+    best = top.select(F.col("q_id").alias("q_norm"), F.col("id.doc_id").alias("doc_id"), F.col("id.s_idx").alias("s_idx"), "score", "rank")
+    return best.join(lib, ["doc_id", "s_idx"]).join(qs, "q_norm").select("q_doc", "q_idx", "q_norm", "doc_id", "s_idx", "s_display", "norm", "score", "rank")
+
+
+def fallback_matches(query: DataFrame, library: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """Matches of pending sentences, decided by edit similarity, else by a strong score: by containment, or where
+    ``vectors`` (norm, vec; of both sides) are given, by their cosine."""
+    if vectors is not None:
+        return _decided(vector_top(query, library, vectors), F.col("score"), sm.COSINE_RECALL, sm.COSINE_STRONG)
     return _decided(containment_top(query, library), F.col("score"), sm.CONTAIN_RECALL, sm.CONTAIN_STRONG)
 
 
@@ -129,10 +143,10 @@ def cosine_top(query: DataFrame, library: DataFrame, k: int = sm.TOP) -> DataFra
     return x.select("q_id", "id", "score", "rank")
 
 
-def all_matches(query: DataFrame, library: DataFrame, *, fallback: bool = True) -> DataFrame:
+def all_matches(query: DataFrame, library: DataFrame, *, fallback: bool = True, vectors: DataFrame | None = None) -> DataFrame:
     """Literal matches and, for sentences without one, the fallback's. Literal matches are used twice and kept."""
     literal = literal_matches(query, library).persist()
-    return literal.unionByName(fallback_matches(pending(query, literal), library)) if fallback else literal
+    return literal.unionByName(fallback_matches(pending(query, literal), library, vectors)) if fallback else literal
 
 
 def _order() -> tuple[Column, ...]:

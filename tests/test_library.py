@@ -177,3 +177,15 @@ def test_inbox(spark, tmp_path, tables):
     inbox.watch(spark, str(box), lambda: tables[1], str(tmp_path / "reports"), str(tmp_path / "state")).awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "reports")).collect()
     assert len(rows) == 1 and rows[0]["total_ratio"] > 0.4
+
+
+def test_vector_fallback(spark):
+    """Rewritten sentences match by their vectors alone: strong ones only, none without a vector."""
+    lib = library.library_sentences(spark.createDataFrame([("l", "Completely original wording about rivers flowing north.")], "doc_id string, text string"))
+    asked = library.library_sentences(spark.createDataFrame([(c, t) for c, t in zip("abc", ["Zyx quick jumps vex bad guy who ponders much.", "Five wizards hatch plump quail eggs by dusk.", "My jukebox played odd hits until midnight came."])], "doc_id string, text string"))
+    norm = lambda df: [r["norm"] for r in df.orderBy("doc_id").collect()]
+    a, b, _ = norm(asked)
+    vectors = spark.createDataFrame([(norm(lib)[0], [1.0, 0.0]), (a, [0.8, 0.6]), (b, [0.6, 0.8])], "norm string, vec array<double>")
+    rows = overlap.all_matches(asked, lib, vectors=vectors).collect()
+    assert [(r["q_doc"], r["doc_id"], r["tier"], r["cos"]) for r in rows] == [("a", "l", "semantic", 0.8)]
+    assert overlap.all_matches(asked, lib).count() == 0

@@ -16,6 +16,7 @@ FNV_PRIME = 0x100000001B3
 BLOCKS = 4
 BLOCK_BITS = 16
 MAX_DISTANCE = 4
+_RUN = 100_000  # bigrams whose votes are added at once
 
 
 def fnv1a(data: bytes) -> int:
@@ -25,32 +26,52 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
-class _Votes:
-    """Bigrams as vectors of +1 and -1, one for each bit; kept, as a language has few bigrams."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
-
-    def __call__(self, s: str) -> int:
-        grams = [s[i : i + 2] for i in range(len(s) - 1)] if len(s) > 1 else [s] if s else []
-        total = np.zeros(64, np.int64)
-        for g in grams:
-            v = self.known.get(g)
-            if v is None:
-                if len(self.known) > 200_000:
-                    self.known.clear()
-                bits = np.unpackbits(np.array([fnv1a(g.encode())], "<u8").view(np.uint8), bitorder="little")
-                v = self.known[g] = bits.astype(np.int64) * 2 - 1
-            total += v
-        return int(np.packbits(total > 0, bitorder="little").view("<i8")[0]) if grams else 0
+def bigram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' bigrams as numbers, one after another, and how many each text has; a single character stands for
+    itself."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    after = np.append(chars[1:], np.uint64(0))
+    last = np.zeros(len(chars), bool)
+    ends = np.cumsum(size)
+    last[ends[size > 0] - 1] = True
+    own = np.where(last, np.uint64(0), after + np.uint64(1))  # 0: no second character
+    keep = ~last
+    keep[ends[size == 1] - 1] = True
+    return ((chars << np.uint64(21)) | own)[keep], np.where(size > 1, size - 1, size)
+
+
+def _hash_bigram(code: int) -> int:
+    a, b = code >> 21, code & 0x1FFFFF
+    return fnv1a((chr(a) + (chr(b - 1) if b else "")).encode())
+
+
+def _simhashes(texts: list[str]) -> np.ndarray:
+    """Each distinct bigram is hashed once and becomes 64 votes of +1 and -1; a text's votes are one segmented sum."""
+    grams, count = bigram_codes(texts)
+    out = np.zeros(len(texts), np.int64)
+    if not len(grams):
+        return out
+    distinct, where = np.unique(grams, return_inverse=True)
+    hashes = np.array([_hash_bigram(c) for c in distinct.tolist()], "<u8")
+    votes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
+    some = np.flatnonzero(count)
+    begins = np.concatenate(([0], np.cumsum(count[some])))
+    at = 0
+    while at < len(some):
+        end = max(at + 1, int(np.searchsorted(begins, begins[at] + _RUN, side="right")) - 1)
+        total = np.add.reduceat(votes[where[begins[at] : begins[end]]], begins[at:end] - begins[at], axis=0, dtype=np.int32)
+        out[some[at:end]] = np.packbits(total > 0, axis=1, bitorder="little").view("<i8").reshape(-1)
+        at = end
+    return out
 
 
 @F.pandas_udf(LongType())
 def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The bits on which most bigrams of a text agree; ties and empty texts give 0. Null stays null."""
-    votes = _Votes()
     for s in batches:
-        yield pd.Series([None if x is None else votes(x) for x in s], dtype="Int64")
+        null = s.isna()
+        yield pd.Series(_simhashes(s.where(~null, "").tolist()), dtype="Int64").mask(null.reset_index(drop=True))
 
 
 @F.pandas_udf(StringType())

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 PUNCTUATION_FROM = "，。！？；：（）“”‘’【】《》—％"
 PUNCTUATION_TO = ",.!?;:()\"\"''[]<>-%"
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same, one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
-HEADING = rf"^(?:#{{1,3}}{SPACE}|第[一二三四五六七八九十百]+[章节部分]|[(（]?(?:[一二三四五六七八九十]|[0-9]{{1,2}})[)）]、?{SPACE}*[^{SPACE[1:]})"
+NOT_SPACE = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+HEADING = rf"^(?:#{{1,3}}{SPACE}|第[一二三四五六七八九十百]+[章节部分]|[(（]?(?:[一二三四五六七八九十]|[0-9]{{1,2}})[)）]、?{SPACE}*{NOT_SPACE})"
 #: Headings of graded papers do not count hundreds.
-PAPER_HEADING = HEADING.replace("十百", "十")
+PAPER_HEADING = rf"^(?:#{{1,3}}{SPACE}|第[一二三四五六七八九十]+[章节部分]|[(（]?(?:[一二三四五六七八九十]|[0-9]{{1,2}})[)）]、?{SPACE}*{NOT_SPACE})"
 REFERENCES = rf"^(?:参{SPACE}*考{SPACE}*文{SPACE}*献|References|REFERENCES)$"
 SENTENCE_END = "。！？!?；;"
 MIN_SENTENCE = 6
@@ -21,7 +24,7 @@ MIN_SENTENCE = 6
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def raw_lines(text: Column) -> Column:

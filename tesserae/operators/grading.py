@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grading as G
+from ..functions import text as T
 
 RUBRIC = "ptype string, rubric_name string, dim_no int, name string, weight int, criteria string"
 Scorer = Callable[[str], str]
@@ -53,51 +54,127 @@ def dimensions_of(papers: DataFrame, dims: DataFrame) -> DataFrame:
 
 
 def mock_scores(papers: DataFrame, dims: DataFrame) -> DataFrame:
-    """Deterministic scores by structure, without a model; the mock's evidence is quoted from the text."""
-    x = dimensions_of(papers, dims)
-    path, dim, text = F.col("path"), F.col("name"), F.col("text")
+    """Deterministic scores by structure, without a model; the mock's evidence is quoted from the text. What depends on
+    the text alone is worked out once for each paper, before it meets the dimensions."""
+    text, path, dim = F.col("text"), F.col("path"), F.col("name")
     doubt = F.when(text.rlike(r"参考\s*文献"), "").otherwise("未识别到参考文献列表")
-    return x.select("path", "ptype", "dim_no", "name", "weight", G.mock_score(path, dim, text).alias("score"), G.mock_confidence(path, dim).alias("confidence"), G.mock_evidence(path, dim, text).alias("evidence"), doubt.alias("suspicions"))
+    own = papers.select("path", G.mock_bonus(text).alias("bonus"), G.quotable(text).alias("quotes"), doubt.alias("suspicions"))
+    base = F.col("base")
+    quoted = F.transform(G.mock_places(path, dim, F.size("quotes")), lambda i: F.get("quotes", i))
+    x = dimensions_of(own, dims).withColumn("base", G.mock_base(path, dim))
+    return x.select("path", "ptype", "dim_no", "name", "weight", G.mock_score(base, F.col("bonus")).alias("score"), G.mock_confidence(base).alias("confidence"), quoted.alias("evidence"), "suspicions")
 
 
-def model_scores(papers: DataFrame, dims: DataFrame, scorer: Callable[[], Scorer], *, redact_pii: bool = False, limit: int = G.FULLTEXT_CHARS + 6000) -> DataFrame:
-    """Scores from a model: ``scorer()`` makes a client once for each task, which answers a prompt. An answer that
-    fails or cannot be read becomes a row with ``error``; nothing is raised."""
-    prompt = F.concat_ws("\n\n", "name", "criteria", F.substring("text", 1, limit))
-    x = dimensions_of(papers, dims).withColumn("prompt", G.redact(prompt) if redact_pii else prompt)
-    keep = ["path", "ptype", "dim_no", "name", "weight"]
+#: Asks of a model; each reply is the JSON that the prompt describes.
+SYSTEM = "你是严谨的论文评阅人，只依据所给材料评分，只输出 JSON。"
+_CHUNK_ASK = '请提炼这一部分，输出 JSON：{"summary": "要点", "strengths": ["亮点"], "weaknesses": ["问题"], "quotes": ["原文片段"]}'
+_SCORE_ASK = '只评这一个维度，输出 JSON：{"score": 0, "confidence": 0.0, "evidence": ["原文摘录"], "comment": "评语", "suspicions": "学术规范问题，无则留空"}，score 为 0-100，confidence 为 0-1。'
+_WHOLE_ASK = '请写综合意见，输出 JSON：{"overall_comment": "总评", "strengths": ["优点"], "improvements": ["建议"], "flags": ["风险"]}'
+
+
+def asked(df: DataFrame, prompt: Column, client: Callable[[], Scorer], *, redact_pii: bool = False) -> DataFrame:
+    """The rows with ``reply``, ``error`` and ``usage`` of one call for each: ``client()`` is made once in each task. A call
+    that fails is a row with an error of 300 characters at most; nothing is raised. A null prompt is not asked."""
+    keep = df.columns
+    x = df.withColumn("prompt", G.redact(prompt) if redact_pii else prompt)
+    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = scorer()
+        own = client()
         for b in batches:
-            replies, errors = [], []
+            replies, errors, usage = [], [], []
             for p in b["prompt"]:
+                reply = error = None
                 try:
-                    replies.append(client(p))
-                    errors.append(None)
-                except Exception as e:  # a paper's failure is a row
-                    replies.append(None)
-                    errors.append(str(e)[:300])
-            yield b[keep].assign(reply=replies, error=errors)
-
-    made = x.select(*keep, "prompt").mapInPandas(ask, "path string, ptype string, dim_no int, name string, weight int, reply string, error string")
+                    reply = own(p) if p is not None else None
+                except Exception as e:  # one call's failure is its row
+                    error = (str(e) or type(e).__name__)[:300]
+                replies.append(reply)
+                errors.append(error)
+                usage.append(getattr(own, "usage", None) if p is not None else None)
+            yield b[keep].assign(reply=replies, error=errors, usage=usage)
+
+    return x.mapInPandas(ask, f"{fields}, reply string, error string, usage struct<prompt_tokens: long, completion_tokens: long, requests: long>")
+
+
+def _read(x: DataFrame) -> DataFrame:
+    """Adds ``json``; a reply without JSON is an error, unless there is one already or nothing was asked."""
     json = G.loose_json(F.col("reply"))
-    error = F.coalesce("error", F.when(json.isNull(), F.concat(F.lit("no JSON in reply: "), F.substring(F.coalesce("reply", F.lit("")), 1, 200))))
-    return made.withColumn("d", G.dimension(json)).select(*keep, "d.*", error.alias("error"))
+    unread = F.concat(F.lit("no JSON in reply: "), F.substring("reply", 1, 200))
+    return x.withColumn("json", json).withColumn("error", F.coalesce("error", F.when(F.col("reply").isNotNull() & F.col("json").isNull(), unread)))
 
 
-def map_chunks(papers: DataFrame, client: Callable[[], Scorer], *, size: int = G.CHUNK_CHARS, limit: int = G.FULLTEXT_CHARS) -> DataFrame:
-    """Notes on long papers: one call for each chunk, joined in order. Short papers have none."""
-    long = text_chunks(papers.where(F.char_length("text") > limit), size)
+def model_scores(papers: DataFrame, dims: DataFrame, scorer: Callable[[], Scorer], *, redact_pii: bool = False, limit: int = G.FULLTEXT_CHARS + 6000) -> DataFrame:
+    """Scores from a model, a row for each paper and dimension. An answer that fails or cannot be read becomes a row with
+    ``error``. Where ``papers`` has ``notes`` (of :func:`map_chunks`), these and an excerpt stand for the text."""
+    text = F.col("text")
+    notes = F.col("notes") if "notes" in papers.columns else F.lit(None).cast("string")
+    said = lambda c, none: F.when(F.coalesce(c, F.lit("")) == "", none).otherwise(c)
+    frame = F.concat(F.lit("【提纲】"), said(F.array_join(G.headings(text), "、"), "无标题"), F.lit("\n【摘要】"), said(G.abstract(text), "无摘要"))
+    whole = F.concat(frame, F.lit("\n【全文】\n"), F.substring(text, 1, limit))
+    brief = F.concat(frame, F.lit("\n【分段记录】\n"), notes, F.lit("\n【原文节选】\n"), G.excerpt(text))
+    own = papers.select("path", G.title(text).alias("title"), F.when(notes.isNotNull() & (notes != ""), brief).otherwise(whole).alias("content"))
+    overview = F.broadcast(rubric_overview(dims).select("ptype", "overview"))  # a row for each type
+    x = dimensions_of(own, dims).join(overview, "ptype")
+    prompt = F.concat_ws("\n\n", "name", "criteria", F.concat(F.lit("论文《"), "title", F.lit("》")), "overview", "content", F.lit(_SCORE_ASK))
+    keep = ["path", "ptype", "dim_no", "name", "weight"]
+    made = _read(asked(x.select(*keep, prompt.alias("ask")), F.col("ask"), scorer, redact_pii=redact_pii))
+    return made.withColumn("d", G.dimension(F.col("json"))).select(*keep, "d.*", "error", "usage")
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = client()
-        for b in batches:
-            yield b[["path", "chunk_no"]].assign(note=[own(c) for c in b["chunk"]])
 
-    notes = long.mapInPandas(ask, "path string, chunk_no int, note string")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "note"))), lambda x: x["note"]), "\n")
-    return notes.groupBy("path").agg(joined.alias("notes"), F.count("*").alias("n_chunks"))
+def map_chunks(papers: DataFrame, client: Callable[[], Scorer], *, size: int = G.CHUNK_CHARS, limit: int = G.FULLTEXT_CHARS, redact_pii: bool = False) -> DataFrame:
+    """Notes on long papers: path, notes (a line for each chunk, in order), n_chunks, error (the first chunk's that failed).
+    Short papers have none."""
+    long = text_chunks(papers.where(F.char_length("text") > limit), size)
+    prompt = F.concat_ws("\n", F.format_string("第 %d 部分", F.col("chunk_no") + 1), "chunk", F.lit(_CHUNK_ASK))
+    made = _read(asked(long.select("path", "chunk_no", prompt.alias("ask")), F.col("ask"), client, redact_pii=redact_pii))
+    r = F.from_json("json", "summary string, strengths array<string>, weaknesses array<string>, quotes array<string>")
+    some = lambda c, n: F.array_join(F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, n), "；")
+    note = F.concat(F.format_string("[第%d部分] ", F.col("chunk_no") + 1), F.coalesce(r["summary"], F.lit("")), F.lit(" 亮点："), some(r["strengths"], 3), F.lit(" 问题："), some(r["weaknesses"], 3), F.lit(" 片段："), some(r["quotes"], 2))
+    x = made.select("path", F.struct("chunk_no", F.coalesce(note, F.lit("")).alias("note")).alias("n"), F.when(F.col("error").isNotNull(), F.struct("chunk_no", "error")).alias("e"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("n")), lambda n: n["note"]), "\n")
+    return x.groupBy("path").agg(joined.alias("notes"), F.count("*").alias("n_chunks"), F.min("e")["error"].alias("error"))
+
+
+DIMENSION = "array<struct<dim_no:int,name:string,weight:int,score:double,confidence:double,evidence:array<string>,comment:string,suspicions:string>>"
+
+
+def grade(papers: DataFrame, dims: DataFrame, client: Callable[[], Scorer], *, redact_pii: bool = False, size: int = G.CHUNK_CHARS, limit: int = G.FULLTEXT_CHARS, bands: tuple = G.BANDS) -> DataFrame:
+    """Grade papers (path, text): notes on the chunks of long ones, a score for each dimension, the weighted total and a
+    synthesis. One row for each paper: path, ptype, rubric_name, title, n_chars, total, band, confidence, dimensions,
+    overall_comment, strengths, improvements, flags, error.
+
+    A failed chunk or dimension makes the paper a row with ``error`` and no total, as does a type without a rubric; a
+    failed synthesis costs the comment only. Paths should tell papers apart. Calls are made once in a plan without
+    failures; store the result where it is used more than once.
+    """
+    text = F.col("text")
+    notes = map_chunks(papers, client, size=size, limit=limit, redact_pii=redact_pii)
+    x = papers.select("path", "text").join(notes.select("path", "notes", F.col("error").alias("note_error")), "path", "left")
+    scores = model_scores(x.where("note_error is null"), dims, client, redact_pii=redact_pii, limit=limit + 6000)
+    own = F.struct("dim_no", "name", F.col("weight").cast("int").alias("weight"), "score", "confidence", "evidence", "comment", "suspicions")
+    failed = F.when(F.col("error").isNotNull(), F.struct("dim_no", "error"))
+    by = scores.groupBy("path").agg(F.array_sort(F.collect_list(own)).alias("dimensions"), F.min(failed)["error"].alias("score_error"))
+    names = F.broadcast(dims.groupBy("ptype").agg(F.first("rubric_name").alias("rubric_name")))
+    x = x.select("path", G.title(text).alias("title"), F.char_length("text").alias("n_chars"), G.paper_type(F.col("path")).alias("ptype"), F.substring("notes", 1, 3000).alias("notes"), "note_error")
+    x = x.join(by, "path", "left").join(names, "ptype", "left")
+    unread = F.when(F.col("rubric_name").isNull(), F.concat(F.lit("no rubric for type "), "ptype"))
+    x = x.withColumn("error", F.coalesce("note_error", "score_error", unread))
+    d, n = F.col("dimensions"), F.size("dimensions")
+    weighted = F.aggregate(d, F.lit(0.0), lambda a, r: a + r["score"] * r["weight"])
+    mean = F.aggregate(d, F.lit(0.0), lambda a, r: a + r["confidence"]) / n
+    fine = F.col("error").isNull()
+    x = x.withColumn("total", F.when(fine, F.bround(weighted / 100, 1))).withColumn("confidence", F.when(fine, F.bround(F.least(F.lit(1.0), mean), 2)))
+    x = x.withColumn("band", F.when(fine, G.band(F.col("total"), bands)))
+    lines = F.array_join(F.transform(d, lambda r: F.concat(r["name"], F.lit("："), r["score"].cast("string"), F.lit("（权重 "), r["weight"].cast("string"), F.lit("）"), F.substring(r["comment"], 1, 200))), "\n")
+    prompt = F.when(fine, F.concat_ws("\n", F.concat(F.lit("论文《"), "title", F.lit("》"), "rubric_name"), lines, F.concat(F.lit("总分 "), F.col("total").cast("string"), F.lit(" "), "band"), "notes", F.lit(_WHOLE_ASK)))
+    columns = ["path", "ptype", "rubric_name", "title", "n_chars", "total", "band", "confidence", "dimensions", F.col("error").alias("paper_error")]
+    made = _read(asked(x.select(*columns, prompt.alias("ask")), F.col("ask"), client, redact_pii=redact_pii))
+    r = F.from_json("json", "overall_comment string, strengths array<string>, improvements array<string>, flags array<string>")
+    said = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda s: T.strip(s) != "")
+    comment = F.when(F.col("error").isNotNull(), F.concat(F.lit("（综合评语生成失败，各维度评语仍有效）："), "error")).otherwise(T.strip(F.coalesce(r["overall_comment"], F.lit(""))))
+    flags = G.review_flags(said(r["flags"]), F.col("confidence"))
+    return made.select(*columns[:9], comment.alias("overall_comment"), F.slice(said(r["strengths"]), 1, 5).alias("strengths"), F.slice(said(r["improvements"]), 1, 5).alias("improvements"), F.coalesce(flags, F.array().cast("array<string>")).alias("flags"), F.col("paper_error").alias("error"))
 
 
 def totals(scores: DataFrame) -> DataFrame:
@@ -108,9 +185,17 @@ def totals(scores: DataFrame) -> DataFrame:
 
 
 def ranking(grades: DataFrame) -> DataFrame:
-    """Papers with a total, highest first; failed ones follow. A total order: ties by path."""
-    w = Window.orderBy(F.col("total").desc_nulls_last(), "path")
-    return grades.withColumn("rank", F.row_number().over(w))
+    """Papers with a total, highest first; failed ones follow. A total order: ties by path.
+
+    Totals have one decimal, so there are about a thousand: how many papers stand above each is counted first, and
+    papers are ordered among those of their total only."""
+    # null totals come last; counts of totals are a thousand rows
+    above = Window.orderBy(F.col("total").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = grades.groupBy("total").agg(F.count("*").alias("n")).withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+    counts = counts.select(F.col("total").alias("of_total"), "above")
+    x = grades.join(F.broadcast(counts), F.col("total").eqNullSafe(F.col("of_total")))
+    rank = F.row_number().over(Window.partitionBy("total").orderBy("path"))
+    return x.withColumn("rank", (rank + F.col("above")).cast("int")).select(*grades.columns, "rank")
 
 
 def batch_stats(grades: DataFrame) -> DataFrame:
@@ -143,17 +228,48 @@ def cached(wanted: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def token_usage(calls: DataFrame) -> DataFrame:
-    return calls.agg(F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"), F.count("*").alias("requests"))
-
-
-def report_markdown(grades: DataFrame, scores: DataFrame) -> DataFrame:
-    """A Markdown report for each paper."""
-    warn = F.when(F.col("confidence") < G.LOW_CONFIDENCE, " ⚠").otherwise("")
-    line = F.format_string("| %s | %d | %.1f | %.1f | %.2f%s |", "name", "weight", "score", F.bround(F.col("score") * F.col("weight") / 100, 1), "confidence", warn)
-    rows = scores.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("dim_no", line.alias("line")))).alias("d"))
-    x = grades.join(rows, "path")
-    head = F.format_string("# %s\n\n总分 %.1f（%s），置信度 %.2f\n\n| 维度 | 权重 | 得分 | 加权 | 置信度 |\n|---|---|---|---|---|\n", "path", "total", "band", "confidence")
-    tail = F.when(F.size("flags") > 0, F.concat(F.lit("\n\n"), F.array_join(F.transform("flags", lambda f: F.concat(F.lit("- "), f)), "\n"))).otherwise("")
-    return x.select("path", F.concat(head, F.array_join(F.transform("d", lambda r: r["line"]), "\n"), tail).alias("markdown"))
-
-
+    """What calls used: rows with ``usage``, as :func:`asked` gives them, or with its fields."""
+    own = calls.select("usage.*") if "usage" in calls.columns else calls
+    requests = F.coalesce(F.sum("requests"), F.lit(0)) if "requests" in own.columns else F.count("*")
+    return own.agg(F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"), requests.alias("requests"))
+
+
+def report_markdown(grades: DataFrame) -> DataFrame:
+    """path, name and a Markdown report for each graded paper (rows of :func:`grade`, or any with its columns)."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    weak = F.when(F.col("confidence") < G.LOW_CONFIDENCE, "　⚠️ 建议人工复核").otherwise("")
+    head = F.concat(
+        F.lit("# 《"), F.when(text(F.col("title")) == "", F.col("path")).otherwise(F.col("title")), F.lit("》批改报告\n\n- **文件**："), "path",
+        F.lit("\n- **论文类型**："), text(F.col("rubric_name")), F.format_string("\n- **总分**：**%.1f**（%s）", "total", "band"),
+        F.format_string("\n- **评分置信度**：%.2f", "confidence"), weak, F.lit("\n- **篇幅**：约 "), F.col("n_chars").cast("string"), F.lit(" 字\n- **标记**："),
+        F.when(F.size("flags") > 0, F.array_join("flags", "；")).otherwise("无"), F.lit("\n\n## 分维度评分\n\n| 维度 | 权重 | 得分 | 加权得分 | 置信度 |\n|---|---|---|---|---|\n"),
+    )
+    line = lambda d: F.format_string("| %s | %d | %.0f | %.1f | %.2f |\n", d["name"], d["weight"], d["score"], F.bround(d["score"] * d["weight"] / 100, 1), d["confidence"])
+    rows = F.array_join(F.transform("dimensions", line), "")
+    total = F.format_string("| **合计** | 100 | — | **%.1f** | — |\n\n", "total")
+
+    def part(d: Column) -> Column:
+        quoted = F.concat(F.lit("**原文证据**：\n"), F.array_join(F.transform(d["evidence"], lambda e: F.concat(F.lit("> "), e)), "\n"), F.lit("\n\n"))
+        doubt = F.concat(F.lit("**⚠️ 学术规范提示**："), d["suspicions"], F.lit("\n\n"))
+        said = F.when(text(d["comment"]) == "", "（无评语）").otherwise(d["comment"])
+        return F.concat(F.format_string("### %s：%.0f 分\n\n", d["name"], d["score"]), said, F.lit("\n\n"), F.when(F.size(d["evidence"]) > 0, quoted).otherwise(""), F.when(text(d["suspicions"]) != "", doubt).otherwise(""))
+
+    parts = F.array_join(F.transform("dimensions", part), "")
+    listed = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(f"## {title}\n"), F.array_join(F.transform(c, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s)), "\n"), F.lit("\n\n"))).otherwise("")
+    whole = F.when(text(F.col("overall_comment")) != "", F.concat(F.lit("## 总评\n\n"), "overall_comment", F.lit("\n\n"))).otherwise("")
+    page = F.concat(head, rows, total, parts, whole, listed("主要优点", F.col("strengths")), listed("修改建议", F.col("improvements")), F.date_format(F.current_timestamp(), "'---\n*生成时间：'yyyy-MM-dd HH:mm'*'"))
+    name = F.concat(F.lit("批改报告__"), G.paper_key(F.col("path")), F.lit(".md"))
+    return grades.where("error is null").select("path", name.alias("name"), page.alias("markdown"))
+
+
+def graded(scores: DataFrame, papers: DataFrame, dims: DataFrame, *, bands: tuple = G.BANDS) -> DataFrame:
+    """The columns of :func:`grade` from scores without a model, such as :func:`mock_scores`."""
+    has = lambda c, none: F.col(c) if c in scores.columns else F.lit(none)
+    own = F.struct("dim_no", "name", F.col("weight").cast("int").alias("weight"), "score", "confidence", "evidence", has("comment", "").alias("comment"), "suspicions")
+    by = scores.groupBy("path").agg(F.array_sort(F.collect_list(own)).alias("dimensions"))
+    t = totals(scores)
+    names = F.broadcast(dims.groupBy("ptype").agg(F.first("rubric_name").alias("rubric_name")))
+    text = papers.select("path", G.title(F.col("text")).alias("title"), F.char_length("text").alias("n_chars"))
+    none = F.array().cast("array<string>")
+    x = t.join(by, "path").join(names, "ptype", "left").join(text, "path")
+    return x.select("path", "ptype", "rubric_name", "title", "n_chars", "total", G.band(F.col("total"), bands).alias("band"), "confidence", "dimensions", F.lit("").alias("overall_comment"), none.alias("strengths"), none.alias("improvements"), "flags", F.lit(None).cast("string").alias("error"))

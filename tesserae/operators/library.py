@@ -17,19 +17,21 @@ def with_sha(files: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def new_documents(files: DataFrame, known: DataFrame, *, order_col: str) -> DataFrame:
-    """Files whose content the library lacks: the first of each content in ``order_col``."""
-    first = files.withColumn("rn", F.row_number().over(Window.partitionBy("sha256").orderBy(order_col))).where("rn = 1").drop("rn")
-    return first.join(known.select("sha256"), "sha256", "left_anti")
+    """Files whose content the library lacks: the first of each content in ``order_col``. Digests are aggregated before
+    they move, so a content that occurs very often gathers nowhere."""
+    first = files.groupBy("sha256").agg(F.min(order_col).alias("first_of_content")).join(known.select("sha256"), "sha256", "left_anti")
+    x = files.join(first.withColumnRenamed("sha256", "sha_of_content"), (F.col("sha256") == F.col("sha_of_content")) & (F.col(order_col) == F.col("first_of_content")))
+    return x.dropDuplicates(["sha256", order_col]).select(*files.columns)
 
 
 def numbered(new: DataFrame, known: DataFrame, *, order_col: str) -> DataFrame:
     """New documents with ids after the library's. Counts of id ranges come first, so no task numbers all rows."""
     top = known.agg(F.max("doc_id")).first()[0] or 0
-    parts = 64
+    parts = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = new.withColumn("bucket", F.pmod(F.xxhash64("sha256"), F.lit(parts)))
     x = x.withColumn("rn", F.row_number().over(Window.partitionBy("bucket").orderBy(order_col)))
     sizes = x.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    x = x.join(F.broadcast(sizes.select("bucket", "before")), "bucket")  # 64 rows
+    x = x.join(F.broadcast(sizes.select("bucket", "before")), "bucket")  # a row for each partition
     return x.withColumn("doc_id", F.col("before") + F.col("rn") + F.lit(top)).drop("bucket", "rn", "before")
 
 
@@ -62,8 +64,7 @@ def report_no(sha: Column, at: Column) -> Column:
 
 def latest_reports(reports: DataFrame) -> DataFrame:
     """The last row of each report number."""
-    w = Window.partitionBy("report_no").orderBy(F.col("created_at").desc())
-    return reports.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    return reports.groupBy("report_no").agg(F.max_by(F.struct(*reports.columns), "created_at").alias("r")).select("r.*")
 
 
 def cached_reports(wanted: DataFrame, reports: DataFrame) -> DataFrame:

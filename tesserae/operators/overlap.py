@@ -6,6 +6,10 @@ have ``fp`` as well. Matches: q_doc, q_idx, doc_id, s_idx, s_display, d, m, sim,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +20,14 @@ from ..functions import text as T
 MIN_PENDING = 10
 SPAN_GAP = 2
 EVIDENCE = 3
+#: Forms and characters of a query side that is broadcast for containment: a few megabytes at most.
+ASKED_FORMS, ASKED_CHARS = 4096, 1_000_000
+DENSE = 4_000_000  # counters of one batch
 
 
 def fingerprinted(sents: DataFrame) -> DataFrame:
-    """Adds fp; each distinct normal form is hashed once."""
-    own = sents.select("norm").distinct().withColumn("fp", fp.simhash("norm"))
-    return sents.join(own, "norm").select(*sents.columns, "fp")
+    """Adds fp: a map over the sentences, as hashing one costs less than moving it."""
+    return sents.withColumn("fp", fp.simhash("norm"))
 
 
 def candidates(query: DataFrame, library: DataFrame) -> DataFrame:
@@ -86,19 +92,70 @@ def _decided(x: DataFrame, score: Column, recall: float, strong: float) -> DataF
     return x.withColumn("min_block", F.lit(None).cast("int")).select("q_doc", "q_idx", "doc_id", "s_idx", "s_display", "d", "m", "sim", "tier", "cos", "min_block")
 
 
+def _bigram_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct bigrams of each text: their numbers in ascending order, and the text of each."""
+    codes, count = fp.bigram_codes(texts)
+    row = np.repeat(np.arange(len(texts)), count)
+    order = np.lexsort((row, codes))
+    codes, row = codes[order], row[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])
+    return codes[new], row[new]
+
+
+def _shared_broadcast(forms: DataFrame, library: DataFrame) -> DataFrame:
+    """Pairs by a query side that fits in each task: its inverted lists are broadcast, and each batch of library forms is
+    counted against them. forms: q_norm, of bounded number and length."""
+    spark = forms.sparkSession
+    asked = [r["q_norm"] for r in forms.collect()]
+    held = spark.sparkContext.broadcast((asked, *_bigram_rows(asked)))
+
+    def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, grams, queries = held.value
+        n = len(names)
+        sizes = np.bincount(queries, minlength=n)
+        for b in batches:
+            step = max(1, DENSE // max(1, n))
+            for at in range(0, b.num_rows, step):
+                texts = b.column(0).slice(at, step).to_pylist()
+                codes, row = _bigram_rows(texts)
+                own_sizes = np.bincount(row, minlength=len(texts))
+                lo, hi = np.searchsorted(grams, codes, side="left"), np.searchsorted(grams, codes, side="right")
+                hits = hi - lo
+                place = np.repeat(lo - np.concatenate(([0], np.cumsum(hits)[:-1])), hits) + np.arange(hits.sum())
+                both = np.bincount(np.repeat(row, hits) * n + queries[place], minlength=len(texts) * n)
+                key = np.flatnonzero(both)
+                t, q = key // n, key % n
+                score = both[key] / np.minimum(own_sizes[t], sizes[q])
+                keep = score >= sm.CONTAIN_RECALL
+                found = ([names[i] for i in q[keep]], pa.string()), ([texts[i] for i in t[keep]], pa.string()), (score[keep], pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(*x) for x in found], ["q_norm", "norm", "score"])
+
+    return library.select("norm").distinct().mapInArrow(count_shared, "q_norm string, norm string, score double")
+
+
+def _shared_lists(forms: DataFrame, library: DataFrame) -> DataFrame:
+    """Pairs by an equi-join of inverted lists and a count; pairs are two numbers until their score is known."""
+    sets = lambda x, n: x.select(F.xxhash64(n).alias(n + "_id"), F.array_distinct(T.bigrams(F.col(n))).alias("set"))
+    ql = sets(forms, "q_norm").select("q_norm_id", F.size("set").alias("qn"), F.explode("set").alias("g"))
+    sl = sets(library.select("norm").distinct(), "norm").select("norm_id", F.size("set").alias("sn"), F.explode("set").alias("g"))
+    both = ql.join(sl, "g").groupBy("q_norm_id", "norm_id", "qn", "sn").agg(F.count("*").alias("both"))
+    pairs = both.withColumn("score", F.col("both") / F.least("qn", "sn")).where(F.col("score") >= sm.CONTAIN_RECALL)
+    named = lambda x, n: x.select(n, F.xxhash64(n).alias(n + "_id")).distinct()
+    return pairs.join(named(forms, "q_norm"), "q_norm_id").join(named(library, "norm"), "norm_id").select("q_norm", "norm", "score")
+
+
 def containment_top(query: DataFrame, library: DataFrame, k: int = sm.TOP) -> DataFrame:
     """For each query sentence the k library sentences that contain most of its bigrams, by smaller set.
 
-    Inverted lists of bigrams give the size of each intersection: an equi-join and a count, no pair without a common
-    bigram is made. The lists hold distinct normal forms. Sentences without a common bigram have score 0, below
-    every threshold that follows, and are left out. Ties go to the smaller (doc_id, s_idx).
+    Both sides are first reduced to distinct normal forms. The query side's number and length are counted: up to
+    ``ASKED_FORMS`` and ``ASKED_CHARS`` it is broadcast and the library is scanned once; beyond, inverted lists are
+    joined. Both are exact. Sentences without a common bigram have score 0, below every threshold that follows, and
+    are left out. Ties go to the smaller (doc_id, s_idx).
     """
-    sets = lambda x, p: x.select(F.col("norm").alias(p + "norm")).distinct().withColumn("set", F.array_distinct(T.bigrams(F.col(p + "norm"))))
-    q, s = sets(query, "q_"), sets(library, "")
-    ql = q.select("q_norm", F.size("set").alias("qn"), F.explode("set").alias("g"))
-    sl = s.select("norm", F.size("set").alias("sn"), F.explode("set").alias("g"))
-    both = ql.join(sl, "g").groupBy("q_norm", "norm", "qn", "sn").agg(F.count("*").alias("both"))
-    pairs = both.withColumn("score", F.col("both") / F.least("qn", "sn")).where(F.col("score") >= sm.CONTAIN_RECALL)
+    forms = query.select(F.col("norm").alias("q_norm")).distinct()
+    n, chars = forms.agg(F.count("*"), F.coalesce(F.sum(F.char_length("q_norm")), F.lit(0))).first()
+    pairs = (_shared_broadcast if n <= ASKED_FORMS and chars <= ASKED_CHARS else _shared_lists)(forms, library)
     lib = library.select("doc_id", F.col("idx").alias("s_idx"), F.col("display").alias("s_display"), "norm")
     # the k best of each form first: a sentence's k best are among its form's
     w = Window.partitionBy("q_norm").orderBy(F.col("score").desc(), "doc_id", "s_idx")
@@ -144,8 +201,8 @@ def cosine_top(query: DataFrame, library: DataFrame, k: int = sm.TOP) -> DataFra
 
 
 def all_matches(query: DataFrame, library: DataFrame, *, fallback: bool = True, vectors: DataFrame | None = None) -> DataFrame:
-    """Literal matches and, for sentences without one, the fallback's. Literal matches are used twice and kept."""
-    literal = literal_matches(query, library).persist()
+    """Literal matches and, for sentences without one, the fallback's."""
+    literal = literal_matches(query, library)
     return literal.unionByName(fallback_matches(pending(query, literal), library, vectors)) if fallback else literal
 
 

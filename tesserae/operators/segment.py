@@ -1,57 +1,83 @@
-"""Documents to sentences and chapters."""
+"""Documents to sentences and chapters. All is worked out within a row, so nothing is shuffled and rows that share an
+id, or have none, stay apart."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+_BLOCK = 64
 
-def body_lines(text: Column) -> Column:
-    """Lines, with their ends, before the first line that opens the references."""
-    raw = T.raw_lines(F.coalesce(text, F.lit("")))
+
+def body_lines(raw: Column) -> Column:
+    """Of a text's lines with their ends, those before the first that opens the references."""
     cut = F.array_position(F.transform(raw, T.is_references), F.lit(True))
     return F.when(cut > 0, F.slice(raw, F.lit(1), (cut - 1).cast("int"))).otherwise(raw)
 
 
 def excluded_chars(text: Column) -> Column:
     """Characters from the references line to the end."""
-    kept = F.aggregate(body_lines(text), F.lit(0), lambda a, x: a + F.char_length(x))
+    kept = F.aggregate(body_lines(T.raw_lines(F.coalesce(text, F.lit("")))), F.lit(0), lambda a, x: a + F.char_length(x))
     return F.char_length(F.coalesce(text, F.lit(""))) - kept
 
 
-def _placed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    raw = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(body_lines(F.col(text_col))).alias("line_no", "ended"))
-    raw = raw.withColumn("raw", T.without_end(F.col("ended"))).withColumn("line", T.strip(F.col("raw")))
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("int")
-    return raw.withColumn("pos", total(F.char_length("raw") + 1)).withColumn("cursor", total(F.char_length("ended")))
+def starts(sizes: Column) -> Column:
+    """The sum of the sizes before each. Blocks of sums are built by themselves and then joined, as adding to one long
+    array would copy it again and again."""
+    none = F.array().cast("array<int>")
+
+    def within(a: Column, x: Column) -> Column:
+        return F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+
+    def block(a: Column, i: Column) -> Column:
+        own = F.aggregate(F.slice(sizes, i * _BLOCK + 1, F.lit(_BLOCK)), F.struct(a["at"].alias("at"), none.alias("out")), within)
+        return F.get(F.transform(F.array(own), lambda o: F.struct(o["at"].alias("at"), F.concat(a["out"], F.array(o["out"])).alias("out"))), F.lit(0))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+    blocks = F.sequence(F.lit(0), F.ceil(F.size(sizes) / _BLOCK).cast("int") - 1)
+    return F.when(F.size(sizes) > 0, F.aggregate(blocks, zero, block, lambda a: F.flatten(a["out"]))).otherwise(none)
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, and arrays: ended (lines with their ends), raw (without), line (stripped)."""
+    x = docs.select(F.col(id_col).alias("doc_id"), T.raw_lines(F.coalesce(F.col(text_col), F.lit(""))).alias("all"))
+    x = x.select("doc_id", body_lines(F.col("all")).alias("ended")).select("*", F.transform("ended", T.without_end).alias("raw"))
+    return x.select("*", F.transform("raw", T.strip).alias("line"))
 
 
 def sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, idx, display, norm, start, end. Headings are sentences of their own; other lines are cut after
     sentence ends and parts whose normal form is shorter than six are left out. Offsets count one for each line end.
-    One shuffle, by document."""
-    x = _placed_lines(docs, id_col, text_col).where("line <> ''")
-    heading = T.is_heading(F.col("line"))
-    parts = F.when(heading, F.array("line")).otherwise(T.sentence_parts(F.col("line")))
-    x = x.withColumn("heading", heading).withColumn("parts", parts).select("*", F.posexplode("parts").alias("part_no", "part"))
-    at = F.aggregate(F.slice("parts", F.lit(1), F.col("part_no")), F.col("pos"), lambda a, p: a + F.char_length(p))
-    x = x.withColumn("start", at).withColumn("end", F.col("start") + F.char_length("part")).withColumn("norm", T.normalize(F.col("part")))
-    x = x.where((F.col("heading") & (F.col("part") != "")) | (F.char_length("norm") >= T.MIN_SENTENCE))
-    idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "part_no")) - 1
-    return x.select("doc_id", idx.alias("idx"), T.strip(F.col("part")).alias("display"), "norm", "start", "end")
+    A null or empty text has no sentence."""
+    x = _lines(docs, id_col, text_col).withColumn("pos", starts(F.transform("raw", lambda r: F.char_length(r) + 1)))
+
+    def of_line(z: Column) -> Column:
+        line = z["line"]
+        heading = T.is_heading(line)
+        parts = F.when(line == "", F.array().cast("array<string>")).when(heading, F.array(line)).otherwise(T.sentence_parts(line))
+        placed = lambda p, at: F.struct(p.alias("part"), (z["pos"] + at).alias("start"), T.normalize(p).alias("norm"), heading.alias("heading"))
+        # most lines are one part, which needs no sums
+        return F.get(F.transform(F.array(parts), lambda ps: F.when(F.size(ps) < 2, F.transform(ps, lambda p: placed(p, F.lit(0)))).otherwise(F.zip_with(ps, starts(F.transform(ps, F.char_length)), placed))), F.lit(0))
+
+    own = F.flatten(F.transform(F.arrays_zip("line", "pos"), of_line))
+    kept = F.filter(own, lambda s: s["heading"] | (F.char_length(s["norm"]) >= T.MIN_SENTENCE))
+    x = x.select("doc_id", F.posexplode(kept).alias("idx", "s"))
+    start = F.col("s.start")
+    return x.select("doc_id", "idx", T.strip(F.col("s.part")).alias("display"), F.col("s.norm").alias("norm"), start.alias("start"), (start + F.char_length("s.part")).alias("end"))
 
 
 def chapters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scope: str = "heading") -> DataFrame:
     """doc_id, ch_no, title, start, end of each heading. ``scope="section"`` lets a chapter reach to the next one."""
-    x = _placed_lines(docs, id_col, text_col).where(T.is_heading(F.col("line")) & (F.col("line") != ""))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    end = F.col("cursor") + F.char_length("ended")
+    x = _lines(docs, id_col, text_col).withColumn("cursor", starts(F.transform("ended", F.char_length)))
+    found = F.filter(F.arrays_zip("line", "ended", "cursor"), lambda z: (z["line"] != "") & T.is_heading(z["line"]))
+    x = x.select("doc_id", found.alias("found"))
+    x = x.select("doc_id", "found", F.posexplode("found").alias("ch_no", "h"))
+    end = F.col("h.cursor") + F.char_length("h.ended")
     if scope == "section":
-        end = F.coalesce(F.lead("cursor").over(w), F.lit(2**31 - 1))
-    return x.select("doc_id", (F.row_number().over(w) - 1).alias("ch_no"), T.heading_title(F.col("line")).alias("title"), F.col("cursor").alias("start"), end.alias("end"))
+        end = F.coalesce(F.get("found", F.col("ch_no") + 1)["cursor"], F.lit(2**31 - 1))
+    return x.select("doc_id", "ch_no", T.heading_title(F.col("h.line")).alias("title"), F.col("h.cursor").alias("start"), end.alias("end"))
 
 
 def body_chars(sents: DataFrame) -> DataFrame:

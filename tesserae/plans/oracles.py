@@ -113,11 +113,14 @@ def _digits(x: str, core: str) -> str:
 _REDACT = _digits(_digits(_digits(_MAIL, "[0-9]{17}[0-9Xx]"), "(?:\\+?86[-\\s]?)?1[3-9][0-9]{9}"), "[0-9]{3}-[0-9]{4}-[0-9]{4}")
 _REDACT = f"regexp_replace({_REDACT}, '(?:学号|工号|学籍号)[:：\\s]*[A-Za-z0-9]{{6,20}}', '[已脱敏]', 'g')"
 
+_ABSTRACT = "'本文第 ' || doc_id || ' 号材料研究河流沉积物的来源与搬运过程，比较三种取样方法，讨论潮汐对河口盐度分布的影响及其多年变化，并给出误差的估计。'"
+_PARTS = f"SELECT item_id AS doc_id, '## part one' || {_NL} || text || {_NL} || '## part two' || {_NL} || 'This closing line of number ' || item_id || ' has no source anywhere.' AS text FROM benchmark"
+
 ORACLE_SQL: dict[str, str] = {
     "doc_sentences": f"WITH {_LIB} SELECT doc_id, idx::INT AS idx, norm, start_at::INT AS start_at, end_at::INT AS end_at FROM lib",
     "normalize_text": f"SELECT doc_id, md5({_norm('text')}) AS norm_md5, length({_norm('text')})::INT AS norm_chars FROM documents",
     "body_chars": f"WITH {_LIB} SELECT doc_id, sum(length(norm))::BIGINT AS body_chars, count(*) AS n_sentences FROM lib GROUP BY 1",
-    "ref_cut": "SELECT doc_id, length('  References ' || chr(10) || '[1] A source.' || chr(10))::INT AS excluded_ref_chars FROM documents",
+    "ref_cut": "SELECT doc_id, length('  References ' || chr(10) || '[1] ' || source || chr(10))::INT AS excluded_ref_chars FROM documents",
     "char_bigrams": f"WITH {_LIB} SELECT g AS bigram, count(*) AS n FROM (SELECT unnest({_GRAMS}) AS g FROM lib) GROUP BY 1",
     "fnv1a64_bigrams": f"WITH {_LIB}, gg AS (SELECT DISTINCT g FROM (SELECT unnest({_GRAMS}) AS g FROM lib)) SELECT g AS bigram, lpad(lower(to_hex(({_FNV})::UBIGINT)), 16, '0') AS fnv FROM gg",
     "sentence_simhash": f"WITH {_LIB},{_fingerprints('SELECT norm FROM lib')} SELECT norm, {_SIGNED} AS fp FROM fps",
@@ -147,7 +150,7 @@ SELECT q_doc, span::BIGINT AS span, min(q_idx)::INT AS q_start, max(q_idx)::INT
 s AS (SELECT q.vec_id AS q_id, l.vec_id AS id, list_cosine_similarity(q.e, l.e) AS score FROM v q, v l WHERE q.vec_id % 100 = 0)
 SELECT q_id, id, round_even(score, 6) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 3""",
     "library_dedup": "SELECT doc_id, sha256(text) AS sha256 FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM benchmark)",
-    "known_doc_skip": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM conversations)",
+    "known_doc_skip": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'de')",
     "library_stats": f"WITH {_LIB} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT sum(n_chars)::BIGINT FROM documents) AS n_chars, (SELECT count(*) FROM lib) AS sentences",
     "library_text": f"WITH {_LIB} SELECT doc_id, md5(string_agg(display, '' ORDER BY idx)) AS text_md5 FROM lib GROUP BY 1",
     "params_key": f"WITH {_LIB} SELECT substr(sha256('true|' || (SELECT count(*) FROM documents) || '|' || (SELECT sum(n_chars)::BIGINT FROM documents) || '|' || (SELECT count(*) FROM lib)), 1, 16) AS params_key",
@@ -155,8 +158,23 @@ SELECT q_id, id, round_even(score, 6) AS score, rank::INT AS rank FROM (SELECT *
     "report_latest_wins": "SELECT 'R' || (event_id % 500) AS report_no, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 500 ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "task_retention": "SELECT event_id, ts FROM events WHERE date_diff('second', date_trunc('second', ts), (SELECT date_trunc('second', max(ts)) FROM events)) <= 7200 ORDER BY ts DESC, event_id DESC LIMIT 20",
     "pii_redaction": f"SELECT doc_id, md5({_REDACT}) AS redacted_md5, length({_REDACT})::INT AS redacted_chars FROM documents",
-    "paper_meta": f"""WITH {_PAPERS} SELECT path, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '^#+', ''), '^\\s+|\\s+$', '', 'g')), lambda x: length(x) >= 4)[1], '') AS title,
-'' AS abstract, '' AS keywords, least(30, {_HEADS})::INT AS n_headings, length(text)::INT AS n_chars, 'course' AS ptype FROM papers""",
+    "paper_meta": f"""WITH papers AS (SELECT doc_id, '摘要：' || {_ABSTRACT} || chr(10) || '关键词：河流；沉积；编号' || doc_id || chr(10) || text AS text FROM documents)
+SELECT CASE doc_id % 3 WHEN 0 THEN '毕业论文-' WHEN 1 THEN 'journal-' ELSE '' END || doc_id || '.txt' AS path, '摘要：' || {_ABSTRACT} AS title, {_ABSTRACT} AS abstract, '河流；沉积；编号' || doc_id AS keywords,
+  least(30, {_HEADS})::INT AS n_headings, length(text)::INT AS n_chars, CASE doc_id % 3 WHEN 0 THEN 'thesis' WHEN 1 THEN 'journal' ELSE 'course' END AS ptype FROM papers""",
+    "text_chunks": f"""WITH RECURSIVE {_PAPERS},
+l AS (SELECT path, replace(text, {_NL}, {_NL} || {_NL}) AS whole, list_filter(list_transform(string_split(text, {_NL}), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS own FROM papers),
+p AS (SELECT path, CASE WHEN len(own) > 0 THEN own WHEN whole <> '' THEN [whole] ELSE [] END AS ps FROM l),
+f AS (SELECT path, 1 AS i, 0 AS no, ps[1] AS buf FROM p WHERE len(ps) > 0
+  UNION ALL SELECT f.path, f.i + 1, CASE WHEN length(f.buf) + length(p.ps[f.i + 1]) > 1000 THEN f.no + 1 ELSE f.no END,
+    CASE WHEN length(f.buf) + length(p.ps[f.i + 1]) > 1000 THEN p.ps[f.i + 1] ELSE f.buf || {_NL} || {_NL} || p.ps[f.i + 1] END FROM f JOIN p USING (path) WHERE f.i < len(p.ps))
+SELECT path, no::INT AS chunk_no, length(arg_max(buf, i))::INT AS chars, md5(arg_max(buf, i)) AS chunk_md5 FROM f GROUP BY path, no""",
+    "chapter_heat": f"""{_ALL.replace(_ITEMS, _PARTS)},
+src AS (SELECT item_id AS doc_id, length('## part one' || {_NL} || text || {_NL}) AS mid FROM benchmark),
+chap AS (SELECT doc_id, 0 AS ch_no, 'part one' AS title, 0 AS lo, mid AS hi FROM src UNION ALL SELECT doc_id, 1, 'part two', mid, 2147483647 FROM src),
+heat AS (SELECT c.doc_id, c.ch_no, c.title, coalesce(sum(length(a.norm)), 0) AS chars, coalesce(sum(CASE WHEN b.q_idx IS NOT NULL THEN length(a.norm) END), 0) AS hit
+  FROM chap c LEFT JOIN ask a ON a.doc_id = c.doc_id AND a.start_at >= c.lo AND a.start_at < c.hi LEFT JOIN best b ON b.q_doc = a.doc_id AND b.q_idx = a.idx GROUP BY ALL)
+SELECT doc_id, ch_no, title, chars::BIGINT AS chars, hit::BIGINT AS hit_chars, ratio, CASE WHEN ratio >= 0.4 THEN '#c0392b' WHEN ratio >= 0.2 THEN '#e67e22' WHEN ratio > 0 THEN '#f1c40f' ELSE '#2ecc71' END AS color
+FROM (SELECT *, CASE WHEN chars > 0 THEN round_even(hit / chars, 4) ELSE 0.0 END AS ratio FROM heat)""",
     "sample_excerpt": f"""WITH {_PAPERS} SELECT path, md5(CASE WHEN length(text) <= 3600 THEN text ELSE substr(text, 1, 1800) || chr(10) || chr(10) || '……（中略）……' || chr(10) || chr(10)
 || substr(text, length(text) // 2 - 299, 1000) || chr(10) || chr(10) || '……（后略）……' || chr(10) || chr(10) || right(text, 800) END) AS excerpt_md5 FROM papers""",
     "mock_scores": f"""{_SCORES}, two AS (SELECT *, len(s) AS n, CASE WHEN len(s) > 0 THEN (h % len(s)::UHUGEINT)::INT END AS a, CASE WHEN len(s) > 0 THEN ((h // len(s)::UHUGEINT) % len(s)::UHUGEINT)::INT END AS b0 FROM scores),

@@ -37,11 +37,11 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lib(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.fingerprinted(segment.sentences(docs(spark, d))).persist()
+    return overlap.fingerprinted(segment.sentences(docs(spark, d)))
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.fingerprinted(segment.sentences(items(spark, d))).persist()
+    return overlap.fingerprinted(segment.sentences(items(spark, d)))
 
 
 def papers(spark: SparkSession, d: str) -> DataFrame:
@@ -69,8 +69,8 @@ def body_chars(spark, d):
 
 
 def ref_cut(spark, d):
-    with_refs = F.concat("text", F.lit("\n  References \n[1] A source.\n"))
-    return docs(spark, d).select("doc_id", segment.excluded_chars(with_refs).alias("excluded_ref_chars"))
+    with_refs = F.concat("text", F.lit("\n  References \n[1] "), "source", F.lit("\n"))
+    return table(spark, d, "documents").select("doc_id", segment.excluded_chars(with_refs).alias("excluded_ref_chars"))
 
 
 def char_bigrams(spark, d):
@@ -153,11 +153,11 @@ def evidence_top3(spark, d):
 
 
 def chapter_heat(spark, d):
-    """Items get a heading before them, so that each has a chapter; chapters reach to the next heading."""
-    text = F.concat(F.lit("## part one\n"), "text", F.lit("\n## part two\n"), "text")
-    own = items(spark, d).withColumn("text", text)
+    """Items stand in a part of their own, before a part without a source; chapters reach to the next heading."""
+    closing = F.concat(F.lit("\n## part two\nThis closing line of number "), F.col("doc_id").cast("string"), F.lit(" has no source anywhere."))
+    own = items(spark, d).withColumn("text", F.concat(F.lit("## part one\n"), "text", closing))
     q, s = overlap.fingerprinted(segment.sentences(own)), lib(spark, d)
-    heat = overlap.chapter_heat(q, segment.chapters(own, scope="section"), overlap.best_matches(overlap.literal_matches(q, s)))
+    heat = overlap.chapter_heat(q, segment.chapters(own, scope="section"), overlap.best_matches(overlap.all_matches(q, s)))
     return heat.select("doc_id", "ch_no", "title", "chars", "hit_chars", "ratio", "color")
 
 
@@ -181,7 +181,7 @@ def library_dedup(spark, d):
 
 def known_doc_skip(spark, d):
     first = _files(spark, d)
-    known = library.with_sha(table(spark, d, "conversations").select("text"))
+    known = library.with_sha(table(spark, d, "documents").where("lang = 'de'").select("text"))
     return first.join(known.select("sha256").distinct(), "sha256", "left_anti").select("doc_id", "sha256")
 
 
@@ -229,7 +229,12 @@ def pii_redaction(spark, d):
 
 
 def paper_meta(spark, d):
-    return grading.paper_meta(papers(spark, d)).select("path", "title", "abstract", "keywords", F.size("headings").alias("n_headings"), "n_chars", "ptype")
+    """Documents with an abstract and keywords before them, under names of three types."""
+    n = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("毕业论文-"), n)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("journal-"), n)).otherwise(n)
+    said = F.concat(F.lit("摘要：本文第 "), n, F.lit(" 号材料研究河流沉积物的来源与搬运过程，比较三种取样方法，讨论潮汐对河口盐度分布的影响及其多年变化，并给出误差的估计。\n关键词：河流；沉积；编号"), n, F.lit("\n"))
+    own = docs(spark, d).select(F.concat(name, F.lit(".txt")).alias("path"), F.concat(said, "text").alias("text"))
+    return grading.paper_meta(own).select("path", "title", "abstract", "keywords", F.size("headings").alias("n_headings"), "n_chars", "ptype")
 
 
 def text_chunks(spark, d):

@@ -63,9 +63,11 @@ def test_fingerprints(spark):
 
 
 def test_tiers_at_their_borders(spark):
-    pairs = [("a" * 20, "a" * 16 + "b" * 4), ("a" * 20, "a" * 13 + "b" * 7), ("a" * 20, "a" * 12 + "b" * 8), ("a" * 20, "b" * 20), ("a" * 20, "a" * 11 + "b" * 9), ("a" * 20, "a" * 9), ("", "")]
+    pairs = [("a" * 20, "a" * 16 + "b" * 4), ("a" * 20, "a" * 13 + "b" * 7), ("a" * 20, "a" * 12 + "b" * 8), ("a" * 20, "b" * 20), ("a" * 20, "a" * 11 + "b" * 9), ("a" * 20, "b" * 9 + "a" * 11), ("a" * 20, "a" * 9), ("b" * 7 + "a" * 11, "a" * 18 + "cc"), ("", "")]
     x = spark.createDataFrame(pairs, "a string, b string").withColumn("d", sm.distance("a", "b")).withColumn("m", sm.longest(F.col("a"), F.col("b"))).withColumn("t", sm.tier(F.col("d"), F.col("m"))).collect()
-    assert [r["t"] for r in x] == ["copy", "near", "suspect", None, None if x[4]["d"] == 20 else "suspect", None, None]
+    # at 9 of 20 a pair counts only if each row of the table has a value below 9: as the last two do where 2 of the 9 are
+    # insertions at the end
+    assert [r["t"] for r in x] == ["copy", "near", "suspect", None, None, None, None, "suspect", None]
 
 
 def test_check(tables):
@@ -82,7 +84,7 @@ def test_check(tables):
     j = sinks.summary_json(overlap.summary(query, overlap.best_matches(m)), overlap.source_stats(query, overlap.best_matches(m)))
     assert json.loads(j.first()["json"])["sources"][0]["n_matches"] == 2
     html = sinks.report_html(query, sinks.hit_rows(overlap.best_matches(m), overlap.evidence(m)), j).first()["html"]
-    assert html.count("<mark") == 2
+    assert html.count("<mark ") == 2
     assert overlap.all_matches(query.limit(0), lib).count() == 0
 
 
@@ -135,11 +137,8 @@ def test_grading(spark):
     assert sorted(r["error"] or "" for r in scores.where("path = 'p2'").collect())[0].startswith("no answer")
     t = grading.totals(scores.where("error is null")).first()
     assert (t["total"], t["band"], t["confidence"]) == (84.0, "良好", 0.5) and "人工复评" in t["flags"][0]
-    assert "84.0" in grading.report_markdown(grading.totals(scores.where("error is null")), scores.where("error is null")).first()["markdown"]
     mock = grading.mock_scores(papers, dims).collect()
     assert all(35 <= r["score"] <= 96 and r["evidence"] == [] for r in mock)
-    notes = grading.map_chunks(spark.createDataFrame([("p", "aaaa\n\nbbbb")], "path string, text string"), lambda: (lambda c: c.upper()), size=4, limit=5).first()
-    assert (notes["notes"], notes["n_chunks"]) == ("AAAA\nBBBB", 2)
 
 
 def test_cache_signature(spark):

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,22 +25,41 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder (not yet made) that the driver and all executors see.
 
-    It lies in the folder named by ``spark.checkpoint.dir``; only where that is unset, as in local tests, a
-    local folder is set.
+    It lies in the folder named by ``spark.checkpoint.dir``. Where that is unset, a session in one process, as in tests,
+    gets a local folder; any other must name one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="tesserae-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-shared-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/tesserae/{label}-{uuid.uuid4().hex}"
 
 
+def arrow_path(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system and path of a folder as Spark names it."""
+    if "://" not in uri:
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it again."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`stored` wrote, once nothing that will still run reads it."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -56,6 +80,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def prefix(df: DataFrame, name: str) -> str:
+    """``name`` and an underline, lengthened until no column of ``df`` begins with it (without case)."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(f"{name.lower()}_") for c in taken):
+        name = f"_{name}"
+    return f"{name}_"
+
+
 class Memo(dict):
     """A bounded cache of two generations: when the young one is full, it becomes the old one.
 
@@ -72,7 +104,28 @@ class Memo(dict):
         return value
 
     def room(self) -> None:
-        """Call between batches."""
+        """Call between slices of the input."""
         if len(self) > self.size:
             self.old = dict(self)
             self.clear()
+
+    def forget(self) -> None:
+        """Call at the end of a task, so that a reused worker holds nothing for the next one."""
+        self.clear()
+        self.old = {}
+
+
+def distinct_words(column: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Each text split at single spaces: codes of all texts' words, the distinct words, and where each text's codes
+    begin, with the end."""
+    own = pc.split_pattern(column, " ")
+    words = own.flatten().dictionary_encode()
+    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    return words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist(), ends
+
+
+def spread(values: list[bytes] | pa.Array, codes: np.ndarray, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The codes' values, joined, and where those of each text begin in that, with the end."""
+    taken = (values if isinstance(values, pa.Array) else pa.array(values, pa.large_binary())).take(pa.array(codes))
+    at = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset + ends]
+    return memoryview(taken.buffers()[2] or b""), at

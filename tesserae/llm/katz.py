@@ -19,17 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_partitions, stored
-from .shingles import Hasher, mix, words
+from .common import arrow_path, discard, shared_dir, shuffle_partitions, stored
+from .shingles import mix, slices, word_hashes
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _U = np.uint64
-_HASHER = None
 
 
 @dataclass(frozen=True)
@@ -73,6 +71,11 @@ def unpack_counts(data: bytes) -> np.ndarray:
 # ---- a chunk ----
 
 
+def _extended(before: np.ndarray, token: np.ndarray, m: int) -> np.ndarray:
+    """The hash of an m-gram from that of its first m - 1 tokens and the last one."""
+    return mix(before * _U(0x9E3779B97F4A7C15) + token + _U(m))
+
+
 class Chunk:
     """Documents as one sequence of hashes; each document is START, its words, END."""
 
@@ -112,7 +115,7 @@ class Chunk:
                 previous = np.empty_like(g)
                 previous[1:] = g[:-1]
                 previous[self.starts] = before
-                g, before = mix(previous * _U(0x9E3779B97F4A7C15) + self.tokens + _U(m)), mix(np.array([before * _U(0x9E3779B97F4A7C15) + START + _U(m)], np.uint64))[0]
+                g, before = _extended(previous, self.tokens, m), _extended(np.array([before]), np.array([START]), m)[0]
             out.append(np.unique(g, return_inverse=True))
         return out
 
@@ -123,8 +126,8 @@ def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
-def _path(folder: str, chunk: int) -> tuple[pafs.FileSystem, str]:
-    fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+def _path(folder: str, chunk: int) -> tuple:
+    fs, base = arrow_path(folder)
     return fs, f"{base}/chunk-{chunk}.bin"
 
 
@@ -158,18 +161,18 @@ def _messages(rows: DataFrame, folder: str, model: Katz, parts: int) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([p], pa.int32()), pa.array([number], pa.int64()), pa.array([pack_sorted(types[s])], pa.binary()), pa.array([pack_counts(count[s])], pa.binary())], ["level", "part", "chunk", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        global _HASHER
-        if _HASHER is None:
-            _HASHER = Hasher()
         number, held, seen = TaskContext.get().partitionId() << 24, [], 0
         for batch in batches:
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                tokens = np.concatenate(([START], _HASHER(words(batch.column(1)[i].as_py())), [END])).astype(np.uint64)
-                held.append((key or 0, key is None, len(tokens), tokens))
-                seen += len(tokens)
-                if seen >= model.chunk:
-                    yield from finish(number, held)
-                    number, held, seen = number + 1, [], 0
+            keys = iter(batch.column(0).to_pylist())
+            for piece in slices(batch.column(1)):
+                hashes, count = word_hashes(piece)
+                for key, own in zip(keys, np.split(hashes, np.cumsum(count)[:-1])):
+                    tokens = np.concatenate(([START], own, [END])).astype(np.uint64)
+                    held.append((key or 0, key is None, len(tokens), tokens))
+                    seen += len(tokens)
+                    if seen >= model.chunk:
+                        yield from finish(number, held)
+                        number, held, seen = number + 1, [], 0
         if held:
             yield from finish(number, held)
 
@@ -180,7 +183,7 @@ def _start_keys(order: int) -> list[np.uint64]:
     """The hash of m STARTs, for each m: contexts only, not n-grams that the model predicts."""
     out = [START]
     for m in range(2, order + 1):
-        out.append(mix(np.array([out[-1] * _U(0x9E3779B97F4A7C15) + START + _U(m)], np.uint64))[0])
+        out.append(_extended(np.array([out[-1]]), np.array([START]), m)[0])
     return out
 
 
@@ -220,7 +223,9 @@ def _count(messages: DataFrame, model: Katz, parts: int) -> DataFrame:
         if held:
             yield from finish(*at, held)
 
-    return messages.repartition(parts, "level", "part").sortWithinPartitions("level", "part", "chunk").mapInArrow(run, "level int, part int, chunk long, answer binary, stats array<long>")
+    # each table part is a task of its own
+    own = (F.col("level") - 1) * parts + F.col("part")
+    return messages.repartitionById(model.order * parts, own).sortWithinPartitions("level", "part", "chunk").mapInArrow(run, "level int, part int, chunk long, answer binary, stats array<long>")
 
 
 def discounts(n_r: list[int]) -> np.ndarray:
@@ -395,7 +400,7 @@ def _weights(answers: DataFrame, folder: str, stats: Stats, model: Katz, m: int,
             yield from finish(now, held)
 
     asked = answers.groupBy("chunk").applyInArrow(ask, "part int, chunk long, keys binary, total binary, at binary, sums binary")
-    return asked.repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(run, "level int, part int, chunk long, answer binary")
+    return asked.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "chunk").mapInArrow(run, "level int, part int, chunk long, answer binary")
 
 
 def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: Katz = Katz()) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -20,7 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, distinct_words, spread
+from .shingles import slices
+
+SLICE = 1 << 22  # bytes of text that are encoded at once
 
 _M = (1 << 64) - 1
 
@@ -72,13 +76,15 @@ class PerfectHash:
 class Codec:
     """Encodes and decodes by a rank table and a pre-token pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 250_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 100_000) -> None:
         self.ranks, self.table = ranks, PerfectHash(ranks)
         self.find = regex.compile(pattern).findall
         self.memo, self.pieces = Memo(memo), Memo(memo)
-        self.bytes = {i: b for b, i in ranks.items()}
-        self.text = {i: str(i) for i in self.bytes}
-        self.own = {i: i for i in self.bytes}  # one object for each id
+        tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for b, i in ranks.items():
+            tokens[i] = b
+        self.bytes = pa.array(tokens, pa.large_binary())
+        self.texts = pa.array([f" {i}".encode() for i in range(len(tokens))], pa.large_binary())
 
     def merge(self, piece: bytes) -> list[int]:
         """Tier two: a heap of the pairs' ranks over a linked list of the piece's bytes; O(n log n)."""
@@ -105,60 +111,79 @@ class Codec:
             i = end[i]
         return out
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        """Tier one, then tier two; the memo before them only saves doing one piece twice."""
+    def piece(self, piece: str) -> bytes:
+        """Tier one, then tier two; the memo before them only saves doing one piece twice. Ids are uint32."""
         try:
             return self.pieces[piece]
         except KeyError:
-            data, own = piece.encode(), self.own
+            data = piece.encode()
             whole = self.table.get(data)
-            ids = self.pieces[piece] = (own[whole],) if whole is not None else tuple(own[i] for i in self.merge(data))
+            ids = self.pieces[piece] = array("I", (whole,) if whole is not None else self.merge(data)).tobytes()
             return ids
 
-    def room(self) -> None:
-        """Call between batches: keeps the memos bounded."""
-        self.memo.room()
-        self.pieces.room()
+    def encode(self, text: str) -> bytes:
+        """The ids of the text, each match of the pattern by itself."""
+        return b"".join(map(self.piece, self.find(text)))
 
-    def word(self, word: str) -> tuple[int, ...] | None:
+    def word(self, word: str) -> bytes | None:
         """The ids of a space and ``word``; None if the space or the word's end might belong to other white space."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            return None
-        return tuple(chain.from_iterable(map(self.piece, self.find(f" {word}"))))
+        try:
+            return self.memo[word]
+        except KeyError:
+            safe = word and not word[0].isspace() and not word[-1].isspace()
+            ids = self.memo[word] = self.encode(f" {word}") if safe else None
+            return ids
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of the text.
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's begin, with the end.
 
-        A single space between two other characters always starts a pre-token, so the text is cut there and the
-        cuts are looked up; a text with other white space beside a space is split by the pattern as a whole.
+        A single space between two other characters always starts a pre-token, so texts are cut there and each
+        distinct word of the slice is encoded once; a text with other white space beside a space is split by the
+        pattern as a whole.
         """
-        first, *rest = text.split(" ")
-        memo = self.memo
-        if not (first and first[-1].isspace()) and first:
-            try:
-                try:
-                    tail = list(chain.from_iterable(map(memo.__getitem__, rest)))
-                except KeyError:
-                    old = memo.old
-                    for w in rest:
-                        if w not in memo and w not in old:
-                            memo[w] = self.word(w)
-                    tail = list(chain.from_iterable(map(memo.__getitem__, rest)))
-                return list(chain.from_iterable(map(self.piece, self.find(first)))) + tail
-            except TypeError:  # a cut that is None
-                pass
-        return list(chain.from_iterable(map(self.piece, self.find(text))))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        self.memo.room()
+        self.pieces.room()
+        codes, words, ends = distinct_words(texts)
+        made = [self.word(w) for w in words]
+        first, size, n = ends[:-1], np.diff(ends), len(words)
+        heads = [words[i] for i in codes[first].tolist()]
+        codes = codes.copy()
+        codes[first] = n + np.arange(len(first))  # a text's first word has no space before it
+        bad = np.array([h[-1:].isspace() or (not h and m > 1) for h, m in zip(heads, size.tolist())], bool)
+        odd = np.array([m is None for m in made] + [False] * len(first), bool)[codes]
+        bad[np.searchsorted(ends, np.flatnonzero(odd), side="right") - 1] = True
+        whole = iter(texts.filter(pa.array(bad)).to_pylist())
+        made += [self.encode(next(whole) if b else h) for b, h in zip(bad.tolist(), heads)]
+        keep = ~np.repeat(bad, size)
+        keep[first[bad]] = True  # a text that is split as a whole is one entry
+        ends = np.concatenate(([0], np.cumsum(np.where(bad, 1, size))))
+        body, at = spread([m or b"" for m in made], codes[keep], ends)
+        return np.frombuffer(body, np.uint32), at // 4
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The bytes of all texts' ids, one after another, and where each text's begin, with the end."""
+        return spread(self.bytes, ids, ends)
+
+    def decimals(self, ids: np.ndarray, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The same of the ids' decimals, each after a space."""
+        return spread(self.texts, ids, ends)
+
+    def forget(self) -> None:
+        """Call at the end of a task."""
+        self.memo.forget()
+        self.pieces.forget()
+
+
+def ranks_of(path: str) -> dict[bytes, int]:
+    """The ranks of a file whose lines are base64 and rank."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
 @lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
-    """The codec of a rank file (lines of base64 and rank), made once in each worker."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
-    return Codec(ranks, pattern)
+    """The codec of a rank file, made once in each worker."""
+    return Codec(ranks_of(path), pattern)
 
 
 def encode_bpe(df: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -172,27 +197,21 @@ def encode_bpe(df: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codec(path, pattern)
-        dec = code.text.__getitem__
+        digest = lambda body, at, skip: pa.array([hashlib.sha256(body[a + skip : b] if b > a else b"").hexdigest() for a, b in zip(at.tolist(), at[1:].tolist())], pa.string())
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                code.room()
-                counts, hashes, back, all_ids, all_bytes = [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = code.encode(text)
-                    data = code.decode(ids)
-                    counts.append(len(ids))
-                    hashes.append(hashlib.sha256(" ".join(map(dec, ids)).encode()).hexdigest())
-                    back.append(hashlib.sha256(data).hexdigest())
-                    if with_ids:
-                        all_ids.append(np.array(ids, np.int32))
-                        all_bytes.append(data)
-                arrays = [part.column(0), pa.array(counts, pa.int64()), pa.array(hashes), pa.array(back)]
+            at = 0
+            for texts in slices(batch.column(1), SLICE):
+                ids, ends = code.batch(texts)
+                body, bounds = code.decode(ids, ends)
+                arrays = [batch.column(0).slice(at, len(texts)), pa.array(np.diff(ends)), digest(*code.decimals(ids, ends), 1), digest(body, bounds, 0)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    arrays += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_bytes, pa.binary())]
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))))
+                    arrays.append(pa.array([bytes(body[a:b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())], pa.binary()))
                     names += ["ids", "decoded"]
+                at += len(texts)
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        code.forget()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, schema)

@@ -14,26 +14,31 @@ starts (uint64 each), document ids (int64 each), null flags of the ids (uint8 ea
 
 from __future__ import annotations
 
+import json
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, shuffle_partitions
+from .common import Memo, arrow_path, distinct_words, shuffle_partitions, spread
+from .shingles import slices
 
 BLOCK = 128
 MAGIC = b"TPFOR1\0\0"
 _MAGIC_INT = int.from_bytes(MAGIC, "little")
 _HEAD = 6
 _RUN = 1 << 20  # ids packed or unpacked at once
+SLICE = 1 << 22  # bytes of text that are encoded at once
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -217,19 +222,25 @@ class Reader:
             yield doc_id, a, pieces(a, b)
 
 
+#: The normaliser and the splitter under which a text's ids are those of its words.
+_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
 class WordEncoder:
-    """Encodes whole texts with the tokenizers library, word by word with a cache.
+    """Encodes whole texts with the tokenizers library.
 
-    The tokenizer drops white space before it splits, so a text's ids are those of its pieces between spaces or
-    line feeds, in order. A new piece of visible ASCII and Latin letters, whose normal form is its lower case, is
-    split as the tokenizer's pattern does and its parts, most of them known, go to the tokenizer's model; any other
-    new piece goes through the whole tokenizer.
+    Where the tokenizer drops white space and splits as ``_SPLITTER`` says, which is checked when it is loaded, a
+    text's ids are those of its pieces between spaces or line feeds, in order; each distinct piece of a slice of texts
+    is encoded once. A piece of visible ASCII and Latin letters, whose normal form is its lower case, is split here and
+    its parts go to the tokenizer's model; any other piece goes through the whole tokenizer. Under any other
+    tokenizer, so do whole texts.
     """
 
     PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
-    def __init__(self, path: str, size: int = 250_000) -> None:
+    def __init__(self, path: str, size: int = 100_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -239,40 +250,68 @@ class WordEncoder:
         self.model = self.tokenizer.model
         visible = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.visible = {i: visible.pre_tokenize_str(chr(i))[0][0] for i in range(0xC0, 0x100)}
+        self.by_words = self._by_words(json.loads(self.tokenizer.to_str()))
+
+    @staticmethod
+    def _by_words(made: dict) -> bool:
+        split = {"type": "Split", "pattern": {"Regex": _SPLITTER}, "behavior": "Removed", "invert": True}
+        own = (made["pre_tokenizer"] or {}).get("pretokenizers") or [None, {}]
+        level = own[1].get("type") == "ByteLevel" and not own[1].get("add_prefix_space") and not own[1].get("use_regex")
+        added = all(t["content"].startswith("<|") and " " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in made["added_tokens"])
+        return made["normalizer"] == _NORMALISER and len(own) == 2 and own[0] == split and level and added and made["model"]["type"] == "BPE" and not (made["truncation"] or made["padding"])
 
     def part(self, part: str) -> bytes:
         try:
             return self.parts[part]
         except KeyError:
             seen = part if part.isascii() else part.translate(self.visible)
-            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
+            ids = self.parts[part] = _packed([t.id for t in self.model.tokenize(seen)])
             return ids
 
     def learn(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.part(word.lower())
         if self.PLAIN.fullmatch(word) and "<|" not in word:
             return b"".join(map(self.part, self.PARTS.findall(word.lower())))
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        memo, out = self.memo, []
-        memo.room()
-        self.parts.room()
-        old = memo.old
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join(map(memo.__getitem__, words)))
-            except KeyError:
-                for w in words:
-                    if w not in memo and w not in old:
-                        memo[w] = self.learn(w)
-                out.append(b"".join(map(memo.__getitem__, words)))
-        return out
+        return self.whole(word)
+
+    def whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def word(self, word: str) -> bytes:
+        try:
+            return self.memo[word]
+        except KeyError:
+            ids = self.memo[word] = self.learn(word)
+            return ids
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes | memoryview]:
+        """The ids of each text as little-endian uint32."""
+        for own in slices(texts, SLICE):
+            if not self.by_words:
+                yield from map(self.whole, own.to_pylist())
+                continue
+            self.memo.room()
+            self.parts.room()
+            codes, words, ends = distinct_words(pc.replace_substring(own, "\n", " "))
+            body, at = spread(list(map(self.word, words)), codes, ends)
+            yield from (body[a:b] for a, b in zip(at.tolist(), at[1:].tolist()))
+
+    def forget(self) -> None:
+        self.memo.forget()
+        self.parts.forget()
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 @lru_cache(2)
 def word_encoder(path: str) -> WordEncoder:
-    """Made once in each worker, so that its cache serves all its tasks."""
+    """Made once in each worker."""
     return WordEncoder(path)
 
 
@@ -281,29 +320,30 @@ def write_ids(df: DataFrame, out_dir: str, tokenizer: str, *, id_col: str = "doc
 
     File k holds the k-th range of documents. A task writes to a name of its own attempt and then moves the file
     into place, so lost executors and repeated attempts leave one whole file. Null ids come first, equal ids are
-    kept, in the order of their texts; a null text is an empty one; other columns play no part. Returns the number,
+    kept, in the order of their texts' hashes, which part them where they are many; a null text is an empty one; other columns play no part. Returns the number,
     documents and ids of each file with documents; an empty table gives an empty list.
     """
     spark = df.sparkSession
     n = partitions or shuffle_partitions(spark)
     doc = F.col(id_col).cast("long").alias("doc_id")
-    rows = df.select(doc, F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = df.select(doc, F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("of_text", F.xxhash64("text"))
+    rows = rows.repartitionByRange(n, "doc_id", "of_text").sortWithinPartitions("doc_id", "of_text", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        fs, base = pafs.FileSystem.from_uri(out_dir if "://" in out_dir else f"file://{out_dir}")
+        fs, base = arrow_path(out_dir)
         writer, encode, end = None, None, np.array([end_id], "<u4").tobytes()
         own, place = f"{base}/_attempt-{task.taskAttemptId()}", f"{base}/ids-{task.partitionId():06d}.pfor"
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                if writer is None:
-                    fs.create_dir(base, recursive=True)
-                    stream, encode = fs.open_output_stream(own), word_encoder(tokenizer)
-                    writer = Writer(stream, percentile)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
-                    writer.add(doc_id, ids + end)
+            if writer is None and batch.num_rows:
+                fs.create_dir(base, recursive=True)
+                stream, encode = fs.open_output_stream(own), word_encoder(tokenizer)
+                writer = Writer(stream, percentile)
+            if writer is not None:
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
+                    writer.add(doc_id, bytes(ids) + end)
         if writer is not None:
+            encode.forget()
             writer.close()
             stream.close()
             fs.move(own, place)
@@ -323,7 +363,7 @@ def read_ids(spark: SparkSession, out_dir: str, files: list[tuple[int, int, int]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(out_dir if "://" in out_dir else f"file://{out_dir}")
+        fs, base = arrow_path(out_dir)
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 file, first = starts[k]

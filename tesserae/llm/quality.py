@@ -12,17 +12,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _SPACES, fresh, stored, word_array
+from .common import _SPACES, prefix, stored, word_array
 
 SYMBOLS = "#*$%&|<>"
+#: Up to so many groups, a few megabytes, their thresholds are broadcast; beyond, documents are salted over so many places.
+GROUPS, SALT = 20_000, 64
 
 
 @dataclass(frozen=True)
 class Rules:
     """``min_words`` and ``repeat_percent`` are the base rule. A document fails on a feature above
     median + ``spread`` * (upper quartile - median) + the feature's slack; the quantiles are those of the
-    document's language and source, or of the language, or of everything, whichever is the first with
-    ``min_group`` documents that pass the base rule; a source's threshold exceeds its language's by the slack at
+    document's language and source, or of the language, whichever is the first with ``min_group`` documents that pass
+    the base rule, or else of everything; a source's threshold exceeds its language's by the slack at
     most. ``ratio`` is the sketch's growth of buckets (relative error (ratio - 1) / 2), ``least`` its smallest value
     that counts as more than 0."""
 
@@ -103,13 +105,14 @@ def thresholds(sketches: DataFrame, rules: Rules) -> DataFrame:
         value = F.when(F.col("bucket") == 0, F.lit(0.0)).otherwise(rules.least * F.pow(F.lit(rules.ratio), F.col("bucket") - 1.5))
         q = lambda share: F.min(F.when(F.col("below") >= share * F.col("total"), value))
         out = merged.groupBy(*keys, "feature").agg(q(0.5).alias("mid"), q(0.75).alias("high"), F.max("total").alias("total"))
-        bound = F.when(F.col("total") >= rules.min_group, F.col("mid") + rules.spread * (F.col("high") - F.col("mid")) + slack)
-        return out.select(*keys, "feature", bound.alias("bound" + suffix), F.col("mid").alias("mid" + suffix))
+        enough = F.col("total") >= (rules.min_group if keys else 1)
+        bound = F.when(enough, F.col("mid") + rules.spread * (F.col("high") - F.col("mid")) + slack)
+        return out.select(*keys, "feature", bound.alias("bound" + suffix))
 
     own, lang, every = bounds(["lang", "source"], ""), bounds(["lang"], "_lang"), bounds([], "_all")
     x = own.join(lang, ["lang", "feature"]).join(every, "feature")
     wide = F.coalesce(F.col("bound_lang"), F.col("bound_all"))
-    bound = F.coalesce(F.least(F.col("bound"), wide + slack), wide, F.col("mid_all") + slack)
+    bound = F.coalesce(F.least(F.col("bound"), wide + slack), wide)
     return x.groupBy("lang", "source").agg(*(F.max(F.when(F.col("feature") == k, bound)).alias(f"max_{k}") for k, _ in rules.slack))
 
 
@@ -118,11 +121,22 @@ def judged(measured: DataFrame, limits: DataFrame, rules: Rules, *, p: str = "",
     threshold has no document that passes the base rule."""
     lang, source = _group(F.col(lang_col), F.col(source_col))
     limits = limits.select(F.col("lang").alias(p + "key_lang"), F.col("source").alias(p + "key_source"), *(F.col(f"max_{k}").alias(f"{p}max_{k}") for k, _ in rules.slack))
-    x = measured.join(limits, (lang == F.col(p + "key_lang")) & (source == F.col(p + "key_source")), "left").withColumn(p + "base_failed", _base_failed(p, rules))
+    limits = stored(limits, "limits")
+    if limits.count() <= GROUPS:
+        limits = F.broadcast(limits)
+    else:
+        # a group's documents are spread over some places, to each of which its limits go
+        place = lambda c: F.pmod(c, F.lit(SALT)).cast("int")
+        measured = measured.withColumn(p + "salt", place(F.xxhash64(p + "row")))
+        limits = limits.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias(p + "key_salt"))
+    same = (lang == F.col(p + "key_lang")) & (source == F.col(p + "key_source"))
+    if p + "key_salt" in limits.columns:
+        same = same & (F.col(p + "salt") == F.col(p + "key_salt"))
+    x = measured.join(limits, same, "left").withColumn(p + "base_failed", _base_failed(p, rules))
     ok = ~F.col(p + "base_failed")
     for k, v in _features(p).items():
         ok = ok & F.coalesce(v <= F.col(f"{p}max_{k}"), F.lit(True))
-    return x.withColumn(p + "kept", ok).drop(p + "key_lang", p + "key_source")
+    return x.withColumn(p + "kept", ok).drop(p + "key_lang", p + "key_source", p + "salt", p + "key_salt")
 
 
 def measure(df: DataFrame, *, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -148,9 +162,10 @@ def assess(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``df``, all columns as they are, without the documents that the rules reject."""
-    p = fresh(df, "q") + "_"
-    narrow = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    sketches = stored(sketch(_measures(narrow, "text", ""), rules), "sketch")
-    x = judged(_measures(df, text_col, p), thresholds(sketches, rules), rules, p=p, lang_col=lang_col, source_col=source_col)
-    return x.where(F.col(p + "kept") & (F.col(p + "row") >= 0)).select(*df.columns)
+    """The rows of ``df``, all columns as they are, without the documents that the rules reject. Rows and measures are
+    written to the shared folder once; sketches read the measures only."""
+    p = prefix(df, "q")
+    measured = stored(_measures(df, text_col, p), "quality")
+    limits = thresholds(sketch(measured, rules, p=p, lang_col=lang_col, source_col=source_col), rules)
+    x = judged(measured, limits, rules, p=p, lang_col=lang_col, source_col=source_col)
+    return x.where(p + "kept").select(*df.columns)

@@ -122,7 +122,7 @@ def _op8() -> str:
     bounds = lambda keys, s: f"""bd{s} AS (SELECT {keys} f, min(CASE WHEN below >= 0.5 * total THEN v END) AS mid, min(CASE WHEN below >= 0.75 * total THEN v END) AS high, max(total) AS total FROM (
   SELECT {keys} f, bucket, CASE WHEN bucket = 0 THEN 0.0 ELSE {rules.least} * pow({rules.ratio}, bucket - 1.5) END AS v,
   sum(n) OVER (PARTITION BY {keys} f ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {keys} f) AS total FROM (SELECT {keys} f, bucket, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL),
-th{s} AS (SELECT {keys} f, mid, CASE WHEN total >= {rules.min_group} THEN mid + {rules.spread} * (high - mid) + CASE f {slack} END END AS bound FROM bd{s})"""
+th{s} AS (SELECT {keys} f, mid, CASE WHEN total >= {rules.min_group if keys else 1} THEN mid + {rules.spread} * (high - mid) + CASE f {slack} END END AS bound FROM bd{s})"""
     return f"""
 WITH d AS (SELECT doc_id, coalesce('v' || lang, 'n') AS lang, coalesce('v' || source, 'n') AS source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, {_WORDS.format("text")} AS w, {_BLANK.format("text")} AS bare, list_filter(string_split(text, chr(10)), lambda x: {_BLANK.format("x")} <> '') AS lines FROM d),
@@ -138,7 +138,7 @@ sk AS (SELECT lang, source, f, CASE WHEN v < {rules.least} THEN 0 ELSE ceil(ln(v
 {bounds("lang, source,", "")},
 {bounds("lang,", "_lang")},
 {bounds("", "_all")},
-q AS (SELECT t.lang, t.source, t.f, coalesce(CASE WHEN t.bound IS NOT NULL THEN least(t.bound, coalesce(l.bound, a.bound) + CASE t.f {slack} END) END, l.bound, a.bound, a.mid + CASE t.f {slack} END) AS hi
+q AS (SELECT t.lang, t.source, t.f, coalesce(CASE WHEN t.bound IS NOT NULL THEN least(t.bound, coalesce(l.bound, a.bound) + CASE t.f {slack} END) END, l.bound, a.bound) AS hi
   FROM th t JOIN th_lang l ON l.lang = t.lang AND l.f = t.f JOIN th_all a ON a.f = t.f),
 v AS (SELECT f.doc_id, bool_and(coalesce(f.v <= q.hi, true)) AS fine FROM f LEFT JOIN q ON q.lang = f.lang AND q.source = f.source AND q.f = f.f GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept FROM b JOIN v USING (doc_id)"""

@@ -8,12 +8,13 @@ leaves hold exact numbers of blocks. Each source's blocks, permuted, fill those
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _SPACES, fresh, shuffle_partitions, stored
+from .common import _SPACES, discard, prefix, shuffle_partitions, stored
 from .hypergeometric import draw_column
 
 
@@ -21,13 +22,15 @@ from .hypergeometric import draw_column
 class Mix:
     """Weights repeat over the sources in code-point order, null last. ``share``: of all sizes, what the mix takes.
     ``most``: no target above this multiple of its source, no document more often. ``shards``: output shards.
-    ``block``: size of a block. ``seed``: of all draws."""
+    ``blocks``: of each shard on average, so that their number does not grow with the corpus. ``rounds``: in which a
+    source's part is filled with documents that still fit. ``seed``: of all draws."""
 
     weights: tuple[int, ...] = (5, 2, 1)
     share: float = 1.0
     most: int = 3
     shards: int = 64
-    block: int = 65_536
+    blocks: int = 256
+    rounds: int = 3
     seed: int = 11
 
 
@@ -53,10 +56,15 @@ def targets(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return x.withColumn("target", F.when(free, F.col("first.rate") * F.col("w")).otherwise(F.col("cap"))).select("skey", "source", "s", "target")
 
 
-def _placed(df: DataFrame, size: Column, source: Column, key_cols: tuple[str, ...], mix: Mix, buckets: int, p: str) -> DataFrame:
+def key_of(id_col: str, text_col: str) -> Column:
+    """What places a row in its source's order; rows of one id, or without one, differ by their texts."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def _placed(df: DataFrame, size: Column, source: Column, key: Column, mix: Mix, buckets: int, p: str) -> DataFrame:
     """Adds each row's place in its source's order: bucket, rank in it and the size before it there. A source is
     spread over ``buckets`` windows, so a hot one is no task's alone."""
-    h = F.xxhash64(F.lit(mix.seed), *(F.col(c) for c in key_cols))
+    h = F.xxhash64(F.lit(mix.seed), key)
     skey = F.coalesce(F.concat(F.lit("v"), source.cast("string")), F.lit("n"))
     df = df.select("*", skey.alias(p + "skey"), F.pmod(h, F.lit(buckets)).cast("int").alias(p + "bucket"), h.alias(p + "h"), size.alias(p + "size"))
     w = Window.partitionBy(p + "skey", p + "bucket").orderBy(p + "h", p + "size")
@@ -66,65 +74,80 @@ def _placed(df: DataFrame, size: Column, source: Column, key_cols: tuple[str, ..
 @dataclass
 class Plan:
     """``rows``: each document's place with source_size, target, passes (how often it is taken) and blocks (of each
-    taken copy). ``shard_of``: the output shard of each source's blocks. ``cut``: what a source's buckets need to
-    place rows again. All are small beside the texts."""
+    taken copy). ``shard_of``: the output shard of each source's blocks. Both are small beside the texts."""
 
     rows: DataFrame
     shard_of: DataFrame
-    cut: DataFrame
     buckets: int
 
 
-def _taken(x: DataFrame, mix: Mix) -> DataFrame:
-    """x: placed rows joined with ``cut``. Adds passes and the block of each copy."""
-    start = F.col("offset") + F.col("before")
-    part = start + F.col("size") <= F.col("part")
-    best = (F.col("bucket") == F.col("best.bucket")) & (F.col("rn") == F.col("best.rn"))
-    extra = part | F.coalesce(best, F.lit(False))
-    block = lambda at: F.floor(at / F.lit(mix.block)).cast("long")
-    whole = F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.col("full")), lambda e: block((e - 1) * F.col("s") + start))).otherwise(F.array().cast("array<long>"))
-    last = F.when(part, block(F.col("full") * F.col("s") + start)).otherwise(block(F.col("full") * F.col("s") + F.col("got")))
-    blocks = F.when(F.col("size") == 0, F.array().cast("array<long>")).otherwise(F.when(extra, F.concat(whole, F.array(last))).otherwise(whole))
-    return x.withColumn("blocks", blocks).withColumn("passes", F.size("blocks").cast("long"))
-
-
-def plan(df: DataFrame, *, size: Column, source_col: str = "source", key_cols: tuple[str, ...] = ("doc_id",), mix: Mix = Mix(), keep: tuple[str, ...] = ()) -> Plan:
-    """Decide what the mix takes of each row.
+def plan(df: DataFrame, *, mix: Mix = Mix(), keep: tuple[str, ...] = ()) -> Plan:
+    """Decide what the mix takes of each row. df: key_ (of :func:`key_of`), source_, size_ and the columns to keep.
 
-    A source's target is met by whole passes and a part: documents in order while they fit, then the one of the
-    rest whose size comes nearest to what is missing, if that is nearer than leaving it. Null sources are one
-    source; rows with equal keys and sizes are interchangeable; rows without size are never taken.
+    A source's target is met by whole passes and a part. The part is filled in rounds: in order of the hashes, those not
+    larger than what is missing are taken while they fit; so documents that are too large do not end it. Then the one of
+    the rest whose size comes nearest to what is missing is taken, if that is nearer than leaving it. Null sources are
+    one source; rows with equal keys and sizes are interchangeable; rows without size are never taken.
     """
     spark = df.sparkSession
     n = shuffle_partitions(spark)
-    placed = _placed(df.select(*dict.fromkeys((*key_cols, source_col, *keep)), size.alias("size_")), F.col("size_"), F.col(source_col), key_cols, mix, n, "m_")
+    placed = _placed(df, F.col("size_"), F.col("source_"), F.col("key_"), mix, n, "m_")
     names = {f"m_{c}": c for c in ("skey", "bucket", "rn", "before", "size")}
-    placed = stored(placed.select(*keep, F.col(source_col).alias("source"), *(F.col(a).alias(b) for a, b in names.items())), "mix-rows")
+    placed = stored(placed.select(*keep, F.col("source_").alias("source"), *(F.col(a).alias(b) for a, b in names.items())), "mix-rows")
     buckets = placed.groupBy("skey", "bucket").agg(F.max("source").alias("source"), F.sum("size").alias("b"))
     to = targets(buckets.groupBy("skey").agg(F.max("source").alias("source"), F.sum("b").alias("s")), mix).drop("source")
-    before = F.sum("b").over(Window.partitionBy("skey").orderBy("bucket")) - F.col("b")
+    in_order = Window.partitionBy("skey").orderBy("bucket")
     full = F.when(F.col("s") > 0, F.least(F.floor(F.col("target") / F.col("s")), F.lit(mix.most))).otherwise(F.lit(0)).cast("long")
-    cut = buckets.withColumn("offset", before).drop("b", "source").join(to, "skey").withColumn("full", full)
-    cut = stored(cut.withColumn("part", F.col("target") - F.col("full") * F.col("s")), "mix-cut")
-    # what the part gets in order, and the row that fills the rest best
-    x = placed.join(cut, ["skey", "bucket"])
-    end = F.col("offset") + F.col("before") + F.col("size")
-    got = x.groupBy("skey").agg(F.coalesce(F.max(F.when(end <= F.col("part"), end)), F.lit(0).cast("long")).alias("got"))
-    cut = stored(cut.join(got, "skey"), "mix-got")  # a row for each bucket; documents meet it by bucket, not by source
-    x = placed.join(cut, ["skey", "bucket"])
+    cut = buckets.withColumn("offset", F.sum("b").over(in_order) - F.col("b")).drop("b", "source").join(to, "skey").withColumn("full", full)
+    cut = cut.withColumn("part", F.col("target") - F.col("full") * F.col("s")).withColumn("got", F.lit(0).cast("long"))
+    cut = stored(cut, "mix-cut")  # a row for each bucket; documents meet it by bucket, not by source
+    total = cut.groupBy("skey").agg(F.first("target").alias("target")).agg(F.sum("target")).first()[0] or 0.0
+    block = max(1, math.ceil(total / (mix.shards * mix.blocks)))
+    rows, at = placed.withColumn("place", F.lit(None).cast("long")), ["skey", "bucket"]
+    for _ in range(mix.rounds):
+        x = rows.join(cut.select(*at, "part", "got"), at)
+        fits = F.col("place").isNull() & (F.col("size") > 0) & (F.col("size") <= F.col("part") - F.col("got"))
+        up_to = Window.partitionBy(*at).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+        x = x.withColumn("run", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(up_to)).withColumn("fits", fits)
+        tried = stored(x.drop("part", "got"), "mix-round")
+        sums = tried.groupBy(*at).agg(F.max("run").alias("b"))
+        sums = sums.withColumn("ahead", F.sum("b").over(in_order) - F.col("b")).drop("b")
+        cut = cut.join(sums, at)
+        x = tried.join(cut.select(*at, "part", "got", "ahead"), at)
+        end = F.col("got") + F.col("ahead") + F.col("run")
+        placed_now = F.when(F.col("fits") & (end <= F.col("part")), end - F.col("size"))
+        rows = x.withColumn("place", F.coalesce("place", placed_now)).drop("run", "fits", "part", "got", "ahead")
+        rows = stored(rows, "mix-filled")
+        got = rows.groupBy("skey").agg(F.coalesce(F.max(F.col("place") + F.col("size")), F.lit(0).cast("long")).alias("got"))
+        cut = stored(cut.drop("got", "ahead").join(got, "skey"), "mix-got")
+        discard(tried)
     gap = F.col("part") - F.col("got")
     missed = F.abs(F.col("size") - gap)
-    fits = (end > F.col("part")) & (missed < gap) & (F.col("full") < mix.most)
-    tried = x.groupBy("skey", "bucket").agg(F.min(F.when(fits, F.struct(missed.alias("missed"), "bucket", "rn"))).alias("best"))
+    x = rows.join(cut.select(*at, "part", "got", "full"), at)
+    nearer = F.col("place").isNull() & (F.col("size") > 0) & (missed < gap) & (F.col("full") < mix.most)
+    tried = x.groupBy(*at).agg(F.min(F.when(nearer, F.struct(missed.alias("missed"), "bucket", "rn"))).alias("best"))
     best = tried.groupBy("skey").agg(F.min("best").alias("best"))
     cut = stored(cut.join(best, "skey"), "mix-best")
-    rows = _taken(placed.join(cut, ["skey", "bucket"]), mix)
-    quota = rows.select("skey", F.explode("blocks").alias("block")).groupBy("skey").agg((F.max("block") + 1).alias("q"))
-    return Plan(rows, stored(_shard_of(quota, mix), "mix-blocks"), cut, n)
+    made = _taken(rows.join(cut, at), mix, block)
+    quota = made.select("skey", F.explode("blocks").alias("block")).groupBy("skey").agg((F.max("block") + 1).alias("q"))
+    return Plan(made, stored(_shard_of(quota, mix), "mix-blocks"), n)
+
+
+def _taken(x: DataFrame, mix: Mix, size: int) -> DataFrame:
+    """x: placed rows joined with ``cut``. Adds passes and the block of each copy."""
+    best = (F.col("bucket") == F.col("best.bucket")) & (F.col("rn") == F.col("best.rn"))
+    block = lambda at: F.floor(at / F.lit(size)).cast("long")
+    start = F.col("offset") + F.col("before")
+    whole = F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.col("full")), lambda e: block((e - 1) * F.col("s") + start))).otherwise(F.array().cast("array<long>"))
+    last = F.coalesce(F.col("place"), F.when(F.coalesce(best, F.lit(False)), F.col("got")))
+    taken = F.when(last.isNotNull(), F.concat(whole, F.array(block(F.col("full") * F.col("s") + last)))).otherwise(whole)
+    blocks = F.when(F.col("size") == 0, F.array().cast("array<long>")).otherwise(taken)
+    return x.withColumn("blocks", blocks).withColumn("passes", F.size("blocks").cast("long"))
 
 
 def _shard_of(quota: DataFrame, mix: Mix) -> DataFrame:
-    """The splitting tree: skey, q (quota of blocks) -> skey, block, shard."""
+    """The splitting tree: skey, q (quota of blocks) -> skey, block, shard. All quotas add up to shards times blocks and one
+    for each source, about, whatever the corpus."""
     root = quota.agg(F.sort_array(F.collect_list(F.struct("skey", "q"))).alias("own")).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(mix.shards))
     total = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["q"])
     nodes = root.withColumn("all", total)  # one row for each node, an entry for each source
@@ -166,8 +189,7 @@ def _shard_of(quota: DataFrame, mix: Mix) -> DataFrame:
 def assign(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mix: Mix = Mix()) -> DataFrame:
     """A row for each document: doc_id, size (words), source_size, target, taken (words, repeats counted) and
     shards (that of each copy). An empty table gives an empty one."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    made = plan(rows.select("doc_id", "source", word_count(F.col("text")).alias("size")), size=F.col("size"), key_cols=("doc_id",), mix=mix, keep=("doc_id",))
+    made = plan(df.select(F.col(id_col).alias("doc_id"), key_of(id_col, text_col).alias("key_"), F.col(source_col).alias("source_"), word_count(F.col(text_col)).alias("size_")), mix=mix, keep=("doc_id",))
     own = ["skey", "bucket", "rn"]
     copies = made.rows.select(*own, F.explode("blocks").alias("block")).join(made.shard_of, ["skey", "block"])
     shards = copies.groupBy(*own).agg(F.sort_array(F.collect_list("shard")).alias("shards"))
@@ -178,12 +200,12 @@ def assign(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
 def apply(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mix: Mix = Mix()) -> DataFrame:
     """The mix itself: the rows of ``df`` as often as they are taken, all columns as they are, dealt to the output
     shards and shuffled in each. Texts move once for their places and once to their shards."""
-    p = fresh(df, "m") + "_"
+    p = prefix(df, "m")
     size = word_count(F.col(text_col))
-    narrow = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
-    made = plan(narrow, size=F.col("size"), key_cols=("doc_id",), mix=mix)
+    key = key_of(id_col, text_col)
+    made = plan(df.select(key.alias("key_"), F.col(source_col).alias("source_"), size.alias("size_")), mix=mix)
     at = ["skey", "bucket", "rn"]
-    texts = _placed(df, size, F.col(source_col), (id_col,), mix, made.buckets, p)
+    texts = _placed(df, size, F.col(source_col), key, mix, made.buckets, p)
     copies = made.rows.select(*at, F.posexplode("blocks").alias("pass", "block")).join(made.shard_of, ["skey", "block"])
     copies = copies.groupBy(*at).agg(F.sort_array(F.collect_list("shard")).alias("shards"))
     copies = copies.select(*(F.col(c).alias(f"{p}c_{c}") for c in (*at, "shards")))

@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, shuffle_partitions, stored
+from .common import prefix, shuffle_partitions, stored
 from .shingles import mix
 
 WINDOW = 16  # bytes that the gear hash sums
@@ -136,7 +136,7 @@ def _unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def _ask(rows: DataFrame, options: Chunks, parts: int) -> DataFrame:
-    """kind 0: a block's documents (ids, numbers of chunks, sizes of chunks); kind 1: its digests for one part
+    """kind 0: a block's documents (ids and row numbers, numbers of chunks, sizes of chunks); kind 1: its digests for one part
     (digests, document ids, positions; a chunk's position is twice its number in the block, that of its window one
     more); kind 2: the positions of what occurred before in the block."""
     names = ["kind", "part", "block", "a", "b", "c"]
@@ -145,8 +145,8 @@ def _ask(rows: DataFrame, options: Chunks, parts: int) -> DataFrame:
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names)
 
-    def finish(block: int, ids: list, count: list, sizes: list, places: list, digests: bytearray) -> Iterator[pa.RecordBatch]:
-        yield row(0, block % parts, block, _pack(np.array(ids, np.int64)), _pack(np.array(count, np.int64)), _pack(np.concatenate(sizes)))
+    def finish(block: int, ids: list, count: list, sizes: list, places: list, digests: bytearray, numbers: list) -> Iterator[pa.RecordBatch]:
+        yield row(0, block % parts, block, _pack(np.array([*ids, *numbers], np.int64)), _pack(np.array(count, np.int64)), _pack(np.concatenate(sizes)))
         d = np.frombuffer(bytes(digests), ">u8").astype(np.uint64).reshape(-1, 2)
         if not len(d):
             return
@@ -170,12 +170,13 @@ def _ask(rows: DataFrame, options: Chunks, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, at = TaskContext.get().partitionId() << 24, 0, 0
-        held = ids, count, sizes, places, digests = [], [], [], [], bytearray()
+        held = ids, count, sizes, places, digests, numbers = [], [], [], [], bytearray(), []
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 texts = [t.encode() for t in part.column(1).to_pylist()]
                 ids += part.column(0).to_pylist()
+                numbers += part.column(2).to_pylist()
                 for t, ends in zip(texts, chunk_ends(texts, options)):
                     e = np.array(ends, np.int64)
                     own, first, last = windows(e, options.span)
@@ -236,13 +237,13 @@ def _answer(asked: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from finish(held)
 
-    return asked.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(run, "block long, a binary, b binary, c binary, later binary")
+    return asked.repartitionById(parts, F.col("part") % parts).sortWithinPartitions("part", "block").mapInArrow(run, "block long, a binary, b binary, c binary, later binary")
 
 
-def find_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", options: Chunks = Chunks()) -> DataFrame:
-    """A row for each document: doc_id, n_bytes, n_chunks, n_seen (chunks that occurred before), seen_bytes,
-    repeat_bytes and repeats (array of start, end in bytes: runs of seen chunks that lie in
-    windows that occurred before, of ``options.run`` bytes or more).
+def find_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, options: Chunks = Chunks()) -> DataFrame:
+    """A row for each document: doc_id, repeated (whether it has a repeat), repeat_bytes, repeats (array of start, end in
+    bytes: runs of seen chunks that lie in windows that occurred before, of ``options.run`` bytes or more), n_bytes,
+    n_chunks, n_seen (chunks that occurred before), seen_bytes, and, where ``row_col`` names a long column, that as row.
 
     "Before" is in a document of a smaller id, or earlier in the same one; of rows with one id, one comes first, by
     its place in the input. A null text is an empty one without chunks; null ids come before all others; other
@@ -252,7 +253,8 @@ def find_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     spark = df.sparkSession
     parts = shuffle_partitions(spark)
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    number = F.col(row_col).cast("long") if row_col else F.lit(0).cast("long")
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), number.alias("number"))
     # parts of a partition are sorted one by one
     answers = _answer(_ask(rows, options, 4 * parts), parts)
 
@@ -264,9 +266,9 @@ def find_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         for x in table["later"].to_pylist():
             if x is not None:
                 known[_unpack_sorted(x)] = True
-        out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_chunks", "n_seen", "seen_bytes", "repeat_bytes", "repeats")}
+        out: dict[str, list] = {c: [] for c in ("doc_id", "repeated", "repeat_bytes", "repeats", "n_bytes", "n_chunks", "n_seen", "seen_bytes", "row")}
         at = 0
-        for k, n in zip(ids.tolist(), count.tolist()):
+        for k, number, n in zip(ids.tolist(), ids[len(count) :].tolist(), count.tolist()):
             size, s, again = sizes[at : at + n], known[2 * at : 2 * (at + n) : 2], known[2 * at + 1 : 2 * (at + n) : 2]
             at += n
             e = np.cumsum(size)
@@ -278,23 +280,32 @@ def find_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             begin = np.concatenate(([0], e))
             runs = [(int(begin[a]), int(e[b - 1])) for a, b in zip(edge[::2], edge[1::2])]
             runs = [r for r in runs if r[1] - r[0] >= options.run]
-            values = (None if k == _NONE else k, int(e[-1]) if n else 0, n, int(s.sum()), int(size[s].sum()), sum(b - a for a, b in runs), [{"start": a, "end": b} for a, b in runs])
+            values = (None if k == _NONE else k, bool(runs), sum(b - a for a, b in runs), [{"start": a, "end": b} for a, b in runs], int(e[-1]) if n else 0, n, int(s.sum()), int(size[s].sum()), number)
             for c, v in zip(out, values):
                 out[c].append(v)
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({c: pa.array(v, span if c == "repeats" else pa.int64()) for c, v in out.items()})
+        kinds = {"repeats": span, "repeated": pa.bool_()}
+        return pa.table({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()})
 
-    return answers.groupBy("block").applyInArrow(close, "doc_id long, n_bytes long, n_chunks long, n_seen long, seen_bytes long, repeat_bytes long, repeats array<struct<start:long,end:long>>")
+    made = answers.groupBy("block").applyInArrow(close, "doc_id long, repeated boolean, repeat_bytes long, repeats array<struct<start:long,end:long>>, n_bytes long, n_chunks long, n_seen long, seen_bytes long, row long")
+    return made if row_col else made.drop("row")
 
 
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", options: Chunks = Chunks()) -> DataFrame:
-    """The rows of ``df`` without their repeats; all other columns as they are. Ids should be unique."""
-    p = fresh(df, "r") + "_"
-    found = find_repeats(df, id_col=id_col, text_col=text_col, options=options).where("size(repeats) > 0").select(F.col("doc_id").alias(p + "id"), F.col("repeats").alias(p + "cut"))
-    x = df.join(stored(found, "repeats"), F.col(id_col).cast("long").eqNullSafe(F.col(p + "id")), "left")
-    data = F.col(text_col).cast("binary")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<binary>").alias("out"))
-    piece = lambda a, b: F.substring(data, (a + 1).cast("int"), (b - a).cast("int"))
-    parts = F.aggregate(F.col(p + "cut"), zero, lambda a, r: F.struct(r["end"].alias("at"), F.concat(a["out"], F.array(piece(a["at"], r["start"]))).alias("out")), lambda a: F.concat(a["out"], F.array(piece(a["at"], F.octet_length(F.col(text_col)).cast("long")))))
-    text = F.aggregate(parts, F.lit(b""), lambda a, b: F.concat(a, b)).cast("string")
-    return x.withColumn(text_col, F.when(F.col(p + "cut").isNotNull(), text).otherwise(F.col(text_col))).select(*df.columns)
+    """The rows of ``df`` without their repeats; all other columns as they are. Rows are numbered and written to the shared
+    folder first, so that rows which share an id keep to their own repeats."""
+    p = prefix(df, "r")
+    rows = stored(df.withColumn(p + "row", F.monotonically_increasing_id()), "numbered")
+    found = find_repeats(rows, id_col=id_col, text_col=text_col, row_col=p + "row", options=options).where("repeated").select(F.col("row").alias(p + "of"), F.col("repeats").alias(p + "cut"))
+    x = rows.join(stored(found, "repeats"), F.col(p + "row") == F.col(p + "of"), "left")
+    data, cut = F.col(text_col).cast("binary"), F.col(p + "cut")
+    n = F.size(cut)
+
+    def piece(i: Column) -> Column:
+        """What lies before the i-th repeat; for i = n, after the last."""
+        a = F.when(i > 0, F.get(cut, i - 1)["end"]).otherwise(F.lit(0).cast("long"))
+        b = F.when(i < n, F.get(cut, i)["start"]).otherwise(F.octet_length(data).cast("long"))
+        return F.substring(data, (a + 1).cast("int"), (b - a).cast("int")).cast("string")
+
+    text = F.array_join(F.transform(F.sequence(F.lit(0), n), piece), "")
+    return x.withColumn(text_col, F.when(cut.isNotNull(), text).otherwise(F.col(text_col))).select(*df.columns)

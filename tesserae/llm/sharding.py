@@ -14,8 +14,8 @@ from .hypergeometric import matrix
 def shard(df: DataFrame, shards: int, *, key_cols: tuple[str, ...] = ("doc_id", "text"), seed: int = 7, partitions: int | None = None) -> DataFrame:
     """Put every row into one of ``shards`` shards whose row counts differ by one at most.
 
-    Adds ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard) to the rows; clashing columns of the
-    input are replaced. How it works: rows lie in source partitions by a hash of their key; the driver draws how
+    Adds ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard) to the rows; columns of these names in
+    any case are replaced, all others stay. How it works: rows lie in source partitions by a hash of their key; the driver draws how
     many rows of each go to each shard (``partitions`` times ``shards`` counts, whatever the rows); each partition
     permutes its rows and deals them out by those counts; each shard permutes what it got, in sub-ranges of its
     slots whose sizes are counted first, so no task holds a whole shard.
@@ -27,9 +27,8 @@ def shard(df: DataFrame, shards: int, *, key_cols: tuple[str, ...] = ("doc_id",
     spark = df.sparkSession
     n = partitions or shuffle_partitions(spark)
     subs = max(1, -(-n // shards))
-    drop = [c for c in ("shard", "slot") if c in df.columns]
-    df = df.drop(*drop)
-    part, one, two, sub = (fresh(df, c) for c in ("part", "order_1", "order_2", "sub"))
+    df = df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")))
+    part, one, two, sub, ends_of = (fresh(df, c) for c in ("part", "order_1", "order_2", "sub", "ends"))
 
     def keyed(hash_of: Column) -> list[Column]:
         return [F.pmod(F.xxhash64(F.lit(seed), hash_of), F.lit(n)).cast("int").alias(part), F.xxhash64(F.lit(seed + 1), hash_of).alias(one), F.xxhash64(F.lit(seed + 2), hash_of).alias(two)]
@@ -42,13 +41,13 @@ def shard(df: DataFrame, shards: int, *, key_cols: tuple[str, ...] = ("doc_id",
     columns = [total // shards + (j < total % shards) for j in range(shards)]
     dealt = matrix(np.random.default_rng(seed), rows, columns)
     ends = [[int(x) for x in np.cumsum(r)] for r in dealt]
-    schema = T.StructType([T.StructField(part, T.IntegerType()), T.StructField("ends", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField(part, T.IntegerType()), T.StructField(ends_of, T.ArrayType(T.LongType()))])
     table = F.broadcast(spark.createDataFrame(list(enumerate(ends)), schema))  # n * shards numbers
 
     def exchanged(x: DataFrame) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(part).orderBy(one, two)).cast("long") - 1
         x = x.withColumn("shard", rank).join(table, part)
-        return x.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("shard")))).drop("ends", part, one).withColumn(sub, F.pmod(F.col(two), F.lit(subs)).cast("int"))
+        return x.withColumn("shard", F.size(F.filter(ends_of, lambda e: e <= F.col("shard")))).drop(ends_of, part, one).withColumn(sub, F.pmod(F.col(two), F.lit(subs)).cast("int"))
 
     # shards * subs rows; the keys alone are shuffled for this
     sizes = {(r[0], r[1]): r[2] for r in exchanged(narrow).groupBy("shard", sub).count().collect()}

@@ -13,14 +13,14 @@ same pattern, and their lengths add up to the positions.
 from __future__ import annotations
 
 import random
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.segment import starts
 from .boosting import Model, fit
-from .common import fresh
+from .common import prefix
 
 # The base patterns, written so that the engine neither recurses nor rescans: possessive repeats give what the plain
 # ones give where nothing follows, and a start inside a run that has failed at its beginning is skipped.
@@ -31,12 +31,14 @@ BASE = (
     ("card", r"[0-9](?:[\x20-]?[0-9])++"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
+#: What stands before a credential.
+_NAME = r"[A-Za-z_][A-Za-z0-9_]++"
 #: Kinds that the method adds, in the order of their generators.
 ADDED = (
-    ("credential", r"(?<![A-Za-z0-9_])[A-Za-z_]{2,32}\x20?[=:]\x20?[^\x20\x09-\x0D\"',;|]{4,}+"),
+    ("credential", rf"(?<![A-Za-z0-9_]){_NAME}\x20?[=:]\x20?[^\x20\x09-\x0D\"',;|]{{4,}}+"),
     ("key", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+"),
-    ("number", r"(?<![0-9A-Za-z.,+])\(?[0-9]{2,5}\)?(?:[\x20./-]?[0-9]{2,6}){1,5}(?![0-9A-Za-z])"),
-    ("address", r"[A-Za-z0-9._-]{2,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]{2,63})++"),
+    ("number", r"(?<![0-9A-Za-z.,+])\(?[0-9]{2,5}\)?(?:[\x20./-]?[0-9]{2,6})++(?![0-9A-Za-z])"),
+    ("address", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]{2,}+)++"),
 )
 KINDS = tuple(k for k, _ in BASE + ADDED)
 #: Code points of context that a generator's features look at.
@@ -49,20 +51,16 @@ def _found(text: Column, pattern: str, with_context: bool = False) -> Column:
     """All leftmost non-overlapping matches: array of (start, end, s), and the text before each if asked for."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(matches.alias("s"), gaps.alias("g"))
-    kind = "array<struct<start:int,end:int,s:string" + (",before:string>>" if with_context else ">>")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.char_length(x["g"])
-        end = start + F.char_length(x["s"])
-        own = [start.alias("start"), end.alias("end"), x["s"].alias("s")]
-        if with_context:
-            own.append(F.right(x["g"], F.lit(CONTEXT)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(*own))).alias("out"))
-
     # the last gap has no match
-    return F.aggregate(F.filter(pairs, lambda x: x["s"].isNotNull()), zero, step, lambda a: a["out"])
+    pairs = F.filter(F.arrays_zip(matches.alias("s"), gaps.alias("g")), lambda x: x["s"].isNotNull())
+
+    def placed(x: Column, at: Column) -> Column:
+        start = at + F.char_length(x["g"])
+        own = [start.alias("start"), (start + F.char_length(x["s"])).alias("end"), x["s"].alias("s")]
+        return F.struct(*own, *([F.right(x["g"], F.lit(CONTEXT)).alias("before")] if with_context else []))
+
+    # in an array of one, so that the matches are found once
+    return F.get(F.transform(F.array(pairs), lambda ps: F.zip_with(ps, starts(F.transform(ps, lambda x: F.char_length(x["g"]) + F.char_length(x["s"]))), placed)), F.lit(0))
 
 
 def _digits(s: Column) -> Column:
@@ -96,16 +94,16 @@ def _features(x: Column) -> list[Column]:
     n = F.char_length(s)
     count = lambda cls: F.char_length(F.regexp_replace(s, f"[^{cls}]", "")).cast("double")
     says = lambda c, pattern: F.when(c.rlike(pattern), 1.0).otherwise(0.0)
-    value = F.regexp_replace(s, r"^[A-Za-z_]{2,32}\x20?[=:]\x20?", "")
+    value = F.regexp_replace(s, rf"^{_NAME}\x20?[=:]\x20?", "")
     mixed = F.char_length(F.regexp_replace(value, "[0-9]", "")).cast("long") * F.char_length(_digits(value))
     return [
         n.cast("double"),
         count("0-9"),
         count("A-Z"),
         count("a-z"),
-        says(s, r"^[A-Za-z_]{2,32}\x20?[=:]"),
-        says(F.lower(s), r"^[a-z_]*(passw|passwd|pwd|secret|token|api_?key|auth|credential)[a-z_]*\x20?[=:]"),
-        says(before, r"(passw|pwd|secret|token|key|credential)[a-z_]*[\x20:=]*$"),
+        says(s, rf"^{_NAME}\x20?[=:]"),
+        says(F.lower(s), r"^[a-z0-9_]*(passw|passwd|pwd|secret|token|api_?key|auth|credential)[a-z0-9_]*\x20?[=:]"),
+        says(before, r"(passw|pwd|secret|token|key|credential)[a-z0-9_]*[\x20:=]*$"),
         says(before, r"(phone|tel|call|mobile|fax|ssn|social security|passport|account|iban|id)[a-z.]*[\x20:#=]*$"),
         says(s, r"[\[(](?:at|dot)[\])]"),
         says(s, r"^[A-Z0-9]{16,}$"),
@@ -163,9 +161,10 @@ def _sample() -> list[tuple[int, str]]:
     return rows
 
 
-@lru_cache(1)
-def _fitted(version: int) -> Model:
-    spark = SparkSession.getActiveSession()
+_MODEL: Model | None = None
+
+
+def _fitted(spark: SparkSession) -> Model:
     rows = _sample()
     table = "\n".join(f"{label}{text}" for label, text in rows)
     lines = spark.range(1).select(F.explode(F.split(F.lit(table), "\n")).alias("line"))
@@ -176,8 +175,11 @@ def _fitted(version: int) -> Model:
     return fit(np.array([r["f"] for r in made]), np.array([r["y"] for r in made]))
 
 
-def model() -> Model:
-    return _fitted(1)
+def model(spark: SparkSession) -> Model:
+    global _MODEL
+    if _MODEL is None:
+        _MODEL = _fitted(spark)
+    return _MODEL
 
 
 def find(df: DataFrame, *, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -187,7 +189,7 @@ def find(df: DataFrame, *, text_col: str = "text", prefix: str = "") -> DataFram
     An added span that overlaps a base span is dropped; of overlapping added spans that pass the threshold, the
     more probable one stays (of equals the earlier, then the longer). A null text has no spans.
     """
-    boosted = model()
+    boosted = model(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = "array<struct<start:int,k:int,end:int>>"
     none = F.array().cast(kind)
@@ -231,16 +233,17 @@ def joined(spans: Column) -> Column:
 
 
 def report(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans."""
+    """A row for each document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added (spans of the
+    other kinds) and n_spans. Null texts have none; equal rows and ids stay rows of their own; other columns play no part."""
     rows = find(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
-    return rows.select("doc_id", *(count(k).alias(f"n_{name}") for k, (name, _) in enumerate(BASE)), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", *(count(k).alias(f"n_{name}") for k, (name, _) in enumerate(BASE)), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with every span replaced by its kind in brackets; overlapping spans by one of the first's
     kind. Texts without spans, and null ones, stay as they are; so do all other columns."""
-    p = fresh(df, "p") + "_"
+    p = prefix(df, "p")
     x = find(df, text_col=text_col, prefix=p)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col(text_col)

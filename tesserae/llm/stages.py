@@ -1,5 +1,10 @@
 """The stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of
-documents."""
+documents.
+
+Each keeps all columns of its input, whatever their names, works on repeated rows and ids and on null texts, and gives an
+empty table for an empty one. Where ``lang`` or ``source`` is absent, it counts as null; ``n_chars`` is set where it is
+there.
+"""
 
 from __future__ import annotations
 
@@ -15,25 +20,34 @@ from .queries import tokenizer_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _with(docs: DataFrame, *names: str) -> DataFrame:
+    """The documents with these columns, null where they are absent."""
+    have = {c.lower() for c in docs.columns}
+    return docs.select("*", *(F.lit(None).cast("string").alias(n) for n in names if n not in have))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.keep(docs)
+    return quality.keep(_with(docs, "lang", "source")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 5-word shingles at a similarity of 0.8, the document of the smallest id stays."""
+    """Of each group linked by 5-word shingles at a similarity of 0.8, the document of the smallest id stays. Documents
+    without words stay; of rows that share the kept id, one of each text."""
     return jaccard.keep_one(docs, words=5, num=80, den=100)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data become their kind in brackets; n_chars follows the text."""
     own = pii.redact(docs)
+    if "n_chars" not in docs.columns:
+        return own
     return own.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their target weights: rows are there as often as the mix takes them."""
-    return mixing.apply(docs)
+    return mixing.apply(_with(docs, "source")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

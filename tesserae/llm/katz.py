@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_path, discard, shared_dir, shuffle_partitions, stored
+from .common import arrow_path, shared_dir, shuffle_partitions, stored
 from .shingles import mix, slices, word_hashes
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)

@@ -259,28 +259,29 @@ def _texts(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     bits = rows.sparkSession.sparkContext.broadcast(_bloom(wanted.select("key")))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bits.value
+        """Rows whose key may be wanted, with their class; one key may stand before several texts. Copies of a row pass once
+        in a task, and those that are left do no harm."""
+        own, seen = bits.value, set()
         size = 8 * own.shape[1]
         for batch in batches:
             part = batch.column(2).to_numpy(zero_copy_only=False)
             keep = np.ones(batch.num_rows, bool)
             for at in _bloom_bits(batch.column(0).to_numpy(zero_copy_only=False), size):
                 keep &= (own[part, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            if keep.any():
-                yield batch.select([0, 1]).filter(pa.array(keep))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one key may stand before several texts; copies of a row lie together, and one that is left does no harm
-        last = None
-        for batch in batches:
-            keep = []
-            for s, c in zip(shingle_sets(batch.column(1), k), batch.column(0).to_pylist()):
-                keep.append(len(s) > 0 and c != last and set_id(s) == c)
-                last = c if keep[-1] else last
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    found = rows.select("key", "text", _slice_of("key").alias("slice")).mapInArrow(pick, "key long, text string").join(wanted, "key").select("cid", "text")
-    return found.mapInArrow(check, "cid long, text string")
+            if not keep.any():
+                continue
+            some = batch.select([0, 1]).filter(pa.array(keep))
+            keys, cids, new = some.column(0).to_pylist(), [], []
+            for key, s in zip(keys, shingle_sets(some.column(1), k)):
+                cids.append(set_id(s) if len(s) else None)
+                new.append(cids[-1] is not None and (key, cids[-1]) not in seen)
+                if new[-1]:
+                    seen.add((key, cids[-1]))
+            out = pa.RecordBatch.from_arrays([some.column(0), pa.array(cids, pa.int64()), some.column(1)], ["key", "cid", "text"])
+            yield out.filter(pa.array(new, pa.bool_()))
+
+    found = rows.select("key", "text", _slice_of("key").alias("slice")).mapInArrow(pick, "key long, cid long, text string")
+    return found.join(wanted, ["key", "cid"]).select("cid", "text")
 
 
 def _hash_bits(n: int) -> int:

@@ -313,10 +313,11 @@ def plain_katz(texts, order):
         for g, c in counts[m].items():
             context[m][g[:-1]] += c
             after[m][g[:-1]].append(g)
+    of_counts = [[sum(x == r for x in own.values()) for r in range(7)] for own in counts]
 
     def disc(m, c):
         """Katz's formula for counts up to 5; what is not in (0, 1] counts as 1."""
-        n_r = [sum(x == r for x in counts[m].values()) for r in range(7)]
+        n_r = of_counts[m]
         if c > 5 or not n_r[1] or not n_r[c] or 6 * n_r[6] >= n_r[1]:
             return 1.0
         a = 6 * n_r[6] / n_r[1]

@@ -163,10 +163,11 @@ def _messages(rows: DataFrame, folder: str, model: Katz, parts: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, seen = TaskContext.get().partitionId() << 24, [], 0
         for batch in batches:
-            keys = iter(batch.column(0).to_pylist())
+            keys, at = batch.column(0).to_pylist(), 0
             for piece in slices(batch.column(1)):
                 hashes, count = word_hashes(piece)
-                for key, own in zip(keys, np.split(hashes, np.cumsum(count)[:-1])):
+                own_keys, at = keys[at : at + len(piece)], at + len(piece)
+                for key, own in zip(own_keys, np.split(hashes, np.cumsum(count)[:-1]), strict=True):
                     tokens = np.concatenate(([START], own, [END])).astype(np.uint64)
                     held.append((key or 0, key is None, len(tokens), tokens))
                     seen += len(tokens)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, jaccard, katz, mixing, neighbours, pfor, pii, quality, sharding
+from . import bpe, dedup, jaccard, katz, mixing, neighbours, pfor, pii, quality, ranking, sharding
 from .common import read, shared_dir
 
 #: Where the vocabulary files of public tokenizers lie; None: the installed package's own folder.
@@ -89,6 +89,11 @@ def op10_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the preference pairs of labelled ones."""
+    return ranking.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfor_blocks": op1_pfor_blocks,
     "op2_gear_chunks": op2_gear_chunks,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_adaptive_quality": op8_adaptive_quality,
     "op9_mixture": op9_mixture,
     "op10_projected_neighbours": op10_projected_neighbours,
+    "op11_bradley_terry": op11_bradley_terry,
 }
 
 _WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"

@@ -37,18 +37,24 @@ def slices(column: pa.Array, run: int = RUN) -> Iterator[pa.Array]:
         at = min(end, n)
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all texts' words, one after another, after A-Z became a-z, and how many words each text has.
-
-    Words are runs of bytes other than the six white-space bytes; a null text has none. A word's hash is the sum of a
-    random number for each pair of byte and place, so one pass over the bytes hashes all words.
-    """
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts and where each text begins in them, with the end; a null text has none."""
     wide = pa.types.is_large_string(column.type)
     ends = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     body = column.buffers()[2]
     data = np.frombuffer(body, np.uint8)[ends[0] : ends[-1]] if body is not None and ends[-1] > ends[0] else np.zeros(0, np.uint8)
-    ends = ends - ends[0]
-    inside = ~_SPACE[data]
+    return data, ends - ends[0]
+
+
+def word_hashes(column: pa.Array, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' words, one after another, after A-Z became a-z, and how many words each text has.
+
+    Words are runs of bytes other than those marked in ``between``, the six white-space bytes unless told otherwise; a
+    null text has none. A word's hash is the sum of a random number for each pair of byte and place, so one pass over
+    the bytes hashes all words.
+    """
+    data, ends = text_bytes(column)
+    inside = ~between[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edges = ends[:-1][ends[:-1] < ends[1:]]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, jaccard, katz, mixing, neighbours, pfor, pii, quality, ranking, sharding
+from . import bpe, dedup, jaccard, katz, mixing, neighbours, pfor, pii, quality, ranking, search, sharding
 from .common import read, shared_dir
 
 #: Where the vocabulary files of public tokenizers lie; None: the installed package's own folder.
@@ -94,6 +94,11 @@ def op11_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of all documents for each benchmark item."""
+    return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfor_blocks": op1_pfor_blocks,
     "op2_gear_chunks": op2_gear_chunks,
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixture": op9_mixture,
     "op10_projected_neighbours": op10_projected_neighbours,
     "op11_bradley_terry": op11_bradley_terry,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 _WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
@@ -150,4 +156,19 @@ v AS (SELECT f.doc_id, bool_and(coalesce(f.v <= q.hi, true)) AS fine FROM f LEFT
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept FROM b JOIN v USING (doc_id)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": _OP6, "op8_adaptive_quality": _op8()}
+_LOWERED = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_LOWERED.format('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_OP12 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS t FROM documents),
+k AS (SELECT doc_id, r, len(t) AS n FROM d WHERE len(t) > 0),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM k),
+p AS (SELECT r, g, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS g FROM d) GROUP BY ALL),
+f AS (SELECT g, count(*) AS df FROM p GROUP BY g),
+i AS (SELECT item_id, r, g, count(*) AS times FROM (SELECT item_id, row_number() OVER () AS r, unnest({_TERMS}) AS g FROM benchmark) GROUP BY ALL),
+w AS (SELECT i.*, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM i JOIN f USING (g), c),
+s AS (SELECT w.item_id, w.r AS item, k.doc_id, k.r, sum(w.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (100 - 75 + ((75 * k.n * docs) // terms)))))::BIGINT AS score
+  FROM w JOIN p USING (g) JOIN k ON k.r = p.r, c GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+
+ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": _OP6, "op8_adaptive_quality": _op8(), "op12_lexical_search": _OP12}

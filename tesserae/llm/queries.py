@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, jaccard, katz, mixing, neighbours, pfor, pii, quality, ranking, search, sharding
+from . import bpe, dedup, jaccard, katz, mixing, neighbours, pfor, pii, quality, ranking, search, sharding, spelling
 from .common import read, shared_dir
 
 #: Where the vocabulary files of public tokenizers lie; None: the installed package's own folder.
@@ -99,6 +99,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfor_blocks": op1_pfor_blocks,
     "op2_gear_chunks": op2_gear_chunks,
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_projected_neighbours": op10_projected_neighbours,
     "op11_bradley_terry": op11_bradley_terry,
     "op12_lexical_search": op12_lexical_search,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
@@ -170,5 +176,23 @@ s AS (SELECT w.item_id, w.r AS item, k.doc_id, k.r, sum(w.times * w.w * ((100000
   FROM w JOIN p USING (g) JOIN k ON k.r = p.r, c GROUP BY ALL)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
 
-
-ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": _OP6, "op8_adaptive_quality": _op8(), "op12_lexical_search": _OP12}
+#: crc32 of a text of one-byte characters and those of Latin-1, which UTF-8 writes in two bytes: {0}.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN c = '' THEN [] WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+  ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64]::BIGINT[] END))),
+  lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+_OP13 = f"""
+WITH RECURSIVE r AS (SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWERED.format("text")}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, times, {_CRC.format("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM r),
+v AS (SELECT word, sum(times)::BIGINT AS n FROM (SELECT times, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+k AS (SELECT word, n, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+d AS (SELECT DISTINCT word, n, rest FROM k),
+e AS (SELECT a.word, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.rest UNION ALL SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.rest),
+b AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS best, max(near_n) AS best_n FROM e GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * v.n THEN best END AS form, CASE WHEN best_n >= 10 * v.n THEN best_n END AS form_n FROM v LEFT JOIN b USING (word)),
+c AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.next)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word AND c.next IS NULL"""
+
+
+ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": _OP6, "op8_adaptive_quality": _op8(), "op12_lexical_search": _OP12, "op13_spelling_variants": _OP13}

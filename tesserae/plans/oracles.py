@@ -157,6 +157,14 @@ SELECT q_id, id, round_even(score, 6) AS score, rank::INT AS rank FROM (SELECT *
     "report_cache_latest": "SELECT sha256(user_id::VARCHAR) AS query_sha256, event_type AS params_key, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "report_latest_wins": "SELECT 'R' || (event_id % 500) AS report_no, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 500 ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "task_retention": "SELECT event_id, ts FROM events WHERE date_diff('second', date_trunc('second', ts), (SELECT date_trunc('second', max(ts)) FROM events)) <= 7200 ORDER BY ts DESC, event_id DESC LIMIT 20",
+    "task_states": """
+WITH e AS (SELECT event_type AS desk, user_id::VARCHAR AS task_id, event_id % 4 AS k, ts, event_id FROM events),
+c AS (SELECT desk, task_id, max((ts, event_id)) AS born FROM e WHERE k = 0 GROUP BY ALL),
+d AS (SELECT desk, max(ts) AS now FROM e GROUP BY desk),
+h AS (SELECT c.*, row_number() OVER (PARTITION BY desk ORDER BY born DESC) AS n FROM c JOIN d USING (desk) WHERE epoch_us(born[1]) >= epoch_us(now) - 86400000000),
+u AS (SELECT h.desk, h.task_id, max((e.ts, e.event_id, e.k)) AS x FROM h JOIN e ON e.desk = h.desk AND e.task_id = h.task_id AND (e.ts, e.event_id) >= h.born WHERE n <= 20 GROUP BY ALL)
+SELECT u.desk, u.task_id, ['queued', 'running', 'done', 'error'][x[3] + 1] AS status, ['排队中', '解析', '完成', '失败'][x[3] + 1] AS stage, ([0, 5, 100, 100][x[3] + 1])::INT AS pct, x[2] AS seq, epoch_us(born[1]) AS created_us
+FROM u JOIN h USING (desk, task_id)""",
     "pii_redaction": f"SELECT doc_id, md5({_REDACT}) AS redacted_md5, length({_REDACT})::INT AS redacted_chars FROM documents",
     "paper_meta": f"""WITH papers AS (SELECT doc_id, '摘要：' || {_ABSTRACT} || chr(10) || '关键词：河流；沉积；编号' || doc_id || chr(10) || text AS text FROM documents)
 SELECT CASE doc_id % 3 WHEN 0 THEN '毕业论文-' WHEN 1 THEN 'journal-' ELSE '' END || doc_id || '.txt' AS path, '摘要：' || {_ABSTRACT} AS title, {_ABSTRACT} AS abstract, '河流；沉积；编号' || doc_id AS keywords,

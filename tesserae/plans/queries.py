@@ -9,6 +9,7 @@ from ..functions import fingerprint as fp
 from ..functions import grading as G
 from ..functions import text as T
 from ..operators import grading, library, overlap, segment
+from ..streaming import tasks
 
 RUBRIC = {
     "course": {
@@ -220,6 +221,14 @@ def task_retention(spark, d):
     return library.live_tasks(e, F.lit(now)).select("event_id", "ts")
 
 
+def task_states(spark, d):
+    """Events as the life of tasks: a desk for each type, a task for each of its users, kept a day."""
+    kind = F.element_at(F.array(*map(F.lit, ("submit", "running", "done", "error"))), (F.col("event_id") % 4 + 1).cast("int"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("desk"), F.col("user_id").alias("task_id"), kind.alias("kind"), F.col("value").alias("message"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+    now = tasks.current(tasks.changes(e, tasks.Desk(ttl=86_400)))
+    return now.select("desk", "task_id", "status", "stage", "pct", "seq", F.unix_micros("created").alias("created_us"))
+
+
 # ---- grading ----
 
 
@@ -301,7 +310,7 @@ QUERIES = {
     for f in (
         doc_sentences, normalize_text, body_chars, ref_cut, char_bigrams, fnv1a64_bigrams, sentence_simhash, lsh_blocks, bucket_histogram, lsh_candidates,
         edit_matches, tier_histogram, containment_top3, fallback_matches, best_match, check_summary, source_stats, match_spans, evidence_top3, chapter_heat, cosine_top3,
-        library_dedup, known_doc_skip, library_stats, library_text, params_key, report_cache_latest, report_latest_wins, task_retention,
+        library_dedup, known_doc_skip, library_stats, library_text, params_key, report_cache_latest, report_latest_wins, task_retention, task_states,
         pii_redaction, paper_meta, text_chunks, sample_excerpt, mock_scores, weighted_totals, band_distribution, batch_stats, grade_pivot, grade_ranking, low_confidence_flags, loose_json_scores, cache_validity,
     )
 }

@@ -42,8 +42,3 @@ def watch(spark: SparkSession, inbox: str, lib_sentences: Callable[[], DataFrame
 
     w = arrivals(spark, inbox).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
-
-
-def expired(tasks: DataFrame, *, ttl: str = "2 hours", ts_col: str = "created") -> DataFrame:
-    """A stream of tasks without late ones: the watermark drops rows older than ``ttl``, ids are kept once."""
-    return tasks.withWatermark(ts_col, ttl).dropDuplicatesWithinWatermark(["task_id"])

@@ -42,11 +42,17 @@ def candidates(query: DataFrame, library: DataFrame) -> DataFrame:
         x = x.where("fp <> 0").select(F.col("norm").alias(p + "norm"), F.col("fp").alias(p + "fp")).distinct()
         return x.select("*", F.posexplode(fp.blocks(F.col(p + "fp"))).alias("block", "value"))
 
-    x = side(query, "q_").join(side(library, "l_"), ["block", "value"])
+    return sharing(side(query, "q_"), side(library, "l_").withColumnRenamed("l_norm", "norm"), "norm", ["block", "value"])
+
+
+def sharing(query: DataFrame, library: DataFrame, name: str, on: list[str]) -> DataFrame:
+    """Pairs of rows (q_norm, q_fp, block, value) and (``name``, l_fp, block, value) that share a block, each at the first
+    block that it shares."""
+    x = query.join(library, on)
     same = F.transform(F.arrays_zip(fp.blocks(F.col("q_fp")).alias("a"), fp.blocks(F.col("l_fp")).alias("b")), lambda z: z["a"] == z["b"])
     distance = fp.hamming(F.col("q_fp"), F.col("l_fp"))
     x = x.where((distance <= fp.MAX_DISTANCE) & (F.array_position(same, F.lit(True)) == F.col("block") + 1))
-    return x.select("q_norm", F.col("l_norm").alias("norm"), distance.alias("distance"), F.col("block").alias("min_block"))
+    return x.select("q_norm", name, distance.alias("distance"), F.col("block").alias("min_block"))
 
 
 def _measured(pairs: DataFrame) -> DataFrame:
@@ -69,7 +75,12 @@ def verified(pairs: DataFrame) -> DataFrame:
 
 def literal_matches(query: DataFrame, library: DataFrame) -> DataFrame:
     """Matches by fingerprint and edit similarity. Only verified pairs of normal forms meet the sentences again."""
-    pairs = verified(candidates(query, library)).select("q_norm", "norm", "d", "m", "sim", "tier", "min_block")
+    return placed(verified(candidates(query, library)), query, library)
+
+
+def placed(pairs: DataFrame, query: DataFrame, library: DataFrame) -> DataFrame:
+    """Verified pairs of normal forms at the sentences that have them."""
+    pairs = pairs.select("q_norm", "norm", "d", "m", "sim", "tier", "min_block")
     q = query.select(F.col("doc_id").alias("q_doc"), F.col("idx").alias("q_idx"), F.col("norm").alias("q_norm"))
     s = library.select("doc_id", F.col("idx").alias("s_idx"), F.col("display").alias("s_display"), "norm")
     x = pairs.join(s, "norm").join(q, "q_norm").withColumn("cos", F.lit(0.0))

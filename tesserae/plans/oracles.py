@@ -157,6 +157,11 @@ SELECT q_id, id, round_even(score, 6) AS score, rank::INT AS rank FROM (SELECT *
     "report_cache_latest": "SELECT sha256(user_id::VARCHAR) AS query_sha256, event_type AS params_key, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "report_latest_wins": "SELECT 'R' || (event_id % 500) AS report_no, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 500 ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "task_retention": "SELECT event_id, ts FROM events WHERE date_diff('second', date_trunc('second', ts), (SELECT date_trunc('second', max(ts)) FROM events)) <= 7200 ORDER BY ts DESC, event_id DESC LIMIT 20",
+    "stored_matches": f"""{_ALL},
+own AS (SELECT l.*, sha256(d.text) AS sha FROM lit l JOIN documents d USING (doc_id))
+SELECT q_doc, q_idx::INT AS q_idx, max(sim) AS sim, count(DISTINCT (sha, s_idx)) AS n_matches, count(DISTINCT sha) AS n_sources FROM own GROUP BY 1, 2""",
+    "report_upserts": """SELECT 'R' || (event_id % 500) AS report_no, sha256(user_id::VARCHAR) AS query_sha256, event_id, value
+FROM (SELECT *, row_number() OVER (PARTITION BY event_id % 500 ORDER BY event_id % 3 DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
     "task_states": """
 WITH e AS (SELECT event_type AS desk, user_id::VARCHAR AS task_id, event_id % 4 AS k, ts, event_id FROM events),
 c AS (SELECT desk, task_id, max((ts, event_id)) AS born FROM e WHERE k = 0 GROUP BY ALL),

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import fingerprint as fp
 from ..functions import grading as G
 from ..functions import text as T
-from ..operators import grading, library, overlap, segment
+from ..operators import grading, library, overlap, segment, store
+from ..sources import folders, tables
 from ..streaming import tasks
 
 RUBRIC = {
@@ -221,6 +222,24 @@ def task_retention(spark, d):
     return library.live_tasks(e, F.lit(now)).select("event_id", "ts")
 
 
+def stored_matches(spark, d):
+    """The library is stored in two batches, documents in English first, and the items are checked against the store."""
+    kept = store.temporary(spark)
+    files = table(spark, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 20, "0").alias("name"), "text", F.coalesce(F.col("lang") == "en", F.lit(False)).alias("first"))
+    for own in (files.where("first"), files.where("not first")):
+        kept.append(own.select("name", "text"))
+    found = kept.literal_matches(asked(spark, d))
+    return found.groupBy("q_doc", "q_idx").agg(F.max("sim").alias("sim"), F.count("*").alias("n_matches"), F.countDistinct("doc_id").alias("n_sources"))
+
+
+def report_upserts(spark, d):
+    """Events as reports that arrive in three batches; each replaces the stored ones of its numbers."""
+    path, r = folders.work_dir(spark, "reports"), _reports(spark, d).select("report_no", "query_sha256", "event_id", "value")
+    for day in (F.col("event_id") % 3 == 0, F.col("event_id") % 3 == 1, F.col("event_id") % 3 == 2):
+        tables.upsert(r.where(day), path, "report_no", order="event_id")
+    return tables.read(spark, path).select("report_no", "query_sha256", "event_id", "value")
+
+
 def task_states(spark, d):
     """Events as the life of tasks: a desk for each type, a task for each of its users, kept a day."""
     kind = F.element_at(F.array(*map(F.lit, ("submit", "running", "done", "error"))), (F.col("event_id") % 4 + 1).cast("int"))
@@ -310,7 +329,7 @@ QUERIES = {
     for f in (
         doc_sentences, normalize_text, body_chars, ref_cut, char_bigrams, fnv1a64_bigrams, sentence_simhash, lsh_blocks, bucket_histogram, lsh_candidates,
         edit_matches, tier_histogram, containment_top3, fallback_matches, best_match, check_summary, source_stats, match_spans, evidence_top3, chapter_heat, cosine_top3,
-        library_dedup, known_doc_skip, library_stats, library_text, params_key, report_cache_latest, report_latest_wins, task_retention, task_states,
+        library_dedup, known_doc_skip, library_stats, library_text, params_key, report_cache_latest, report_latest_wins, task_retention, stored_matches, report_upserts, task_states,
         pii_redaction, paper_meta, text_chunks, sample_excerpt, mock_scores, weighted_totals, band_distribution, batch_stats, grade_pivot, grade_ranking, low_confidence_flags, loose_json_scores, cache_validity,
     )
 }

@@ -41,7 +41,7 @@ def rubric_signature(dims: DataFrame) -> DataFrame:
 
 def paper_meta(papers: DataFrame) -> DataFrame:
     t = F.col("text")
-    return papers.select("path", G.title(t).alias("title"), G.abstract(t).alias("abstract"), G.keywords(t).alias("keywords"), G.headings(t).alias("headings"), F.char_length(t).alias("n_chars"), G.paper_type(F.col("path")).alias("ptype"))
+    return papers.select("path", G.title(t).alias("title"), G.abstract(t).alias("abstract"), G.keywords(t).alias("keywords"), G.headings(t).alias("headings"), F.char_length(t).alias("n_chars"), G.paper_type(G.file_name(F.col("path"))).alias("ptype"))
 
 
 def text_chunks(papers: DataFrame, size: int = G.CHUNK_CHARS) -> DataFrame:
@@ -50,7 +50,7 @@ def text_chunks(papers: DataFrame, size: int = G.CHUNK_CHARS) -> DataFrame:
 
 def dimensions_of(papers: DataFrame, dims: DataFrame) -> DataFrame:
     """Each paper with the dimensions of its type."""
-    return papers.withColumn("ptype", G.paper_type(F.col("path"))).join(F.broadcast(dims), "ptype")  # a few dozen rows
+    return papers.withColumn("ptype", G.paper_type(G.file_name(F.col("path")))).join(F.broadcast(dims), "ptype")  # a few dozen rows
 
 
 def mock_scores(papers: DataFrame, dims: DataFrame) -> DataFrame:
@@ -62,7 +62,9 @@ def mock_scores(papers: DataFrame, dims: DataFrame) -> DataFrame:
     base = F.col("base")
     quoted = F.transform(G.mock_places(path, dim, F.size("quotes")), lambda i: F.get("quotes", i))
     x = dimensions_of(own, dims).withColumn("base", G.mock_base(path, dim))
-    return x.select("path", "ptype", "dim_no", "name", "weight", G.mock_score(base, F.col("bonus")).alias("score"), G.mock_confidence(base).alias("confidence"), quoted.alias("evidence"), "suspicions")
+    score = G.mock_score(base, F.col("bonus"))
+    comment = G.mock_comment(dim, F.col("bonus"), score)
+    return x.select("path", "ptype", "dim_no", "name", "weight", score.alias("score"), G.mock_confidence(base).alias("confidence"), quoted.alias("evidence"), comment.alias("comment"), "suspicions")
 
 
 #: Asks of a model; each reply is the JSON that the prompt describes.
@@ -156,7 +158,7 @@ def grade(papers: DataFrame, dims: DataFrame, client: Callable[[], Scorer], *, r
     failed = F.when(F.col("error").isNotNull(), F.struct("dim_no", "error"))
     by = scores.groupBy("path").agg(F.array_sort(F.collect_list(own)).alias("dimensions"), F.min(failed)["error"].alias("score_error"))
     names = F.broadcast(dims.groupBy("ptype").agg(F.first("rubric_name").alias("rubric_name")))
-    x = x.select("path", G.title(text).alias("title"), F.char_length("text").alias("n_chars"), G.paper_type(F.col("path")).alias("ptype"), F.substring("notes", 1, 3000).alias("notes"), "note_error")
+    x = x.select("path", G.title(text).alias("title"), F.char_length("text").alias("n_chars"), G.paper_type(G.file_name(F.col("path"))).alias("ptype"), F.substring("notes", 1, 3000).alias("notes"), "note_error")
     x = x.join(by, "path", "left").join(names, "ptype", "left")
     unread = F.when(F.col("rubric_name").isNull(), F.concat(F.lit("no rubric for type "), "ptype"))
     x = x.withColumn("error", F.coalesce("note_error", "score_error", unread))

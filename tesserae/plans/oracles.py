@@ -98,7 +98,8 @@ quoted AS (SELECT path, text, list_filter(list_transform(string_split(regexp_rep
   - (CASE WHEN regexp_matches(text, '\\[[0-9]+\\]|\\([\\pL\\pN_]+ et al\\.?,? [0-9]{{4}}\\)') THEN 0 ELSE 3 END) AS bonus FROM papers),
 scores AS (SELECT b.path, b.dim_no, b.name, b.weight, greatest(35, least(96, 62 + (h % 30)::INT + q.bonus))::DOUBLE AS score,
   round_even(0.6 + (h % 30)::INT / 100, 2) AS confidence, q.s, h,
-  CASE WHEN regexp_matches(b.text, '参考\\s*文献') THEN '' ELSE '未识别到参考文献列表' END AS suspicions FROM base b JOIN quoted q USING (path))""".replace("md5_number_text(path || ':' || name)", "('0x' || md5(path || ':' || name))::UHUGEINT")
+  CASE WHEN regexp_matches(b.text, '参考\\s*文献') THEN '' ELSE '未识别到参考文献列表' END AS suspicions,
+  '【mock 试运行，非真实评分】' || b.name || '维度：' || CASE WHEN q.bonus >= 0 THEN '结构要素基本齐全，' ELSE '结构要素有明显缺失，' END || '按启发式规则给出参考分 ' || greatest(35, least(96, 62 + (h % 30)::INT + q.bonus))::INT || '。配置 API Key 后将调用大模型给出真实批改。' AS comment FROM base b JOIN quoted q USING (path))""".replace("md5_number_text(path || ':' || name)", "('0x' || md5(path || ':' || name))::UHUGEINT")
 _TOTALS = f"{_SCORES}, totals AS (SELECT path, round_even(sum(score * weight) / 100, 1) AS total, round_even(least(1.0, avg(confidence)), 2) AS confidence FROM scores GROUP BY path)"
 _BAND = "CASE WHEN total >= 90 THEN '优秀' WHEN total >= 80 THEN '良好' WHEN total >= 70 THEN '中等' WHEN total >= 60 THEN '及格' ELSE '不及格' END"
 _MAIL = "regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[已脱敏]', 'g')"
@@ -192,7 +193,7 @@ FROM (SELECT *, CASE WHEN chars > 0 THEN round_even(hit / chars, 4) ELSE 0.0 END
 || substr(text, length(text) // 2 - 299, 1000) || chr(10) || chr(10) || '……（后略）……' || chr(10) || chr(10) || right(text, 800) END) AS excerpt_md5 FROM papers""",
     "mock_scores": f"""{_SCORES}, two AS (SELECT *, len(s) AS n, CASE WHEN len(s) > 0 THEN (h % len(s)::UHUGEINT)::INT END AS a, CASE WHEN len(s) > 0 THEN ((h // len(s)::UHUGEINT) % len(s)::UHUGEINT)::INT END AS b0 FROM scores),
 three AS (SELECT *, CASE WHEN a = b0 AND n > 1 THEN (a + 1) % n ELSE b0 END AS b FROM two)
-SELECT path, name, score, confidence, CASE WHEN n = 0 THEN '' WHEN a = b THEN s[a + 1] ELSE s[least(a, b) + 1] || '|' || s[greatest(a, b) + 1] END AS evidence, suspicions FROM three""",
+SELECT path, name, score, confidence, CASE WHEN n = 0 THEN '' WHEN a = b THEN s[a + 1] ELSE s[least(a, b) + 1] || '|' || s[greatest(a, b) + 1] END AS evidence, comment, suspicions FROM three""",
     "weighted_totals": f"{_TOTALS} SELECT path, total, {_BAND} AS band, confidence, CASE WHEN confidence < 0.6 THEN '置信度偏低，建议人工复评' ELSE '' END AS flags FROM totals",
     "band_distribution": f"{_TOTALS} SELECT {_BAND} AS band, count(*) AS n FROM totals GROUP BY 1",
     "batch_stats": f"{_TOTALS} SELECT count(*) AS n, round_even(avg(total), 1) AS average, max(total) AS highest, min(total) AS lowest FROM totals",

@@ -276,7 +276,7 @@ def sample_excerpt(spark, d):
 
 def mock_scores(spark, d):
     x = grading.mock_scores(papers(spark, d), rubric(spark))
-    return x.select("path", "name", "score", "confidence", F.array_join("evidence", "|").alias("evidence"), "suspicions")
+    return x.select("path", "name", "score", "confidence", F.array_join("evidence", "|").alias("evidence"), "comment", "suspicions")
 
 
 def _scores(spark, d):

@@ -91,11 +91,6 @@ def report_html(sentences: DataFrame, hits: DataFrame, summaries: DataFrame, sou
     return x.select("doc_id", page.alias("html"))
 
 
-def write_texts(df: DataFrame, path: str, *, name_col: str, text_col: str) -> None:
-    """A folder for each name with its text as one file."""
-    df.select(F.col(name_col).alias("name"), F.col(text_col).alias("value")).write.mode("overwrite").partitionBy("name").option("lineSep", "\n").text(path)
-
-
 def write_failures(failures: DataFrame, path: str) -> None:
     """CSV with a header and, for spreadsheets, a byte order mark before it."""
     first, *rest = failures.columns

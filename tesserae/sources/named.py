@@ -7,12 +7,13 @@ name. A file of the same name is replaced.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
@@ -20,11 +21,14 @@ from pyspark.sql.types import Row, StructType
 _STAGE = "_temporary"
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    """Arrow's file system and path of a folder as Spark names it."""
-    uri = path if "://" in path else "file://" + path.removeprefix("file:")
-    system, base = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1))
-    return system, base.rstrip("/")
+def open_path(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system and path of a file or folder as Spark names it. Only the store's name is read as a URI, so that
+    paths may hold any characters."""
+    store, rest = re.match(r"(?:([A-Za-z0-9+.-]+://[^/]*)|file:)?(.*)", path, re.DOTALL).groups()
+    if not store or store == "file://":
+        return fs.LocalFileSystem(), re.sub("^/+", "/", rest).rstrip("/")
+    system, base = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", store))
+    return system, f"{base.rstrip('/')}{rest}".rstrip("/")
 
 
 @dataclass
@@ -40,7 +44,7 @@ class NamedWriter(DataSourceWriter):
         self.path, self.encoding, self.job = path, encoding, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[Row]) -> Written:
-        system, base = _open(self.path)
+        system, base = open_path(self.path)
         folder, names = f"{base}/{_STAGE}/{self.job}/{uuid.uuid4().hex}", []
         for r in iterator:
             name, text = r["name"], r["text"]
@@ -54,7 +58,7 @@ class NamedWriter(DataSourceWriter):
         return Written(folder, names)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, base = _open(self.path)
+        system, base = open_path(self.path)
         for m in messages:
             for i, name in enumerate(m.names if m else ()):
                 to = f"{base}/{name}"
@@ -64,7 +68,7 @@ class NamedWriter(DataSourceWriter):
         self._clean(system, base)
 
     def abort(self, messages: list[Written | None]) -> None:
-        self._clean(*_open(self.path))
+        self._clean(*open_path(self.path))
 
     def _clean(self, system: fs.FileSystem, base: str) -> None:
         for at in (f"{base}/{_STAGE}/{self.job}", f"{base}/{_STAGE}"):
@@ -95,10 +99,12 @@ def write_files(df: DataFrame, path: str, *, name_col: str, text_col: str, order
     """Each row's text in the file of its name below ``path``. Of rows with one name that with the largest ``order_col``,
     then the largest text, is written. A null text is an empty file; a name that is null, empty or holds a slash fails
     the whole write, which then leaves nothing. The driver moves the files: some hundred bytes for each pass through it."""
-    spark = df.sparkSession
-    spark.dataSource.register(NamedFiles)
     order = F.struct(*([F.col(order_col)] if order_col else []), F.coalesce(F.col(text_col), F.lit("")))
     own = df.groupBy(F.col(name_col).alias("name")).agg(F.max_by(F.col(text_col), order).alias("text"))
+    # in a micro-batch the plan's session, the thread's and the one that the stream was made in are three
+    for session in (df.sparkSession, SparkSession.getActiveSession(), SparkSession(df.sparkSession.sparkContext, own._jdf.sparkSession())):
+        if session is not None:
+            session.dataSource.register(NamedFiles)
     own.write.format("named_files").option("path", path).option("encoding", encoding).mode("append").save()
 
 

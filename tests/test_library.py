@@ -13,7 +13,6 @@ from tesserae.functions import similarity as sm
 from tesserae.functions import text as T
 from tesserae.operators import grading, library, overlap, segment
 from tesserae.sources import files, sinks
-from tesserae.streaming import inbox
 
 LIBRARY = [
     (1, "第一章 绪论\n本文讨论河流沉积物的来源与搬运过程，并比较三种取样方法。\n潮汐会改变河口的盐度分布；这是常见现象。\n"),
@@ -168,16 +167,6 @@ def test_files(spark, tmp_path):
     assert got["c.DOCX"]["text"] == "## Top\nBody text\nx | y"
 
 
-def test_inbox(spark, tmp_path, tables):
-    box = tmp_path / "box"
-    box.mkdir()
-    (box / "q.txt").write_text(QUERY[0][1])
-    (box / "copy.txt").write_text(QUERY[0][1])
-    inbox.watch(spark, str(box), lambda: tables[1], str(tmp_path / "reports"), str(tmp_path / "state")).awaitTermination(120)
-    rows = spark.read.parquet(str(tmp_path / "reports")).collect()
-    assert len(rows) == 1 and rows[0]["total_ratio"] > 0.4
-
-
 def test_vector_fallback(spark):
     """Rewritten sentences match by their vectors alone: strong ones only, none without a vector."""
     lib = library.library_sentences(spark.createDataFrame([("l", "Completely original wording about rivers flowing north.")], "doc_id string, text string"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, distinct_words, spread
+from .common import Memo, distinct_words, spread, tidy
 from .shingles import slices
 
 SLICE = 1 << 22  # bytes of text that are encoded at once
@@ -213,4 +213,4 @@ def encode_bpe(df: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id"
         code.forget()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

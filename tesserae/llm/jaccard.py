@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, prefix, shuffle_partitions, stored
+from .common import discard, prefix, shuffle_partitions, stored, tidy
 from .components import components
 from .shingles import mix, set_id, shingle_sets
 
@@ -81,7 +81,7 @@ def _first_pass(rows: DataFrame, k: int) -> DataFrame:
                 blob = zlib.compress(part.astype(np.uint64).tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([b], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([blob], pa.binary())], ["kind", "key", "n", "cid", "blob"])
 
-    return rows.mapInArrow(run, "kind int, key long, n long, cid long, blob binary")
+    return rows.mapInArrow(tidy(run), "kind int, key long, n long, cid long, blob binary")
 
 
 def _rank(sketches: DataFrame, parts: int) -> tuple[np.ndarray, int]:
@@ -99,7 +99,7 @@ def _rank(sketches: DataFrame, parts: int) -> tuple[np.ndarray, int]:
 
     made = sketches.select("key", "blob")
     for n in (parts, 1):  # tasks' sketches meet in many tasks first
-        made = made.repartition(16 * n, "key", F.pmod(F.xxhash64("blob"), F.lit(n))).mapInArrow(merge, "key long, blob binary")
+        made = made.repartition(16 * n, "key", F.pmod(F.xxhash64("blob"), F.lit(n))).mapInArrow(tidy(merge), "key long, blob binary")
     cells = np.zeros((16, CELLS // 16), np.float32)
     for r in made.collect():  # 16 rows
         cells[r["key"]] = np.frombuffer(zlib.decompress(r["blob"]), np.uint64)
@@ -148,7 +148,7 @@ def _index(rows: DataFrame, k: int, rank, hot: int, num: int, den: int, parts: i
         if held:
             yield from flush()
 
-    return rows.mapInArrow(run, "part int, token binary, cid binary, n binary, pos binary")
+    return rows.mapInArrow(tidy(run), "part int, token binary, cid binary, n binary, pos binary")
 
 
 def _lists(index: DataFrame, rank, hot: int, num: int, den: int, parts: int) -> DataFrame:
@@ -211,7 +211,7 @@ def _lists(index: DataFrame, rank, hot: int, num: int, den: int, parts: int) ->
         if held:
             yield from finish(held)
 
-    return index.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(run, "kind int, a long, b long, n int, pos int")
+    return index.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(tidy(run), "kind int, a long, b long, n int, pos int")
 
 
 def _bloom_bits(keys: np.ndarray, size: int) -> list[np.ndarray]:
@@ -249,7 +249,7 @@ def _bloom(keys: DataFrame) -> np.ndarray:
 
     sliced = keys.select(_slice_of("key").alias("slice"), "key").repartition(SLICES, "slice").sortWithinPartitions("slice")
     out = np.zeros((SLICES, size // 8), np.uint8)
-    for r in sliced.mapInArrow(run, "slice int, bits binary").collect():  # SLICES rows, of BLOOM bits together
+    for r in sliced.mapInArrow(tidy(run), "slice int, bits binary").collect():  # SLICES rows, of BLOOM bits together
         out[r["slice"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return out
 
@@ -280,7 +280,7 @@ def _texts(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([some.column(0), pa.array(cids, pa.int64()), some.column(1)], ["key", "cid", "text"])
             yield out.filter(pa.array(new, pa.bool_()))
 
-    found = rows.select("key", "text", _slice_of("key").alias("slice")).mapInArrow(pick, "key long, cid long, text string")
+    found = rows.select("key", "text", _slice_of("key").alias("slice")).mapInArrow(tidy(pick), "key long, cid long, text string")
     return found.join(wanted, ["key", "cid"]).select("cid", "text")
 
 
@@ -321,7 +321,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
     left = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, na long, nb long, both long, lacks binary, beside binary")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long, na long, nb long, both long, lacks binary, beside binary")
 
 
 class _Leader:
@@ -335,10 +335,11 @@ class _Leader:
         self.unseen = np.array([len(x) // np.dtype(_places(n)).itemsize for x in beside], np.int64) - np.bitwise_count(self.beside).sum(axis=1, dtype=np.int64)
 
     def _bits(self, places: list[bytes], size: int) -> np.ndarray:
-        out = np.zeros((len(places), -(-size // 64) * 64), bool)
+        out = np.zeros((len(places), -(-size // 64)), "<u8")
         for i, x in enumerate(places):
-            out[i, np.frombuffer(x, _places(self.n))] = True
-        return np.packbits(out, axis=1, bitorder="little").view("<u8")
+            at = np.frombuffer(x, _places(self.n)).astype(np.uint64)
+            np.bitwise_or.at(out[i], (at >> np.uint64(6)).astype(np.int64), np.left_shift(np.uint64(1), at & np.uint64(63)))
+        return out
 
     def most_shared(self, row: int, others: slice) -> np.ndarray:
         """The most tokens that a row can share with others: what both have of the leader, and what both have beside, where
@@ -432,7 +433,7 @@ def _open_pairs(entries: DataFrame, labels: DataFrame, answers: DataFrame, num:
         return pa.RecordBatch.from_arrays([*(pa.array(x[first], pa.int64()) for x in (a, b, least)), pa.array(np.diff(np.append(first, len(a))), pa.int64())], ["a", "b", "least", "shared"])
 
     parts = shuffle_partitions(entries.sparkSession)
-    x = x.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "pos").mapInArrow(run, "a long, b long, least long, shared long")
+    x = x.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "pos").mapInArrow(tidy(run), "a long, b long, least long, shared long")
     # every list that both sets are in has been scanned, so the sum is all that they share
     return x.groupBy("a", "b").agg(F.max("least").alias("least"), F.sum("shared").alias("shared")).where("shared >= least").select("a", "b")
 

@@ -81,9 +81,76 @@ def _cut_off(a: str, b: str) -> int:
     return int(row[-1])
 
 
-def bit_distance(a: str, b: str, limit: int) -> int:
-    """Edit distance by bit vectors: a column of the table is two integers of len(a) bits, the next one comes from
-    a few operations on them. Above ``limit`` it may stop early with any larger value."""
+_U = np.uint64
+#: Words of 64 bits that the masks of pairs worked on together have at most, and steps between looks at the limits.
+_MASKS, _LOOK = 1 << 20, 32
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' code points, one text after another, and the texts' lengths."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64), size
+
+
+def _together(short: list[str], long: list[str], limit: np.ndarray) -> np.ndarray:
+    """Edit distances of pairs whose first texts have the same number of words of 64 characters, none of them empty;
+    above its limit a pair may give any larger value.
+
+    A column of each pair's table is two bit vectors along the first text; one step takes all pairs a character of the
+    second texts further. Pairs stand by the second text's length, so those that are done leave at the end.
+    """
+    codes, m = _codes(short)
+    pair = np.repeat(np.arange(len(short)), m)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(m) - m, m)
+    words = int(-(-m.max() // 64))
+    keys, entry = np.unique((pair << 21) | codes, return_inverse=True)
+    masks = np.zeros((len(keys) + 1, words), _U)  # the last one: a character that the first text lacks
+    np.bitwise_or.at(masks, (entry, place >> 6), _U(1) << (place & 63).astype(_U))
+    other, n = _codes(long)
+    row = np.repeat(np.arange(len(long)), n)
+    key = (row << 21) | other
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    grid = np.full((len(long), int(n.max())), len(keys), np.int32)
+    grid[row, np.arange(len(other)) - np.repeat(np.cumsum(n) - n, n)] = np.where(keys[at] == key, at, len(keys))
+    order = np.argsort(-n, kind="stable")
+    grid, n, limit, score = grid[order], n[order], limit[order], m[order].copy()
+    last = ((m[order] - 1) & 63).astype(_U)
+    up, down = np.full((len(n), words), ~_U(0)), np.zeros((len(n), words), _U)
+    out, where, one, top = np.zeros(len(n), np.int64), order, _U(1), _U(63)
+    for j in range(grid.shape[1]):
+        live = int(np.searchsorted(-n, -j, side="left"))  # texts longer than j
+        if live < len(n):
+            out[where[live:]] = score[live:]
+        look = j % _LOOK == 0 and j > 0
+        keep = np.flatnonzero(score[:live] - (n[:live] - j) <= limit[:live]) if look else None
+        if look and len(keep) < live:
+            out[where[:live][~np.isin(np.arange(live), keep)]] = np.iinfo(np.int32).max
+        if live < len(n) or (look and len(keep) < live):
+            take = slice(0, live) if keep is None else keep
+            grid, n, limit, score, last, up, down, where = (x[take] for x in (grid, n, limit, score, last, up, down, where))
+        if not len(n):
+            return out
+        eq_of = masks[grid[:, j]]
+        plus, minus = np.ones(len(n), _U), np.zeros(len(n), _U)  # what comes in from the word below
+        for w in range(words):
+            eq, pv, mv = eq_of[:, w], up[:, w], down[:, w]
+            xv = eq | mv
+            eq = eq | minus
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            bit = last if w == words - 1 else top
+            out_plus, out_minus = (ph >> bit) & one, (mh >> bit) & one
+            ph, mh = (ph << one) | plus, (mh << one) | minus
+            up[:, w], down[:, w] = mh | ~(xv | ph), ph & xv
+            plus, minus = out_plus, out_minus
+        score = score + plus.astype(np.int64) - minus.astype(np.int64)
+    out[where] = score
+    return out
+
+
+def _one_by_one(a: str, b: str, limit: int) -> int:
+    """The same of one pair: a column of the table is two integers of len(a) bits. For few pairs of long texts, where a
+    step of :func:`_together` would cost a call for each word."""
     if len(a) < len(b):
         a, b = b, a
     n = len(a)
@@ -114,22 +181,51 @@ def bit_distance(a: str, b: str, limit: int) -> int:
     return d
 
 
-def tier_distance(a: str, b: str) -> int:
-    """The edit distance d, or the longer length m where 20 d > 9 m; on the border the row-wise cut-off decides."""
-    m = max(len(a), len(b))
-    if a == b:
-        return 0
-    if 20 * abs(len(a) - len(b)) >= 9 * m:
-        return m
-    d = bit_distance(a, b, 9 * m // 20)
-    return d if 20 * d < 9 * m else _cut_off(a, b) if 20 * d == 9 * m else m
+def bit_distances(a: list[str], b: list[str], limit: np.ndarray) -> np.ndarray:
+    """Edit distances of many pairs by bit vectors, in groups of as many words; above its ``limit`` a pair may give any
+    larger value."""
+    short = [x if len(x) <= len(y) else y for x, y in zip(a, b, strict=True)]
+    long = [y if len(x) <= len(y) else x for x, y in zip(a, b, strict=True)]
+    size = np.fromiter(map(len, short), np.int64, len(short))
+    out = np.fromiter(map(len, long), np.int64, len(long))  # of pairs with an empty text
+    words = -(-size // 64)
+    order = np.argsort(words, kind="stable")
+    order = order[words[order] > 0]
+    at = 0
+    while at < len(order):
+        w = words[order[at]]
+        same = int(np.searchsorted(words[order], w, side="right"))
+        cost = np.cumsum(np.maximum(size[order[at:same]] * w, out[order[at:same]]))
+        own = order[at : at + max(1, int(np.searchsorted(cost, _MASKS)))]
+        if len(own) * (15 + w) >= 180 * w:
+            out[own] = _together([short[i] for i in own], [long[i] for i in own], limit[own])
+        else:
+            out[own] = [_one_by_one(long[i], short[i], int(limit[i])) for i in own]
+        at += len(own)
+    return out
+
+
+def tier_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Of each pair the edit distance d, or the longer length m where 20 d > 9 m; on the border the row-wise cut-off
+    decides."""
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    m = np.maximum(la, lb)
+    out = m.copy()
+    near = np.flatnonzero(20 * np.abs(la - lb) < 9 * m)
+    if len(near):
+        d = bit_distances([a[i] for i in near], [b[i] for i in near], 9 * m[near] // 20)
+        out[near] = np.where(20 * d < 9 * m[near], d, m[near])
+        for i in near[20 * d == 9 * m[near]].tolist():
+            out[i] = _cut_off(a[i], b[i])
+    out[m == 0] = 0
+    return out
 
 
 @F.pandas_udf(IntegerType())
 def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """:func:`tier_distance` of each pair. Sentences may be lines of thousands of characters, where the engine's own
-    function, which works cell by cell, takes far longer."""
-    return pd.Series([tier_distance(x, y) for x, y in zip(a, b)], dtype="int32")
+    """:func:`tier_distances` of a batch of pairs. Sentences may be lines of thousands of characters, where the engine's
+    own function, which works cell by cell, takes far longer."""
+    return pd.Series(tier_distances(a.tolist(), b.tolist()), dtype="int32")
 
 
 @F.pandas_udf(IntegerType())

@@ -20,6 +20,12 @@ from ..functions import text as T
 MIN_PENDING = 10
 SPAN_GAP = 2
 EVIDENCE = 3
+#: Forms with one value of a block that a task compares with others at once.
+HOT_BLOCK = 20_000
+#: Frequencies of bigrams that are broadcast: some tens of megabytes.
+GRAMS = 1_000_000
+#: Numbers of a block of query vectors, and of a matrix product.
+CELLS = 4_000_000
 #: Forms and characters of a query side that is broadcast for containment: a few megabytes at most.
 ASKED_FORMS, ASKED_CHARS = 4096, 1_000_000
 DENSE = 4_000_000  # counters of one batch
@@ -35,14 +41,35 @@ def candidates(query: DataFrame, library: DataFrame) -> DataFrame:
 
     Both sides are first reduced to distinct normal forms, so repeated sentences do not multiply a hot block's
     pairs; an equi-join on the block then finds the pairs, and a pair that shares several blocks is kept at the
-    first one only, so nothing has to be made distinct. Fingerprints of 0 take no part.
+    first one only, so nothing has to be made distinct. Fingerprints of 0 take no part. A block value that many forms
+    have is counted and split, see :func:`_split`.
     """
 
     def side(x: DataFrame, p: str) -> DataFrame:
         x = x.where("fp <> 0").select(F.col("norm").alias(p + "norm"), F.col("fp").alias(p + "fp")).distinct()
         return x.select("*", F.posexplode(fp.blocks(F.col(p + "fp"))).alias("block", "value"))
 
-    return sharing(side(query, "q_"), side(library, "l_").withColumnRenamed("l_norm", "norm"), "norm", ["block", "value"])
+    q, lib = _split(side(query, "q_"), side(library, "l_").withColumnRenamed("l_norm", "norm"))
+    return sharing(q, lib, "norm", ["block", "value", "q_part", "l_part"])
+
+
+def _split(query: DataFrame, library: DataFrame, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with q_part and l_part. The rows of a (block, value) of which a side has more than ``hot`` are dealt to
+    parts by their form, and the other side's rows are there once for each, so every pair meets in exactly one place and
+    no task gets all pairs of a frequent value."""
+    hot = hot or HOT_BLOCK
+    size = lambda x, name: x.groupBy("block", "value").agg(F.count("*").alias(name))
+    parts = size(query, "nq").join(size(library, "nl"), ["block", "value"]).where(F.greatest("nq", "nl") > hot)
+    parts = parts.select("block", "value", *(F.ceil(F.col(n) / hot).cast("int").alias(to) for n, to in (("nq", "q_parts"), ("nl", "l_parts"))))
+    parts = F.broadcast(parts)  # a row for each hot value: four blocks have 262,144 values at most
+
+    def dealt(x: DataFrame, norm: str, own: str, other: str) -> DataFrame:
+        x = x.join(parts, ["block", "value"], "left")
+        mine = F.coalesce(F.pmod(F.xxhash64(norm), F.col(f"{own}s")).cast("int"), F.lit(0))
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"{other}s"), F.lit(1)) - 1))
+        return x.withColumn(own, mine).withColumn(other, every).drop("q_parts", "l_parts")
+
+    return dealt(query, "q_norm", "q_part", "l_part"), dealt(library, "norm", "l_part", "q_part")
 
 
 def sharing(query: DataFrame, library: DataFrame, name: str, on: list[str]) -> DataFrame:
@@ -145,23 +172,49 @@ def _shared_broadcast(forms: DataFrame, library: DataFrame) -> DataFrame:
     return library.select("norm").distinct().mapInArrow(count_shared, "q_norm string, norm string, score double")
 
 
+def _ranked_sets(forms: DataFrame, norm: str, freq: DataFrame) -> DataFrame:
+    """id, n, set: the bigrams of each form, the rarest first."""
+    own = forms.select(F.xxhash64(norm).alias("id"), F.explode(F.array_distinct(T.bigrams(F.col(norm)))).alias("g")).join(freq, "g")
+    sets = own.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("freq", "g"))).alias("s"))
+    return sets.select("id", F.size("s").alias("n"), F.transform("s", lambda x: x["g"]).alias("set"))
+
+
+def _met(small: DataFrame, large: DataFrame, least: float, strictly: bool) -> DataFrame:
+    """Pairs (small, large) by id that may share ``least`` of the smaller set: small's prefix, the rarest bigrams of which
+    one at least must be shared, meets large's inverted lists; then what was shared there and what can follow must do."""
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * least - 1e-9)).cast("int")
+    head = small.select(F.col("id").alias("small"), F.col("n").alias("n_small"), need.alias("need"), F.posexplode(F.slice("set", F.lit(1), F.col("n") - need + 1)).alias("pos", "g"))
+    lists = large.select(F.col("id").alias("large"), F.col("n").alias("n_large"), F.explode("set").alias("g"))
+    fits = F.col("n_small") < F.col("n_large") if strictly else F.col("n_small") <= F.col("n_large")
+    met = head.join(lists, (head["g"] == lists["g"]) & fits).groupBy("small", "large").agg(F.count("*").alias("shared"), F.max("pos").alias("last"), F.first("n_small").alias("n_small"), F.first("need").alias("need"))
+    return met.where(F.col("shared") + F.col("n_small") - F.col("last") - 1 >= F.col("need")).select("small", "large")
+
+
 def _shared_lists(forms: DataFrame, library: DataFrame) -> DataFrame:
-    """Pairs by an equi-join of inverted lists and a count; pairs are two numbers until their score is known."""
-    sets = lambda x, n: x.select(F.xxhash64(n).alias(n + "_id"), F.array_distinct(T.bigrams(F.col(n))).alias("set"))
-    ql = sets(forms, "q_norm").select("q_norm_id", F.size("set").alias("qn"), F.explode("set").alias("g"))
-    sl = sets(library.select("norm").distinct(), "norm").select("norm_id", F.size("set").alias("sn"), F.explode("set").alias("g"))
-    both = ql.join(sl, "g").groupBy("q_norm_id", "norm_id", "qn", "sn").agg(F.count("*").alias("both"))
-    pairs = both.withColumn("score", F.col("both") / F.least("qn", "sn")).where(F.col("score") >= sm.CONTAIN_RECALL)
-    named = lambda x, n: x.select(n, F.xxhash64(n).alias(n + "_id")).distinct()
-    return pairs.join(named(forms, "q_norm"), "q_norm_id").join(named(library, "norm"), "norm_id").select("q_norm", "norm", "score")
+    """Pairs by prefixes of rare bigrams: of a pair's smaller set, whichever side it is on, only the prefix is looked up, and
+    only pairs that pass the positional bound are counted in full."""
+    names = library.select("norm").distinct()
+    grams = lambda x, n: x.select(F.explode(F.array_distinct(T.bigrams(F.col(n)))).alias("g"))
+    freq = grams(forms, "q_norm").unionByName(grams(names, "norm")).groupBy("g").agg(F.count("*").alias("freq"))
+    if freq.count() <= GRAMS:
+        freq = F.broadcast(freq)
+    q, lib = _ranked_sets(forms, "q_norm", freq), _ranked_sets(names, "norm", freq)
+    pairs = _met(q, lib, sm.CONTAIN_RECALL, False).select(F.col("small").alias("q_id"), F.col("large").alias("l_id"))
+    pairs = pairs.unionByName(_met(lib, q, sm.CONTAIN_RECALL, True).select(F.col("large").alias("q_id"), F.col("small").alias("l_id")))
+    sets = lambda x, p: x.select(F.col("id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), F.col("set").alias(f"{p}_set"))
+    both = pairs.join(sets(q, "q"), "q_id").join(sets(lib, "l"), "l_id")
+    score = F.size(F.array_intersect("q_set", "l_set")) / F.least("q_n", "l_n")
+    found = both.select("q_id", "l_id", score.alias("score")).where(F.col("score") >= sm.CONTAIN_RECALL)
+    named = lambda x, n, p: x.select(n, F.xxhash64(n).alias(f"{p}_id")).distinct()
+    return found.join(named(forms, "q_norm", "q"), "q_id").join(named(names, "norm", "l"), "l_id").select("q_norm", "norm", "score")
 
 
 def containment_top(query: DataFrame, library: DataFrame, k: int = sm.TOP) -> DataFrame:
     """For each query sentence the k library sentences that contain most of its bigrams, by smaller set.
 
     Both sides are first reduced to distinct normal forms. The query side's number and length are counted: up to
-    ``ASKED_FORMS`` and ``ASKED_CHARS`` it is broadcast and the library is scanned once; beyond, inverted lists are
-    joined. Both are exact. Sentences without a common bigram have score 0, below every threshold that follows, and
+    ``ASKED_FORMS`` and ``ASKED_CHARS`` it is broadcast and the library is scanned once; beyond, prefixes of rare
+    bigrams are joined. Both are exact. Sentences without a common bigram have score 0, below every threshold that follows, and
     are left out. Ties go to the smaller (doc_id, s_idx).
     """
     forms = query.select(F.col("norm").alias("q_norm")).distinct()
@@ -194,21 +247,96 @@ def fallback_matches(query: DataFrame, library: DataFrame, vectors: DataFrame |
     return _decided(containment_top(query, library), F.col("score"), sm.CONTAIN_RECALL, sm.CONTAIN_STRONG)
 
 
+def _unit(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors that count, as rows of length one in doubles, and where they stand. Null vectors, those that hold null
+    or non-finite numbers, and zero do not count; all must have one length."""
+    some = np.flatnonzero(np.asarray(vectors.is_valid()))
+    own = vectors.take(pa.array(some))
+    size = np.asarray(own.value_lengths())
+    if not len(some) or not size.any():
+        return np.zeros((0, 0)), some[:0]
+    if size.min() != size.max():
+        raise ValueError("vectors of several lengths")
+    x = np.asarray(own.flatten().cast(pa.float64()).fill_null(np.nan)).reshape(len(some), -1)
+    norm = np.sqrt((x * x).sum(axis=1))
+    fine = np.isfinite(norm) & (norm > 0)
+    return x[fine] / norm[fine, None], some[fine]
+
+
+def _blocks_of(query: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and unit vectors of the queries in blocks of ``CELLS`` numbers at most, one block after another on the driver."""
+    ids: list = []
+    held: list = []
+    for r in query.select("q_id", F.col("q_vec").cast("array<double>").alias("v")).toLocalIterator():
+        unit, at = _unit(pa.array([r["v"]], pa.list_(pa.float64())))
+        if len(at):
+            ids.append(r["q_id"])
+            held.append(unit[0])
+            if len(held) * len(held[0]) >= CELLS:
+                yield ids, np.stack(held)
+                ids, held = [], []
+    if held:
+        yield ids, np.stack(held)
+
+
+def _best_of(block: np.ndarray, k: int):
+    """The task's function: one matrix product a batch, k vectors kept for each query. What may be among the k by the
+    product is scored again row by row, so equal vectors have equal scores wherever they stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = block.value
+        best: list[list[tuple]] = [[] for _ in range(len(asked))]  # (-score, id), ascending
+        floor = np.full(len(asked), -np.inf)
+        for batch in batches:
+            unit, at = _unit(batch.column(1))
+            ids = batch.column(0).take(pa.array(at))
+            step = max(1, CELLS // len(asked))
+            for a in range(0, len(at), step):
+                own = unit[a : a + step]
+                score = asked @ own.T
+                n = min(k, score.shape[1])
+                low = np.maximum(floor, np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n] if n == k else -np.inf)
+                q, v = np.nonzero(score >= low[:, None] - 1e-9)
+                for s in range(0, len(q), 100_000):
+                    qs, vs = q[s : s + 100_000], v[s : s + 100_000]
+                    exact = (asked[qs] * own[vs]).sum(axis=1)
+                    names = ids.take(pa.array(a + vs)).to_pylist()
+                    for i in np.unique(qs).tolist():
+                        lo, hi = np.searchsorted(qs, [i, i + 1])
+                        best[i] = sorted([*best[i], *zip((-exact[lo:hi]).tolist(), map(_orderly, names[lo:hi]), names[lo:hi], strict=True)], key=lambda x: x[:2])[:k]
+                        if len(best[i]) == k:
+                            floor[i] = -best[i][-1][0]
+        rows = [(i, x[2], -x[0]) for i, own in enumerate(best) for x in own]
+        if rows:
+            kind = batch.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.float64())], ["q", "id", "score"])
+
+    return run
+
+
+def _orderly(x) -> tuple:
+    """An id as something that sorts as Spark does: null first, structs by their fields."""
+    return (0,) if x is None else (1, *map(_orderly, x.values())) if isinstance(x, dict) else (1, x)
+
+
 def cosine_top(query: DataFrame, library: DataFrame, k: int = sm.TOP) -> DataFrame:
-    """For each query vector (q_id, q_vec) the k nearest library vectors (id, vec): q_id, id, score, rank.
+    """For each query vector (q_id, q_vec) the k nearest library vectors (id, vec): q_id, id, score, rank; ties go to the
+    smaller id.
 
-    Queries are a stated set that each part of the library is compared with: blocks of queries go to every part of
-    the library, each part keeps k for each query, and these meet once more.
+    Queries are a stated set, taken in blocks of a bounded size: a block is broadcast, each task keeps k for each of its
+    queries by matrix products over its part of the library, and these meet once. Null vectors, zero and vectors that
+    hold null or non-finite numbers take no part.
     """
     spark = query.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lib = library.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    q = query.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    x = q.join(lib, "part").withColumn("score", sm.cosine(F.col("q_vec"), F.col("vec")))
-    order = (F.col("score").desc(), F.col("id"))
-    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("q_id", "part").orderBy(*order))).where(F.col("rank") <= k)
-    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(*order))).where(F.col("rank") <= k)
-    return x.select("q_id", "id", "score", "rank")
+    kinds = dict(library.dtypes) | dict(query.dtypes)
+    out = spark.createDataFrame([], f"q_id {kinds['q_id']}, id {kinds['id']}, score double")
+    lib = library.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    for ids, block in _blocks_of(query):
+        held = spark.sparkContext.broadcast(block)
+        names = spark.createDataFrame(list(enumerate(ids)), f"q int, q_id {kinds['q_id']}")
+        out = out.unionByName(lib.mapInArrow(_best_of(held, k), f"q int, id {kinds['id']}, score double").join(F.broadcast(names), "q").select("q_id", "id", "score"))
+    order = Window.partitionBy("q_id").orderBy(F.col("score").desc(), "id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def all_matches(query: DataFrame, library: DataFrame, *, fallback: bool = True, vectors: DataFrame | None = None) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grading as G
 from ..functions import text as T
+from ..sources.model import Pace, answers
 
 RUBRIC = "ptype string, rubric_name string, dim_no int, name string, weight int, criteria string"
 Scorer = Callable[[str], str]
@@ -74,31 +75,36 @@ _SCORE_ASK = '只评这一个维度，输出 JSON：{"score": 0, "confidence": 0
 _WHOLE_ASK = '请写综合意见，输出 JSON：{"overall_comment": "总评", "strengths": ["优点"], "improvements": ["建议"], "flags": ["风险"]}'
 
 
-def asked(df: DataFrame, prompt: Column, client: Callable[[], Scorer], *, redact_pii: bool = False) -> DataFrame:
-    """The rows with ``reply``, ``error`` and ``usage`` of one call for each: ``client()`` is made once in each task. A call
-    that fails is a row with an error of 300 characters at most; nothing is raised. A null prompt is not asked."""
+#: Papers that are worked on at a time, with a model and with the mock.
+OPEN_CALLS, OPEN_MOCK_CALLS = 2, 4
+
+
+def asked(df: DataFrame, prompt: Column, client: Callable[[], Scorer], *, redact_pii: bool = False, open_calls: int = OPEN_CALLS, gap: float = 0.0) -> DataFrame:
+    """The rows with ``reply``, ``error`` and ``usage`` of one call for each. A task has up to ``open_calls`` calls open,
+    each by a client of its own, and starts one every ``gap`` seconds at most; rows keep their order. A call that fails is
+    a row with an error of 300 characters at most; nothing is raised. A null prompt is not asked."""
     keep = df.columns
     x = df.withColumn("prompt", G.redact(prompt) if redact_pii else prompt)
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = client()
+        pace = Pace(gap) if gap else None
         for b in batches:
-            replies, errors, usage = [], [], []
-            for p in b["prompt"]:
-                reply = error = None
-                try:
-                    reply = own(p) if p is not None else None
-                except Exception as e:  # one call's failure is its row
-                    error = (str(e) or type(e).__name__)[:300]
-                replies.append(reply)
-                errors.append(error)
-                usage.append(getattr(own, "usage", None) if p is not None else None)
-            yield b[keep].assign(reply=replies, error=errors, usage=usage)
+            made = list(answers(b["prompt"], client, open_calls=open_calls, pace=pace))
+            yield b[keep].assign(reply=[a.reply for a in made], error=[a.error for a in made], usage=[a.usage for a in made])
 
     return x.mapInPandas(ask, f"{fields}, reply string, error string, usage struct<prompt_tokens: long, completion_tokens: long, requests: long>")
 
 
+def observed(calls: DataFrame, name: str = "usage") -> tuple[DataFrame, Observation]:
+    """The calls, and what they use as it is counted while they run: after the first action over the returned table,
+    ``observation.get`` has prompt_tokens, completion_tokens, requests, calls and failed, without another pass."""
+    seen = Observation(name)
+    of = lambda field: F.coalesce(F.sum(F.col("usage")[field]), F.lit(0))
+    fields = [of(f).alias(f) for f in ("prompt_tokens", "completion_tokens", "requests")]
+    return calls.observe(seen, *fields, F.count("*").alias("calls"), F.count("error").alias("failed")), seen
+
+
 def _read(x: DataFrame) -> DataFrame:
     """Adds ``json``; a reply without JSON is an error, unless there is one already or nothing was asked."""
     json = G.loose_json(F.col("reply"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 import os
 import random
+import threading
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from urllib.parse import urlsplit
 
@@ -107,3 +110,60 @@ class Client:
             return data["choices"][0]["message"]["content"]
         except (ValueError, KeyError, IndexError, TypeError, AttributeError) as x:
             raise ModelError(f"reply not understood: {type(x).__name__}") from None
+
+
+class Pace:
+    """At most one start every ``gap`` seconds, for all that share it; clock and sleep can be injected."""
+
+    def __init__(self, gap: float, *, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.gap, self.clock, self.sleep = gap, clock, sleep
+        self.lock, self.next = threading.Lock(), 0.0
+
+    def wait(self) -> None:
+        with self.lock:
+            now = self.clock()
+            at = max(now, self.next)
+            self.next = at + self.gap
+        if at > now:
+            self.sleep(at - now)
+
+
+@dataclass(frozen=True)
+class Answer:
+    """What came of a prompt: a reply or an error of at most 300 characters, and what the call used."""
+
+    reply: str | None = None
+    error: str | None = None
+    usage: dict | None = None
+
+
+def answers(prompts: Iterable[str | None], client: Callable[[], Callable[[str], str]], *, open_calls: int = 1, pace: Pace | None = None) -> Iterator[Answer]:
+    """The answers in the prompts' order, with at most ``open_calls`` calls open and as many answers waiting for an earlier
+    one. Each of the open calls has a client of its own, so a client need not be safe for threads. A null prompt is not
+    asked; a call that fails is its answer's error."""
+    local = threading.local()
+
+    def one(prompt: str | None) -> Answer:
+        if prompt is None:
+            return Answer()
+        if not hasattr(local, "client"):
+            local.client = client()
+        if pace:
+            pace.wait()
+        try:
+            reply, error = local.client(prompt), None
+        except Exception as e:  # one call's failure is its answer
+            reply, error = None, (str(e) or type(e).__name__)[:300]
+        return Answer(reply, error, getattr(local.client, "usage", None))
+
+    if open_calls <= 1:
+        yield from map(one, prompts)
+        return
+    with ThreadPoolExecutor(open_calls) as pool:
+        waiting: deque[Future] = deque()
+        for p in prompts:
+            if len(waiting) >= open_calls:
+                yield waiting.popleft().result()
+            waiting.append(pool.submit(one, p))
+        while waiting:
+            yield waiting.popleft().result()

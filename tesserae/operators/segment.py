@@ -3,6 +3,10 @@ id, or have none, stay apart."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,25 +51,62 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return x.select("*", F.transform("raw", T.strip).alias("line"))
 
 
+_HEADING, _REFERENCES, _END = re.compile(T.HEADING), re.compile(T.REFERENCES), re.compile(f"(?<=[{T.SENTENCE_END}])")
+_NORMAL = str.maketrans(T.PUNCTUATION_FROM, T.PUNCTUATION_TO, T.SPACES)
+#: Characters of text whose sentences leave a task together.
+_RUN = 1 << 20
+
+
+def _sentences_of(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """display, norm, start, end of a text's sentences, by the rules of :mod:`..functions.text`; offsets count one for each
+    line end."""
+    pos = 0
+    for ended in text.splitlines(keepends=True):
+        bare = ended[:-2] if ended.endswith("\r\n") else ended[:-1] if ended.splitlines()[0] != ended else ended
+        line, start = bare.strip(T.SPACES), pos
+        if _REFERENCES.match(line):
+            return
+        pos += len(bare) + 1
+        if not line:
+            continue
+        heading = _HEADING.match(line) is not None
+        for part in (line,) if heading else _END.split(line):
+            norm = part.translate(_NORMAL).lower()
+            if heading or len(norm) >= T.MIN_SENTENCE:
+                yield part.strip(T.SPACES), norm, start, start + len(part)
+            start += len(part)
+
+
 def sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, idx, display, norm, start, end. Headings are sentences of their own; other lines are cut after
     sentence ends and parts whose normal form is shorter than six are left out. Offsets count one for each line end.
-    A null or empty text has no sentence."""
-    x = _lines(docs, id_col, text_col).withColumn("pos", starts(F.transform("raw", lambda r: F.char_length(r) + 1)))
-
-    def of_line(z: Column) -> Column:
-        line = z["line"]
-        heading = T.is_heading(line)
-        parts = F.when(line == "", F.array().cast("array<string>")).when(heading, F.array(line)).otherwise(T.sentence_parts(line))
-        placed = lambda p, at: F.struct(p.alias("part"), (z["pos"] + at).alias("start"), T.normalize(p).alias("norm"), heading.alias("heading"))
-        # most lines are one part, which needs no sums
-        return F.get(F.transform(F.array(parts), lambda ps: F.when(F.size(ps) < 2, F.transform(ps, lambda p: placed(p, F.lit(0)))).otherwise(F.zip_with(ps, starts(F.transform(ps, F.char_length)), placed))), F.lit(0))
-
-    own = F.flatten(F.transform(F.arrays_zip("line", "pos"), of_line))
-    kept = F.filter(own, lambda s: s["heading"] | (F.char_length(s["norm"]) >= T.MIN_SENTENCE))
-    x = x.select("doc_id", F.posexplode(kept).alias("idx", "s"))
-    start = F.col("s.start")
-    return x.select("doc_id", "idx", T.strip(F.col("s.part")).alias("display"), F.col("s.norm").alias("norm"), start.alias("start"), (start + F.char_length("s.part")).alias("end"))
+    A null or empty text has no sentence. A map over Arrow batches: nothing is shuffled, rows that share an id stay apart."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = ["doc_id", "idx", "display", "norm", "start", "end"]
+
+    def batch_of(ids: pa.Array, row: list[int], idx: list[int], made: list[tuple]) -> pa.RecordBatch:
+        display, norm, start, end = zip(*made, strict=True)
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *(pa.array(x, t) for x, t in zip((idx, display, norm, start, end), kinds, strict=True))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, idx, made, size = [], [], [], 0
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py()
+                for n, sentence in enumerate(_sentences_of(text or "")):
+                    row.append(i)
+                    idx.append(n)
+                    made.append(sentence)
+                    size += len(sentence[0])
+                    if size >= _RUN:
+                        yield batch_of(batch.column(0), row, idx, made)
+                        row, idx, made, size = [], [], [], 0
+            if made:
+                yield batch_of(batch.column(0), row, idx, made)
+
+    kind = own.schema["doc_id"].dataType.simpleString()
+    return own.mapInArrow(run, f"doc_id {kind}, idx int, display string, norm string, start int, end int")
 
 
 def chapters(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scope: str = "heading") -> DataFrame:

@@ -104,6 +104,18 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+def katz_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op7's result what whole numbers say: tokens and known tokens of each document."""
+    return op7_katz_scores(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
+
+
+def mixture_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op9's result what each source has, should give and gives: whole words, the target rounded."""
+    made = op9_mixture(spark, sf_dir).join(read(spark, sf_dir, "documents").select("doc_id", "source").distinct(), "doc_id")
+    near = F.abs(F.sum("taken") - F.max("target")) <= F.greatest(F.lit(2000.0), 0.05 * F.max("target"))
+    return made.groupBy("source").agg(F.max("source_size").alias("source_size"), F.bround(F.max("target"), 3).alias("target"), near.alias("near"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfor_blocks": op1_pfor_blocks,
     "op2_gear_chunks": op2_gear_chunks,
@@ -118,6 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_bradley_terry": op11_bradley_terry,
     "op12_lexical_search": op12_lexical_search,
     "op13_spelling_variants": op13_spelling_variants,
+    "katz_counts": katz_counts,
+    "mixture_targets": mixture_targets,
 }
 
 _WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
@@ -194,5 +208,18 @@ f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10
 c AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.next)
 SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word AND c.next IS NULL"""
 
-
-ORACLE_SQL: dict[str, str] = {"op6_jaccard_join": _OP6, "op8_adaptive_quality": _op8(), "op12_lexical_search": _OP12, "op13_spelling_variants": _OP13}
+_COUNTS = f"""
+WITH d AS (SELECT doc_id, {_CRC.format("coalesce(doc_id::VARCHAR, '')")} % 5 = 1 AS held_out, {_WORDS.format(_LOWERED.format("text"))} AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(list_concat(w, ['\n'])) AS g FROM d),
+k AS (SELECT DISTINCT g FROM t WHERE NOT held_out), n AS (SELECT count(*) AS n FROM t WHERE NOT held_out)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(k.g) AS n_known, any_value(n.n) AS train_tokens FROM t LEFT JOIN k USING (g), n GROUP BY doc_id, held_out"""
+_TARGETS = f"""
+WITH s AS (SELECT source, sum(len({_WORDS.format("coalesce(text, '')")}))::BIGINT AS size FROM documents GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1)::INT % 3 + 1] AS w FROM s),
+r AS (SELECT *, 3 * size / w AS full_at, sum(size) OVER () AS total FROM w),
+c AS (SELECT *, (total - coalesce(sum(3 * size) OVER (ORDER BY full_at, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY full_at, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+l AS (SELECT arg_min(level, full_at) FILTER (full_at >= level) AS level FROM c)
+SELECT source, size AS source_size, round_even(least(3.0 * size, c.w * l.level), 3) AS target, true AS near FROM c, l"""
+
+
+ORACLE_SQL: dict[str, str] = {"katz_counts": _COUNTS, "mixture_targets": _TARGETS, "op6_jaccard_join": _OP6, "op8_adaptive_quality": _op8(), "op12_lexical_search": _OP12, "op13_spelling_variants": _OP13}

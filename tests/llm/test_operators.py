@@ -494,7 +494,7 @@ def test_neighbours_stop_early(spark):
     rng = np.random.default_rng(8)
     heads = rng.standard_normal((40, 32))
     tight = (heads[rng.integers(0, 40, 4000)] + 0.05 * rng.standard_normal((4000, 32))).astype(np.float32)
-    tables = [(df, u, 0.97), (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(tight)], "vec_id long, embedding array<float>"), tight / np.sqrt((tight.astype(float) ** 2).sum(axis=1))[:, None], 0.3)]
+    tables = [(df, u, 0.70), (spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(tight)], "vec_id long, embedding array<float>"), tight / np.sqrt((tight.astype(float) ** 2).sum(axis=1))[:, None], 0.3)]
     for table_, unit, most in tables:
         got = collections.defaultdict(set)
         share = {}

@@ -201,5 +201,15 @@ SELECT path, name, score, confidence, CASE WHEN n = 0 THEN '' WHEN a = b THEN s[
     "grade_ranking": f"{_TOTALS} SELECT path, total, row_number() OVER (ORDER BY total DESC, path)::INT AS rank FROM totals",
     "low_confidence_flags": f"{_SCORES} SELECT path, c AS confidence FROM (SELECT path, round_even(least(1.0, avg(confidence - 0.2)), 2) AS c FROM scores GROUP BY path) WHERE c < 0.6",
     "loose_json_scores": "SELECT event_id, md5(props) AS json_md5 FROM events WHERE props IS NOT NULL AND json_valid(props)",
-    "cache_validity": "SELECT (o_custkey % 3 <> 0 AND o_custkey % 5 <> 0) AS hit, count(*) AS n FROM orders GROUP BY 1",
+    "cache_validity": "SELECT coalesce(n_chars % 3 <> 0 AND n_chars % 5 <> 0, true) AS hit, count(*) AS n FROM documents GROUP BY 1",
+    "grade_replies": f"""WITH {_PAPERS}, t AS (SELECT path, length(text)::INT AS n_chars, CASE WHEN length(text) > 3000 THEN 79.0::DOUBLE ELSE 69.0::DOUBLE END AS total, CASE WHEN length(text) > 3000 THEN 0.5::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM papers)
+SELECT path, n_chars, total, {_BAND} AS band, confidence, 5 AS n_dims, 'read' AS overall_comment, 'i' AS improvements, CASE WHEN confidence < 0.6 THEN '置信度偏低，建议人工复评' ELSE '' END AS flags, NULL::VARCHAR AS error FROM t""",
+    "vector_matches": f"""{_ALL},
+vec AS (SELECT norm, list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: (length(norm) - length(replace(norm, c, '')))::DOUBLE) AS v FROM (SELECT DISTINCT norm FROM lib UNION SELECT DISTINCT norm FROM pend)),
+near AS (SELECT a.norm AS q_norm, b.norm AS norm, list_cosine_similarity(a.v, b.v) AS score FROM vec a JOIN (SELECT DISTINCT norm FROM pend) p ON p.norm = a.norm, vec b WHERE b.norm IN (SELECT norm FROM lib) AND list_sum(a.v) > 0 AND list_sum(b.v) > 0),
+vtop AS (SELECT p.doc_id AS q_doc, p.idx AS q_idx, p.norm AS q_norm, l.doc_id AS doc_id, l.idx AS s_idx, l.norm AS norm, s.score, row_number() OVER (PARTITION BY p.doc_id, p.idx ORDER BY round(s.score, 12) DESC, l.doc_id, l.idx) AS rank
+  FROM pend p JOIN near s ON s.q_norm = p.norm JOIN lib l ON l.norm = s.norm WHERE s.score >= 0.55),
+vd AS (SELECT *, greatest(length(q_norm), length(norm)) AS m, {_DIST} AS d FROM vtop WHERE rank <= 3),
+vt AS (SELECT *, CASE WHEN 5 * d <= m THEN 'copy' WHEN 20 * d <= 7 * m THEN 'near' WHEN 20 * d <= 9 * m THEN 'suspect' WHEN score >= 0.72 THEN 'semantic' END AS tier FROM vd)
+SELECT q_doc, q_idx::INT AS q_idx, doc_id, s_idx::INT AS s_idx, tier, round_even(score, 3) AS cos FROM vt WHERE tier IS NOT NULL""",
 }

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import embedding
 from ..functions import fingerprint as fp
 from ..functions import grading as G
 from ..functions import text as T
@@ -169,6 +173,22 @@ def cosine_top3(spark, d):
     return overlap.cosine_top(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))).select("q_id", "id", F.bround("score", 6).alias("score"), "rank")
 
 
+class _Letters:
+    """A stand-in for a sentence encoder: how often each letter occurs."""
+
+    def encode(self, texts):
+        return np.array([[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], float)
+
+
+def vector_matches(spark, d):
+    """The fallback by vectors, of sentences that no fingerprint has matched."""
+    q, s = asked(spark, d), lib(spark, d)
+    rest = overlap.pending(q, overlap.literal_matches(q, s))
+    vectors = embedding.vectors(lambda: embedding.from_encoder(_Letters()), rest, s)
+    x = overlap.fallback_matches(rest, s, vectors)
+    return x.select("q_doc", "q_idx", "doc_id", "s_idx", "tier", "cos")
+
+
 # ---- library ----
 
 
@@ -317,19 +337,41 @@ def loose_json_scores(spark, d):
 
 
 def cache_validity(spark, d):
-    """Orders as papers' signatures: their cached grades have another priority in a third of all rows."""
-    o = table(spark, d, "orders")
-    sig = lambda x: x.select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("model"), F.lit(True).alias("mock"), F.lit("course").alias("ptype"), F.lit("r").alias("rubric_sig"), F.lit(False).alias("redact_pii"), F.col("o_custkey").alias("size"), F.lit(1).alias("mtime"))
-    old = sig(o).withColumn("size", F.when(F.col("size") % 3 == 0, -1).otherwise(F.col("size"))).withColumn("error", F.when(F.col("size") % 5 == 0, "failed"))
+    """Documents as papers' signatures: the cached grades of some are of another size or have failed."""
+    o = table(spark, d, "documents")
+    sig = lambda x: x.select(F.col("doc_id").cast("string").alias("key"), F.col("lang").alias("model"), F.lit(True).alias("mock"), F.lit("course").alias("ptype"), F.lit("r").alias("rubric_sig"), F.lit(False).alias("redact_pii"), F.col("n_chars").alias("size"), F.lit(1).alias("mtime"))
+    old = sig(o).withColumn("error", F.when(F.col("size") % 5 == 0, "failed")).withColumn("size", F.when(F.col("size") % 3 == 0, -1).otherwise(F.col("size")))
     return grading.cached(sig(o), old).groupBy("hit").agg(F.count("*").alias("n"))
 
 
+def _replies():
+    """A client that answers by what a prompt asks for: dimensions score by their place, ten more where notes stand for the
+    text."""
+    names = [x["name"] for x in RUBRIC["course"]["dimensions"]]
+
+    def answer(prompt: str) -> str:
+        if '"summary"' in prompt:
+            return json.dumps({"summary": "part", "strengths": ["s"], "weaknesses": ["w"], "quotes": ["q"]})
+        if '"overall_comment"' in prompt:
+            return "Here: " + json.dumps({"overall_comment": " read ", "strengths": ["s"], "improvements": ["i", " "], "flags": []})
+        by_notes = "【分段记录】" in prompt
+        return json.dumps({"score": 60 + 5 * names.index(prompt.split("\n")[0]) + 10 * by_notes, "confidence": 0.5 if by_notes else 0.9, "evidence": ["e"], "comment": "c", "suspicions": ""})
+
+    return answer
+
+
+def grade_replies(spark, d):
+    """All documents graded by scripted replies; those of more than 3,000 characters by notes on their parts."""
+    x = grading.grade(papers(spark, d), rubric(spark), lambda: _replies(), limit=3000)
+    return x.select("path", "n_chars", "total", "band", "confidence", F.size("dimensions").alias("n_dims"), "overall_comment", F.array_join("improvements", "|").alias("improvements"), F.array_join("flags", "|").alias("flags"), "error")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         doc_sentences, normalize_text, body_chars, ref_cut, char_bigrams, fnv1a64_bigrams, sentence_simhash, lsh_blocks, bucket_histogram, lsh_candidates,
-        edit_matches, tier_histogram, containment_top3, fallback_matches, best_match, check_summary, source_stats, match_spans, evidence_top3, chapter_heat, cosine_top3,
+        edit_matches, tier_histogram, containment_top3, fallback_matches, best_match, check_summary, source_stats, match_spans, evidence_top3, chapter_heat, cosine_top3, vector_matches,
         library_dedup, known_doc_skip, library_stats, library_text, params_key, report_cache_latest, report_latest_wins, task_retention, stored_matches, report_upserts, task_states,
-        pii_redaction, paper_meta, text_chunks, sample_excerpt, mock_scores, weighted_totals, band_distribution, batch_stats, grade_pivot, grade_ranking, low_confidence_flags, loose_json_scores, cache_validity,
+        pii_redaction, paper_meta, text_chunks, sample_excerpt, mock_scores, weighted_totals, band_distribution, batch_stats, grade_pivot, grade_ranking, low_confidence_flags, loose_json_scores, cache_validity, grade_replies,
     )
 }

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ CELLS = 4_000_000
 #: Forms and characters of a query side that is broadcast for containment: a few megabytes at most.
 ASKED_FORMS, ASKED_CHARS = 4096, 1_000_000
 DENSE = 4_000_000  # counters of one batch
+_SHIFTS, _BLOCK = np.arange(fp.BLOCKS, dtype=np.uint64) * np.uint64(fp.BLOCK_BITS), np.uint64((1 << fp.BLOCK_BITS) - 1)
+_MATCH = ("q_doc", "q_idx", "doc_id", "s_idx", "s_display", "d", "m", "sim", "tier", "cos", "min_block")
 
 
 def fingerprinted(sents: DataFrame) -> DataFrame:
@@ -100,9 +104,83 @@ def verified(pairs: DataFrame) -> DataFrame:
     return x.withColumn("tier", sm.tier(F.col("d"), F.col("m"))).where("tier is not null").withColumn("sim", _sim(F.col("d"), F.col("m")))
 
 
+def _few(forms: DataFrame) -> list | None:
+    """The rows of a query side (norm, ..) that fits in each task: they are counted first. None of a larger one."""
+    n, chars = forms.agg(F.count("*"), F.coalesce(F.sum(F.char_length("norm")), F.lit(0))).first()
+    return forms.collect() if n <= ASKED_FORMS and chars <= ASKED_CHARS else None
+
+
+def _met_by(asked: list, library: DataFrame, keep: list[str]) -> DataFrame:
+    """The rows of the library (its columns ``keep``) with what they match of the asked normal forms (norm, fp): q_norm, d,
+    m, min_block. The forms are broadcast; a task compares each normal form of a batch once, and only matches leave it."""
+    names = [r["norm"] for r in asked]
+    held = library.sparkSession.sparkContext.broadcast((names, np.array([r["fp"] for r in asked], np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, prints = held.value
+        size = np.fromiter(map(len, asked), np.int64, len(asked))
+        for batch in batches:
+            step = max(1, DENSE // max(1, len(asked)))
+            for begin in range(0, batch.num_rows if asked else 0, step):
+                rows = batch.slice(begin, step)
+                norm = rows.column(0).dictionary_encode()
+                form = np.asarray(norm.indices.cast(pa.int32()).fill_null(-1))
+                texts = norm.dictionary.to_pylist()
+                own = np.zeros(len(texts), np.int64)  # a form has one fingerprint
+                own[form[form >= 0]] = np.asarray(rows.column(1).fill_null(0))[form >= 0]
+                differ = own[:, None] ^ prints[None, :]
+                t, q = np.nonzero((np.bitwise_count(differ.view(np.uint64)) <= fp.MAX_DISTANCE) & (own != 0)[:, None])
+                same = (differ[t, q].view(np.uint64)[:, None] >> _SHIFTS) & _BLOCK == 0
+                length = np.fromiter(map(len, texts), np.int64, len(texts))[t]
+                longest = np.maximum(length, size[q])
+                fine = np.flatnonzero(same.any(axis=1) & (20 * np.abs(length - size[q]) < 9 * longest))
+                t, q, m, first = t[fine], q[fine], longest[fine], same[fine].argmax(axis=1)
+                d = sm.tier_distances_to(asked, texts, q, t)
+                fine = np.flatnonzero((20 * d <= 9 * m) & (d < m))
+                order = fine[np.argsort(t[fine], kind="stable")]
+                # every row of a form that matches, once for each match
+                lo, hi = np.searchsorted(t[order], form, side="left"), np.searchsorted(t[order], form, side="right")
+                row = np.repeat(np.arange(len(form)), hi - lo)
+                pair = order[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange(len(row))]
+                if len(row):
+                    kept = rows.take(pa.array(row)).columns[2:]
+                    found = pa.array([asked[i] for i in q[pair]], pa.string()), *(pa.array(x[pair], pa.int32()) for x in (d, m, first))
+                    yield pa.RecordBatch.from_arrays([*kept, *found], [*keep, "q_norm", "d", "m", "min_block"])
+
+    kinds = "".join(f"`{c}` {library.schema[c].dataType.simpleString()}, " for c in keep)
+    return library.select("norm", "fp", *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]).mapInArrow(run, f"{kinds}q_norm string, d int, m int, min_block int")
+
+
+def _tiered(x: DataFrame) -> DataFrame:
+    return x.withColumn("tier", sm.tier(F.col("d"), F.col("m"))).withColumn("sim", _sim(F.col("d"), F.col("m")))
+
+
+def _asked(query: DataFrame) -> list | None:
+    return _few(query.where("fp <> 0").select("norm", "fp").distinct())
+
+
+def literal_pairs(query: DataFrame, library: DataFrame) -> DataFrame:
+    """Pairs of normal forms that match by fingerprint and edit similarity: q_norm, norm, d, m, sim, tier, min_block.
+    As ``verified(candidates(query, library))``; a query side of bounded size is broadcast, so no candidate is moved."""
+    asked = _asked(query)
+    if asked is None:
+        x = verified(candidates(query, library))
+    else:
+        x = _tiered(_met_by(asked, library, ["norm"]).distinct())
+    return x.select("q_norm", "norm", "d", "m", "sim", "tier", "min_block")
+
+
 def literal_matches(query: DataFrame, library: DataFrame) -> DataFrame:
-    """Matches by fingerprint and edit similarity. Only verified pairs of normal forms meet the sentences again."""
-    return placed(verified(candidates(query, library)), query, library)
+    """Matches by fingerprint and edit similarity. A query side of bounded size is broadcast, and the library is read once;
+    beyond, verified pairs of normal forms meet the sentences again. The matches are held on disk, as what follows
+    reads them several times."""
+    asked = _asked(query)
+    if asked is None:
+        return placed(verified(candidates(query, library)), query, library)
+    s = library.select("doc_id", F.col("idx").alias("s_idx"), F.col("display").alias("s_display"), "norm", "fp")
+    found = _tiered(_met_by(asked, s, ["doc_id", "s_idx", "s_display"])).withColumn("cos", F.lit(0.0))
+    q = query.select(F.col("doc_id").alias("q_doc"), F.col("idx").alias("q_idx"), F.col("norm").alias("q_norm"))
+    return found.join(F.broadcast(q), "q_norm").select(*_MATCH).persist(StorageLevel.DISK_ONLY)
 
 
 def placed(pairs: DataFrame, query: DataFrame, library: DataFrame) -> DataFrame:
@@ -141,37 +219,101 @@ def _bigram_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[new], row[new]
 
 
+def _shares(texts: list[str], names: list[str], grams: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers of texts and of names that share much, and how much, by the names' inverted lists. Texts go in runs whose
+    counters and list entries stay within ``DENSE``."""
+    n = len(names)
+    sizes = np.bincount(queries, minlength=n)
+    codes, row = _bigram_rows(texts)
+    order = np.argsort(row, kind="stable")
+    codes, row = codes[order], row[order]
+    own_sizes = np.bincount(row, minlength=len(texts))
+    lo, hi = np.searchsorted(grams, codes, side="left"), np.searchsorted(grams, codes, side="right")
+    first = np.concatenate(([0], np.cumsum(own_sizes)))
+    entries = np.concatenate(([0], np.cumsum(hi - lo)))[first]  # of the texts before each
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, min(at + DENSE // max(1, n), int(np.searchsorted(entries, entries[at] + DENSE, side="right")) - 1))
+        part = slice(first[at], first[end])
+        hits = hi[part] - lo[part]
+        place = np.repeat(lo[part] - np.concatenate(([0], np.cumsum(hits)))[:-1], hits) + np.arange(hits.sum())
+        both = np.bincount(np.repeat((row[part] - at) * n, hits) + queries[place], minlength=(end - at) * n)
+        key = np.flatnonzero(both)
+        t, q = key // n + at, key % n
+        score = both[key] / np.minimum(own_sizes[t], sizes[q])
+        keep = score >= sm.CONTAIN_RECALL
+        yield t[keep], q[keep], score[keep]
+        at = end
+
+
 def _shared_broadcast(forms: DataFrame, library: DataFrame) -> DataFrame:
     """Pairs by a query side that fits in each task: its inverted lists are broadcast, and each batch of library forms is
     counted against them. forms: q_norm, of bounded number and length."""
-    spark = forms.sparkSession
     asked = [r["q_norm"] for r in forms.collect()]
-    held = spark.sparkContext.broadcast((asked, *_bigram_rows(asked)))
+    held = forms.sparkSession.sparkContext.broadcast((asked, *_bigram_rows(asked)))
 
     def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, grams, queries = held.value
-        n = len(names)
-        sizes = np.bincount(queries, minlength=n)
+        names = held.value[0]
         for b in batches:
-            step = max(1, DENSE // max(1, n))
-            for at in range(0, b.num_rows, step):
-                texts = b.column(0).slice(at, step).to_pylist()
-                codes, row = _bigram_rows(texts)
-                own_sizes = np.bincount(row, minlength=len(texts))
-                lo, hi = np.searchsorted(grams, codes, side="left"), np.searchsorted(grams, codes, side="right")
-                hits = hi - lo
-                place = np.repeat(lo - np.concatenate(([0], np.cumsum(hits)[:-1])), hits) + np.arange(hits.sum())
-                both = np.bincount(np.repeat(row, hits) * n + queries[place], minlength=len(texts) * n)
-                key = np.flatnonzero(both)
-                t, q = key // n, key % n
-                score = both[key] / np.minimum(own_sizes[t], sizes[q])
-                keep = score >= sm.CONTAIN_RECALL
-                found = ([names[i] for i in q[keep]], pa.string()), ([texts[i] for i in t[keep]], pa.string()), (score[keep], pa.float64())
+            texts = b.column(0).to_pylist()
+            for t, q, score in _shares(texts, *held.value):
+                found = ([names[i] for i in q], pa.string()), ([texts[i] for i in t], pa.string()), (score, pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(*x) for x in found], ["q_norm", "norm", "score"])
 
     return library.select("norm").distinct().mapInArrow(count_shared, "q_norm string, norm string, score double")
 
 
+def _top_broadcast(asked: list[str], library: DataFrame, k: int) -> DataFrame:
+    """Of library rows (norm, doc_id, s_idx, s_display) those that may be among the k best of an asked form, with q_norm and
+    score. Of each batch a task lets k for each form leave at most, and none below what its k best so far have."""
+    held = library.sparkSession.sparkContext.broadcast((asked, *_bigram_rows(asked)))
+    names = ["norm", "doc_id", "s_idx", "s_display"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = held.value[0]
+        best = np.full((len(asked), k), -1.0)  # scores, ascending
+        for batch in batches:
+            order = pc.sort_indices(pa.table([batch.column(1), batch.column(2)], names=["a", "b"]), [("a", "ascending"), ("b", "ascending")], null_placement="at_start")
+            batch = batch.take(order)  # so a row's number decides between equal scores
+            norm = batch.column(0).dictionary_encode()
+            form = np.asarray(norm.indices.cast(pa.int32()).fill_null(-1))
+            rows = np.argsort(form, kind="stable")
+            begin, end = (np.searchsorted(form[rows], np.arange(len(norm.dictionary)), side=x) for x in ("left", "right"))
+            held_q, held_r, held_s = [], [], []
+            for t, q, score in _shares(norm.dictionary.to_pylist(), *held.value):
+                some = np.flatnonzero(score >= best[q, 0])
+                t, q, score = t[some], q[some], score[some]
+                count = np.minimum(end[t] - begin[t], k)  # a form's first rows
+                row = rows[np.repeat(begin[t] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+                q, score = np.repeat(q, count), np.repeat(score, count)
+                first = _first(q, score, row, k)
+                held_q.append(q[first])
+                held_r.append(row[first])
+                held_s.append(score[first])
+            if not held_q:
+                continue
+            q, row, score = map(np.concatenate, (held_q, held_r, held_s))
+            first = _first(q, score, row, k)
+            q, row, score = q[first], row[first], score[first]
+            for i in np.unique(q).tolist():
+                lo, hi = np.searchsorted(q, [i, i + 1])
+                best[i] = np.sort(np.concatenate((best[i], score[lo:hi])))[-k:]
+            some = np.flatnonzero(score >= best[q, 0])
+            if len(some):
+                found = pa.array([asked[i] for i in q[some]], pa.string()), pa.array(score[some])
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row[some])).columns, *found], [*names, "q_norm", "score"])
+
+    kinds = ", ".join(f"{c} {library.schema[c].dataType.simpleString()}" for c in names)
+    return library.select(*names).mapInArrow(run, f"{kinds}, q_norm string, score double")
+
+
+def _first(q: np.ndarray, score: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """Where the k best of each q stand, by q: the highest scores, of equal ones the first rows."""
+    order = np.lexsort((row, -score, q))
+    own = q[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own, side="left") < k]
+
+
 def _ranked_sets(forms: DataFrame, norm: str, freq: DataFrame) -> DataFrame:
     """id, n, set: the bigrams of each form, the rarest first."""
     own = forms.select(F.xxhash64(norm).alias("id"), F.explode(F.array_distinct(T.bigrams(F.col(norm)))).alias("g")).join(freq, "g")
@@ -213,17 +355,17 @@ def containment_top(query: DataFrame, library: DataFrame, k: int = sm.TOP) -> Da
     """For each query sentence the k library sentences that contain most of its bigrams, by smaller set.
 
     Both sides are first reduced to distinct normal forms. The query side's number and length are counted: up to
-    ``ASKED_FORMS`` and ``ASKED_CHARS`` it is broadcast and the library is scanned once; beyond, prefixes of rare
-    bigrams are joined. Both are exact. Sentences without a common bigram have score 0, below every threshold that follows, and
+    ``ASKED_FORMS`` and ``ASKED_CHARS`` it is broadcast and the library is scanned once, k for each form leaving a
+    batch at most; beyond, prefixes of rare bigrams are joined. Both are exact. Sentences without a common bigram have score 0, below every threshold that follows, and
     are left out. Ties go to the smaller (doc_id, s_idx).
     """
-    forms = query.select(F.col("norm").alias("q_norm")).distinct()
-    n, chars = forms.agg(F.count("*"), F.coalesce(F.sum(F.char_length("q_norm")), F.lit(0))).first()
-    pairs = (_shared_broadcast if n <= ASKED_FORMS and chars <= ASKED_CHARS else _shared_lists)(forms, library)
+    forms = query.select("norm").distinct()
+    asked = _few(forms)
     lib = library.select("doc_id", F.col("idx").alias("s_idx"), F.col("display").alias("s_display"), "norm")
     # the k best of each form first: a sentence's k best are among its form's
     w = Window.partitionBy("q_norm").orderBy(F.col("score").desc(), "doc_id", "s_idx")
-    best = pairs.join(lib, "norm").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    scored = _shared_lists(forms.withColumnRenamed("norm", "q_norm"), library).join(lib, "norm") if asked is None else _top_broadcast([r["norm"] for r in asked], lib, k)
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     qs = query.select(F.col("doc_id").alias("q_doc"), F.col("idx").alias("q_idx"), F.col("norm").alias("q_norm"))
     return best.join(qs, "q_norm").select("q_doc", "q_idx", "q_norm", "doc_id", "s_idx", "s_display", "norm", "score", "rank")
 

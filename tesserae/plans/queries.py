@@ -109,7 +109,7 @@ def lsh_candidates(spark, d):
 
 
 def edit_matches(spark, d):
-    return overlap.verified(overlap.candidates(asked(spark, d), lib(spark, d))).select("q_norm", "norm", "d", "m", "sim", "tier")
+    return overlap.literal_pairs(asked(spark, d), lib(spark, d)).select("q_norm", "norm", "d", "m", "sim", "tier")
 
 
 def tier_histogram(spark, d):

@@ -127,3 +127,38 @@ def test_a_hot_block_value_is_split(spark):
     assert found == key(overlap.candidates(query, lib)) and len(found) == len(set(found))
     expected = [(f"query form {i}", f"library form {j}", bin(i ^ j).count("1")) for i in range(1, 41) for j in range(1, 301) if bin(i ^ j).count("1") <= 4]
     assert [x[:3] for x in found] == sorted(expected)
+
+
+def test_few_patterns_meet_many_texts():
+    a, b = map(list, zip(*pairs(400)))
+    patterns = [*a[:25], "", "x" * 900]
+    p, t = np.repeat(np.arange(len(patterns)), len(b)), np.tile(np.arange(len(b)), len(patterns))
+    expected = sm.tier_distances([patterns[i] for i in p], [b[i] for i in t])
+    assert (sm.tier_distances_to(patterns, b, p, t) == expected).all()
+    assert len(sm.tier_distances_to(patterns, [], p[:0], p[:0])) == 0
+
+
+def test_a_bounded_query_side_moves_no_candidates(spark, monkeypatch):
+    """What leaves the scan of the library are matches, and k rows for each form of a batch at most; results are those of
+    the joins for larger query sides."""
+    schema = "doc_id long, text string"
+    lib = overlap.fingerprinted(library.library_sentences(spark.createDataFrame(lines(1, 300) + [(i, "the same line for all of these") for i in range(900, 960)] + [(None, "a line of no document at all")], schema).coalesce(1))).persist()
+    query = overlap.fingerprinted(library.library_sentences(spark.createDataFrame(lines(2, 30) + lines(1, 9) + [(70, "the same line for all of those"), (71, "a line of no document at all")], schema))).persist()
+    some = query.where("fp <> 0").select("norm", "fp").distinct().collect()
+    plan = overlap._met_by(some, lib, ["norm"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    forms = sorted({r["norm"] for r in query.collect()})
+    s = lib.select("doc_id", F.col("idx").alias("s_idx"), F.col("display").alias("s_display"), "norm")
+    assert overlap._shared_broadcast(query.select(F.col("norm").alias("q_norm")).distinct(), lib).join(lib, "norm").count() > 3 * len(forms)
+    assert overlap._top_broadcast(forms, s, 3).count() <= 3 * len(forms)
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+
+    def found():
+        return key(overlap.literal_pairs(query, lib)), key(overlap.literal_matches(query, lib)), key(overlap.containment_top(query, lib))
+
+    small = found()
+    monkeypatch.setattr(overlap, "DENSE", 500)
+    assert found() == small
+    monkeypatch.setattr(overlap, "ASKED_FORMS", 0)
+    assert found() == small and all(len(x) > 10 for x in small)
+    lib.unpersist(), query.unpersist()

@@ -38,7 +38,8 @@ class Desk:
 class Lifecycle(StatefulProcessor):
     """Rows of a desk: task_id, kind (``submit`` or a state), message, at, seq. Gives a row for each change.
 
-    Rows of one call are taken in the order of (at, seq). A state of a task that the desk does not hold is ignored; so is a
+    Rows of one call are taken in the order of (at, seq): a micro-batch is sorted, a table's rows come sorted, one after
+    another, and none is held. A state of a task that the desk does not hold is ignored; so is a
     state other than ``STATES``. A task that is submitted again starts anew. ``ticking``: the clock is the engine's
     processing time, with timers; else it is ``at`` of the rows.
     """
@@ -58,9 +59,25 @@ class Lifecycle(StatefulProcessor):
         return Row(desk=desk, task_id=task, status=status, stage=stage, pct=pct, message=value[2], created=value[0], at=at, seq=seq)
 
     def _drop(self, desk: str, held: dict, task: str, status: str, at: datetime, seq: int | None) -> Row:
-        self.tasks.removeKey((task,))
         return self._row(desk, task, held.pop(task), status, at, seq)
 
+    def _keep(self, before: dict, held: dict) -> None:
+        """Write what has changed since ``before``: one write for each task at most."""
+        for task in before.keys() - held.keys():
+            self.tasks.removeKey((task,))
+        for task, value in held.items():
+            if before.get(task) != value:
+                self.tasks.updateValue((task,), value)
+
+    def _in_order(self, rows: Iterator[Row]) -> Iterator[Row]:
+        last = None
+        for r in rows:
+            own = (r["at"], r["seq"] is not None, r["seq"])
+            if last is not None and own < last:
+                raise ValueError("rows of a table are not in the order of (at, seq)")
+            last = own
+            yield r
+
     def _expire(self, desk: str, held: dict, now: datetime, seq: int | None = None) -> Iterator[Row]:
         last = now - timedelta(seconds=self.rules.ttl)
         for task in sorted((t for t, v in held.items() if v[0] < last), key=lambda t: (held[t][0], t)):
@@ -70,9 +87,10 @@ class Lifecycle(StatefulProcessor):
         return datetime.fromtimestamp(timers.getCurrentProcessingTimeInMs() / 1000)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        desk, held = key[0], self._held()
+        desk, before = key[0], self._held()
+        held = dict(before)
         now = self._clock(timerValues) if self.ticking else None
-        for r in sorted(rows, key=lambda r: (r["at"], r["seq"])):
+        for r in sorted(rows, key=lambda r: (r["at"], r["seq"])) if self.ticking else self._in_order(rows):
             at = now or r["at"]
             yield from self._expire(desk, held, at, r["seq"])
             task = r["task_id"]
@@ -87,13 +105,16 @@ class Lifecycle(StatefulProcessor):
                 held[task] = (held[task][0], r["kind"], r["message"])
             else:
                 continue
-            self.tasks.updateValue((task,), held[task])
             yield self._row(desk, task, held[task], held[task][1], at, r["seq"])
             while len(held) > self.rules.most:
                 yield self._drop(desk, held, min(held, key=lambda t: (held[t][0], t)), "evicted", at, r["seq"])
+        self._keep(before, held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._expire(key[0], self._held(), self._clock(timerValues))
+        before = self._held()
+        held = dict(before)
+        yield from self._expire(key[0], held, self._clock(timerValues))
+        self._keep(before, held)
 
     def close(self) -> None:
         pass
@@ -112,6 +133,8 @@ def changes(events: DataFrame, rules: Desk = Desk()) -> DataFrame:
     x = events.select(F.col("desk").cast("string").alias("desk"), F.col("task_id").cast("string").alias("task_id"), "kind", F.col("message").cast("string").alias("message"), F.col("at").cast("timestamp").alias("at"), F.col("seq").cast("long").alias("seq"))
     x = x.where("desk is not null and task_id is not null and kind is not null and at is not null")
     ticking = events.isStreaming
+    if not ticking:
+        x = x.repartition("desk").sortWithinPartitions("desk", "at", "seq")
     _ = events.sparkSession.streams.active  # state of a table needs the coordinator that a session's first stream brings up
     return x.groupBy("desk").transformWithState(Lifecycle(rules, ticking), CHANGES, "Update", "ProcessingTime" if ticking else "None")
 

@@ -93,3 +93,31 @@ def test_stream_expires_by_processing_time(spark, tmp_path):
     assert waited > timedelta(seconds=25)
     assert tasks.current(spark.table("task_changes")).count() == 0
     assert spark.table("task_changes").where(F.col("status") == "done").first()["message"] == "all well"
+
+
+def test_a_tables_rows_are_not_held():
+    """Rows of a table are taken one by one: the first change comes before the second row has been asked for."""
+    from datetime import datetime, timedelta
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    state: dict = {}
+    life = tasks.Lifecycle(tasks.Desk(), False)
+    life.tasks = SimpleNamespace(iterator=lambda: iter([]), updateValue=lambda k, v: state.__setitem__(k[0], v), removeKey=lambda k: state.pop(k[0], None))
+    taken = []
+
+    def rows(order):
+        for i in order:
+            taken.append(i)
+            yield Row(task_id=str(i % 30), kind="submit", message=None, at=datetime(2024, 1, 1) + timedelta(seconds=i), seq=i)
+
+    made = life.handleInputRows(("d",), rows(range(1000)), None)
+    assert next(made)["task_id"] == "0" and taken == [0]
+    list(made)
+    assert len(taken) == 1000 and len(state) == tasks.MOST
+    try:
+        list(life.handleInputRows(("d",), rows([2, 1]), None))
+    except ValueError:
+        return
+    raise AssertionError("rows out of order were taken")

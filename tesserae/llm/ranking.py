@@ -3,8 +3,9 @@
 Of a pair of labelled documents, one marked good and one marked bad, the good one is preferred with the probability
 sigmoid(s(good) - s(bad)), where s is linear in measures of the text; the weights minimise the logistic loss on the
 differences of measures. A document is taken as good if its score reaches a quantile of the labelled documents' scores,
-the share of bad ones among them. The measures of all texts are taken once and stored; pairs are drawn from a bounded
-sample of labelled rows, and everything else runs over all documents.
+the share of bad ones among them. The measures of all texts are taken once and stored. Every labelled row stands in pairs:
+rows are dealt to groups by their ids, all pairs of a group count, and the loss is summed over the groups in tasks, once
+for each step of Newton's method; the quantile is that of all labelled rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .shingles import mix, slices, text_bytes, word_hashes
 
 _U = np.uint64
@@ -36,14 +37,16 @@ MEASURES = len(_PUNCTUATION) + 4 + 4 + 3
 
 @dataclass(frozen=True)
 class Ranking:
-    """``sample``: labelled rows of each class that are used at most, those whose ids hash lowest. ``pairs``: preference
-    pairs drawn from them. ``ridge``: weight of the squared weights. ``cut``: the score given to the threshold."""
+    """``group``: rows of the rarer class that a group has on average. ``pairs``: preference pairs that :func:`fit` draws.
+    ``ridge``: weight of the squared weights. ``cut``: the score given to the threshold. ``sample`` bounds nothing any
+    more: all labelled rows are used."""
 
     sample: int = 10_000
     pairs: int = 50_000
     ridge: float = 1e-3
     cut: float = 0.3
     seed: int = 11
+    group: int = 64
 
 
 def _share(x: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -166,6 +169,122 @@ def fit(x: np.ndarray, label: np.ndarray, bad_share: float, options: Ranking = R
     return Model(mean, weights, float(threshold), options.cut)
 
 
+def _summed(rows: DataFrame, columns: list[str], of) -> np.ndarray:
+    """The sum of ``of`` (the batch's columns -> numbers) over all rows: one row leaves each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            own = of(*batch.columns)
+            total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    found = sorted(tuple(r["sums"]) for r in rows.select(*columns).mapInArrow(run, "sums array<double>").collect())
+    return np.sum(np.array(found), axis=0) if found else np.zeros(0)
+
+
+def _moments(label: pa.Array, x: pa.Array) -> np.ndarray:
+    """For each class its rows, and the sums and sums of squares of their measures."""
+    own, y = np.asarray(x.flatten(), float).reshape(len(x), MEASURES), np.asarray(label)
+    return np.concatenate([np.concatenate(([float((y == c).sum())], own[y == c].sum(0), (own[y == c] ** 2).sum(0))) for c in (0, 1)])
+
+
+def _grouped(rows: DataFrame, n_bad: int, n_good: int, options: Ranking) -> DataFrame:
+    """good, bad: measures of the rows of each group, one after another. A group's rows of the larger class are dealt to
+    parts, and its rows of the rarer class are in each, so no row of this table is large."""
+    rare, most = (0, n_bad) if n_bad <= n_good else (1, n_good)
+    groups = max(1, most // options.group)
+    parts = max(1, (n_bad + n_good - most) // (groups * 4 * options.group))
+    own = F.when(F.col("label") == rare, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.pmod(F.xxhash64("key", "x", F.lit(1)), F.lit(parts)).cast("int")))
+    x = rows.select("label", "key", "x", F.pmod(F.xxhash64("key", "x"), F.lit(groups)).alias("group"), F.explode(own).alias("part"))
+    side = lambda y: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == y, F.struct("key", "x")))), lambda r: r["x"]))
+    return x.groupBy("group", "part").agg(side(1).alias("good"), side(0).alias("bad")).sortWithinPartitions("group", "part")
+
+
+def _losses(w: np.ndarray):
+    """Of groups: their pairs, the sum of log(1 + exp(-d . w)) over them, its slope and its curvature in w."""
+
+    def of(good: pa.Array, bad: pa.Array) -> np.ndarray:
+        width = len(w)
+        n, total, slope, bend = 0, 0.0, np.zeros(width), np.zeros((width, width))
+        for i in range(len(good)):
+            g, b = (np.asarray(c[i].values, float).reshape(-1, width) for c in (good, bad))
+            margin = (g @ w)[:, None] - (b @ w)[None, :]
+            p = 1 / (1 + np.exp(np.clip(margin, -700, 700)))
+            v = p * (1 - p)
+            cross = g.T @ v @ b
+            n += margin.size
+            total += np.logaddexp(0, -margin).sum()
+            slope -= g.T @ p.sum(1) - b.T @ p.sum(0)
+            bend += (g.T * v.sum(1)) @ g + (b.T * v.sum(0)) @ b - cross - cross.T
+        return np.concatenate(([float(n), total], slope, bend.ravel()))
+
+    return of
+
+
+def _at(scores: DataFrame, ranks: list[int]) -> list[float]:
+    """The values of column s at places (from 0) of its ascending order, by counts of ever smaller ranges."""
+    out = []
+    for k in ranks:
+        lo, hi, n = scores.agg(F.min("s"), F.max("s"), F.count("*")).first()
+        before = 0
+        while n > 10_000 and hi > lo:
+            step = (hi - lo) / 1000
+            bins = scores.where(F.col("s").between(lo, hi)).groupBy(F.floor((F.col("s") - lo) / step).alias("b")).agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"))
+            for r in sorted(bins.collect(), key=lambda r: r["b"]):
+                if before + r["n"] > k:
+                    lo, hi, n = r["lo"], r["hi"], r["n"]
+                    break
+                before += r["n"]
+        out.append(lo if hi <= lo else sorted(r["s"] for r in scores.where(F.col("s").between(lo, hi)).collect())[k - before])
+    return out
+
+
+def _fitted(rows: DataFrame, options: Ranking) -> Model:
+    """The model of all rows (label, key, x); of :func:`fit`, but for the pairs."""
+    rows = stored(rows.select("label", "key", "x"), "ranking-labelled")
+    sums = _summed(rows, ["label", "x"], _moments)
+    width = 1 + 2 * MEASURES
+    n_bad, n_good = (int(sums[0]), int(sums[width])) if len(sums) else (0, 0)
+    if not n_bad or not n_good:
+        discard(rows)
+        return fit(np.zeros((0, MEASURES)), np.zeros(0, int), 0.0, options)
+    means = [sums[a + 1 : a + 1 + MEASURES] / sums[a] for a in (0, width)]
+    squares = [sums[a + 1 + MEASURES : a + width] / sums[a] for a in (0, width)]
+    mean = (means[0] + means[1]) / 2
+    spread = np.sqrt(np.maximum(0, sum(q - 2 * mean * m + mean**2 for q, m in zip(squares, means, strict=True)) / 2))
+    spread = np.where(spread > 1e-6, spread, np.inf)  # sums of squares leave some rounding
+    groups = stored(_grouped(rows, n_bad, n_good, options), "ranking-groups")
+
+    def look(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        own = _summed(groups, ["good", "bad"], _losses(w / spread))
+        n, slope, bend = max(1.0, own[0]), own[2 : 2 + MEASURES] / spread, own[2 + MEASURES :].reshape(MEASURES, MEASURES) / spread[:, None] / spread
+        return own[1] / n + options.ridge * w @ w / 2, slope / n + options.ridge * w, bend / n + options.ridge * np.eye(MEASURES)
+
+    w = np.zeros(MEASURES)
+    loss, slope, bend = look(w)
+    for _ in range(50):
+        if np.abs(slope).max() < 1e-7:
+            break
+        step, size = np.linalg.solve(bend, slope), 1.0
+        made = look(w - step)
+        while size > 1e-6 and made[0] > loss:
+            size /= 2
+            made = look(w - size * step)
+        w, (loss, slope, bend) = w - size * step, made
+    weights = w / spread
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.asarray(batch.column(0).flatten(), float).reshape(batch.num_rows, MEASURES)
+            yield pa.RecordBatch.from_arrays([pa.array((own - mean) @ weights)], ["s"])
+
+    low, high = _at(rows.select("x").mapInArrow(score, "s double"), [n_bad - 1, n_bad])
+    discard(rows, groups)
+    return Model(mean, weights, (low + high) / 2, options.cut)
+
+
 def classify(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", options: Ranking = Ranking()) -> DataFrame:
     """Score every whole text; learn from the labels of rows that are not held out.
 
@@ -177,15 +296,7 @@ def classify(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     x = stored(_measured(df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))), "ranking-measures")
     known = labels.select(F.col(id_col).cast("long").alias("key"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").where(~held_out(F.col("key")))
     known = known.groupBy("key").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other and key is not null")
-    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    low = F.xxhash64("key")
-    some = [known.where(F.col("label") == y).orderBy(low, "key").limit(options.sample).select("key", "label") for y in (0, 1)]
-    # bounded: two times options.sample ids; rows that share an id are bounded by a cut over the joined rows
-    taken = x.join(F.broadcast(some[0].unionByName(some[1])), "key").select("label", "key", "x")
-    rows = [r for y in (0, 1) for r in taken.where(F.col("label") == y).orderBy(low, "key", "x").limit(options.sample).collect()]
-    found = np.array([r["x"] for r in rows], np.float32).reshape(len(rows), MEASURES)
-    total = sum(counts.values())
-    model = fit(found, np.array([r["label"] for r in rows], np.int64), counts.get(0, 0) / max(1, total), options)
+    model = _fitted(x.join(known.select("key", "label"), "key"), options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -104,3 +104,27 @@ def test_without_labels_or_rows(spark):
     assert {(r["score"], r["predicted"]) for r in ranking.classify(docs, labels.where("quality = 1")).collect()} == {(0.5, 1)}
     assert ranking.classify(docs.limit(0), labels).count() == 0
     assert ranking.classify(docs, labels.limit(0)).where("score <> 0.5").count() == 0
+
+
+def test_every_labelled_row_counts(spark):
+    """With ``sample=1`` the model is still that of all labelled rows; the quantile is exact beyond what is collected."""
+    docs, _ = documents(spark)
+    labels = docs.select("doc_id", "quality").distinct()
+    a, b = (ranking.classify(docs, labels, options=o).select("doc_id", "score").collect() for o in (ranking.Ranking(), ranking.Ranking(sample=1)))
+    assert sorted(map(str, a)) == sorted(map(str, b))
+    rng = np.random.default_rng(2)
+    x = np.zeros((60, ranking.MEASURES), np.float32)
+    x[:, :3] = rng.normal(size=(60, 3)) + (np.arange(60) % 3 > 0)[:, None]
+    label = (np.arange(60) % 3 > 0).astype(int)
+    rows = spark.createDataFrame([(int(y), i, v.tolist()) for i, (y, v) in enumerate(zip(label, x))], "label int, key long, x array<float>")
+    model = ranking._fitted(rows, ranking.Ranking(group=1000))
+    good, bad = x[label == 1].astype(float), x[label == 0].astype(float)
+    used = [0, 1, 2]
+    mean = (good.mean(0) + bad.mean(0)) / 2
+    spread = np.sqrt((((good - mean) ** 2).mean(0) + ((bad - mean) ** 2).mean(0)) / 2)[used]
+    w = ranking.bradley_terry(((good[:, None] - bad[None]).reshape(-1, ranking.MEASURES)[:, used]) / spread, 1e-3)
+    assert model.weights[used] == pytest.approx(w / spread, rel=1e-5) and not model.weights[3:].any()
+    grouped = ranking._grouped(rows, 20, 40, ranking.Ranking(group=5)).collect()
+    assert sum(len(r["good"]) for r in grouped) >= 40 * ranking.MEASURES and len(grouped) > 1
+    s = spark.range(30_000).selectExpr("cast(id * 7919 % 30011 as double) as s")
+    assert ranking._at(s, [0, 12_345, 29_999]) == [sorted(i * 7919 % 30011 for i in range(30_000))[k] for k in (0, 12_345, 29_999)]

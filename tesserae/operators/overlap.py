@@ -159,6 +159,11 @@ def _asked(query: DataFrame) -> list | None:
     return _few(query.where("fp <> 0").select("norm", "fp").distinct())
 
 
+def few(query: DataFrame) -> bool:
+    """Whether a query side is broadcast."""
+    return _asked(query) is not None
+
+
 def literal_pairs(query: DataFrame, library: DataFrame) -> DataFrame:
     """Pairs of normal forms that match by fingerprint and edit similarity: q_norm, norm, d, m, sim, tier, min_block.
     As ``verified(candidates(query, library))``; a query side of bounded size is broadcast, so no candidate is moved."""

@@ -155,6 +155,9 @@ class SentenceStore:
     def candidates(self, query: DataFrame) -> DataFrame:
         """As :func:`overlap.candidates`, with norm_id in place of norm, by the stored blocks: q_norm, norm_id, distance,
         min_block. Only the folders of (block, range of values) that the query's sentences have are read."""
+        return self._sharing(query).dropDuplicates(["q_norm", "norm_id"])  # a normal form may be in several batches
+
+    def _sharing(self, query: DataFrame) -> DataFrame:
         q = query.where("fp <> 0").select(F.col("norm").alias("q_norm"), F.col("fp").alias("q_fp")).distinct()
         q = q.select("*", F.posexplode(fp.blocks(F.col("q_fp"))).alias("block", "value")).withColumn("range", _range(F.col("value")))
         needed: dict[int, list[int]] = {}
@@ -164,19 +167,25 @@ class SentenceStore:
         for block, ranges in sorted(needed.items()):
             own = own | ((F.col("block") == block) & F.col("range").isin(sorted(ranges)))
         stored = self._table("blocks", _BLOCKS, ", block int, range int").where(own)
-        found = overlap.sharing(q, stored.withColumnRenamed("fp", "l_fp"), "norm_id", ["block", "range", "value"])
-        return found.dropDuplicates(["q_norm", "norm_id"])  # a normal form may be in several batches
+        return overlap.sharing(q, stored.withColumnRenamed("fp", "l_fp"), "norm_id", ["block", "range", "value"])
 
     def literal_matches(self, query: DataFrame) -> DataFrame:
         """As :func:`overlap.literal_matches` against the store. Candidates are held until they met the sentences, of
-        which only their slots are read."""
+        which only their slots are read. Of a query side that is broadcast only the forms that it may match are held, not
+        the pairs."""
+        if overlap.few(query):
+            wanted = self._sharing(query).select("norm_id").distinct().withColumn("slot", F.pmod("norm_id", F.lit(SLOTS)).cast("int")).persist(StorageLevel.DISK_ONLY)
+            return overlap.literal_matches(query, self._sentences_of(wanted))
         pairs = self.candidates(query).withColumn("slot", F.pmod("norm_id", F.lit(SLOTS)).cast("int")).persist(StorageLevel.DISK_ONLY)
-        slots = sorted(r["slot"] for r in pairs.select("slot").distinct().collect())  # SLOTS at most
-        wanted = pairs.select("norm_id", "slot").distinct()
-        sents = self._table("sentences", _SENTENCES, ", slot int").where(F.col("slot").isin(slots)).join(wanted, ["slot", "norm_id"], "left_semi")
+        sents = self._sentences_of(pairs.select("norm_id", "slot").distinct())
         named = pairs.join(sents.select("slot", "norm_id", "norm").distinct(), ["slot", "norm_id"]).select("q_norm", "norm", "distance", "min_block")
         return overlap.placed(overlap.verified(named), query, sents)
 
+    def _sentences_of(self, wanted: DataFrame) -> DataFrame:
+        """The stored sentences of some normal forms (norm_id, slot); only their slots are read."""
+        slots = sorted(r["slot"] for r in wanted.select("slot").distinct().collect())  # SLOTS at most
+        return self._table("sentences", _SENTENCES, ", slot int").where(F.col("slot").isin(slots)).join(wanted, ["slot", "norm_id"], "left_semi")
+
     def all_matches(self, query: DataFrame, *, fallback: bool = True, vectors: DataFrame | None = None) -> DataFrame:
         """Literal matches and the fallback's. The fallback compares with every stored normal form; nothing is segmented
         or hashed again."""

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tesserae.operators import library, overlap, store
+from tesserae.operators import library, overlap, segment, store
 from tesserae.sources import tables
 from tesserae.sources.folders import Folders
 
@@ -147,3 +147,17 @@ def test_upsert_that_was_cut_off(spark, tmp_path, monkeypatch):
     got = stored(spark, path)  # a reader finishes the move
     assert len(got) == 41 and ("3", 99, "new") in got and ("x", 1, "new") in got
     assert not [x for x in Folders(spark).names(path) if x.startswith(("_pending", "_stage"))]
+
+
+def test_a_small_check_holds_no_pairs(spark, tmp_path, monkeypatch):
+    """Matches are those of held pairs, and of a small query side no pair is dealt out by its distances."""
+    kept = store.SentenceStore(spark, str(tmp_path / "s"))
+    text = "The river carries sand to the sea and the tide brings it back. " * 3
+    for name in ("a", "b"):
+        kept.append(spark.createDataFrame([(name, f"{text}Number {name} of two that differ.")], "name string, text string"))
+    query = overlap.fingerprinted(segment.sentences(spark.createDataFrame([(1, f"{text}A closing line.")], "doc_id long, text string")))
+    small = kept.literal_matches(query)
+    assert "distance(" not in small._jdf.queryExecution().optimizedPlan().toString()
+    found = sorted(map(str, small.collect()))
+    monkeypatch.setattr(overlap, "ASKED_FORMS", 0)
+    assert found and found == sorted(map(str, kept.literal_matches(query).select(*small.columns).collect()))

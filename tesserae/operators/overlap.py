@@ -31,6 +31,7 @@ CELLS = 4_000_000
 #: Forms and characters of a query side that is broadcast for containment: a few megabytes at most.
 ASKED_FORMS, ASKED_CHARS = 4096, 1_000_000
 DENSE = 4_000_000  # counters of one batch
+WIDE = 2048  # bigrams of asked forms that are columns of a matrix
 _SHIFTS, _BLOCK = np.arange(fp.BLOCKS, dtype=np.uint64) * np.uint64(fp.BLOCK_BITS), np.uint64((1 << fp.BLOCK_BITS) - 1)
 _MATCH = ("q_doc", "q_idx", "doc_id", "s_idx", "s_display", "d", "m", "sim", "tier", "cos", "min_block")
 
@@ -204,10 +205,11 @@ def pending(query: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def _decided(x: DataFrame, score: Column, recall: float, strong: float) -> DataFrame:
-    x = _measured(x.where(score >= recall))
+    x = _measured(x.where(score >= recall)).where((F.col("d") < F.col("m")) | (score >= strong))
     # beyond the border a similarity shows for the strong scores only: exact or 0, by the row-wise cut-off
-    beyond = x.where((F.col("d") == F.col("m")) & (score >= strong)).withColumn("d", sm.cut_distance("q_norm", "norm"))
-    x = x.where("d < m").unionByName(beyond)
+    beyond = F.col("d") == F.col("m")
+    cut = sm.cut_distance(F.when(beyond, F.col("q_norm")), F.when(beyond, F.col("norm")))
+    x = x.withColumn("d", F.coalesce(cut, "d"))
     tier = F.coalesce(sm.tier(F.col("d"), F.col("m")), F.when(score >= strong, F.lit("semantic")))
     x = x.withColumn("tier", tier).where("tier is not null").withColumn("sim", _sim(F.col("d"), F.col("m"))).withColumn("cos", F.bround(score, 3))
     return x.withColumn("min_block", F.lit(None).cast("int")).select("q_doc", "q_idx", "doc_id", "s_idx", "s_display", "d", "m", "sim", "tier", "cos", "min_block")
@@ -224,31 +226,65 @@ def _bigram_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[new], row[new]
 
 
-def _shares(texts: list[str], names: list[str], grams: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Numbers of texts and of names that share much, and how much, by the names' inverted lists. Texts go in runs whose
-    counters and list entries stay within ``DENSE``."""
-    n = len(names)
-    sizes = np.bincount(queries, minlength=n)
-    codes, row = _bigram_rows(texts)
-    order = np.argsort(row, kind="stable")
-    codes, row = codes[order], row[order]
-    own_sizes = np.bincount(row, minlength=len(texts))
-    lo, hi = np.searchsorted(grams, codes, side="left"), np.searchsorted(grams, codes, side="right")
-    first = np.concatenate(([0], np.cumsum(own_sizes)))
-    entries = np.concatenate(([0], np.cumsum(hi - lo)))[first]  # of the texts before each
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, min(at + DENSE // max(1, n), int(np.searchsorted(entries, entries[at] + DENSE, side="right")) - 1))
-        part = slice(first[at], first[end])
-        hits = hi[part] - lo[part]
-        place = np.repeat(lo[part] - np.concatenate(([0], np.cumsum(hits)))[:-1], hits) + np.arange(hits.sum())
-        both = np.bincount(np.repeat((row[part] - at) * n, hits) + queries[place], minlength=(end - at) * n)
-        key = np.flatnonzero(both)
-        t, q = key // n + at, key % n
-        score = both[key] / np.minimum(own_sizes[t], sizes[q])
-        keep = score >= sm.CONTAIN_RECALL
-        yield t[keep], q[keep], score[keep]
-        at = end
+def _sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`_bigram_rows`, text by text: text and bigram are one number, so that one plain sort does; 42 bits are the
+    bigram's."""
+    codes, count = fp.bigram_codes(texts)
+    key = np.sort((np.repeat(np.arange(len(texts), dtype=np.uint64), count) << np.uint64(42)) | codes)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    return key & np.uint64((1 << 42) - 1), (key >> np.uint64(42)).astype(np.int64)
+
+
+class _Asked:
+    """The sets of the asked names: a matrix of those bigrams that most names have, inverted lists of the others."""
+
+    def __init__(self, n: int, grams: np.ndarray, queries: np.ndarray) -> None:
+        self.n, self.sizes = n, np.bincount(queries, minlength=n)
+        self.grams, first, length = np.unique(grams, return_index=True, return_counts=True)
+        wide = np.argsort(-length, kind="stable")[:WIDE]
+        self.place = np.full(len(self.grams), -1)
+        self.place[wide] = np.arange(len(wide))
+        self.matrix = np.zeros((n, len(wide)), np.float32)
+        column = np.repeat(self.place, length)
+        self.matrix[queries[column >= 0], column[column >= 0]] = 1
+        self.lo, self.hi, self.queries = first, first + length, queries
+
+    def scores(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """For runs of texts the first one's number, and what share of the smaller set each name (row) and text have in
+        common: matrix products, and counters of what the matrix lacks. A run's cells and list entries stay within
+        ``DENSE``, but for one text."""
+        codes, row = _sets(texts)
+        size = np.bincount(row, minlength=len(texts))
+        first = np.concatenate(([0], np.cumsum(size)))
+        at = np.minimum(np.searchsorted(self.grams, codes), max(0, len(self.grams) - 1))
+        asked = self.grams[at] == codes if len(self.grams) else np.zeros(len(codes), bool)
+        place = np.where(asked, self.place[at], -2) if len(self.grams) else np.full(len(codes), -2)
+        hits = np.where(place == -1, self.hi[at] - self.lo[at], 0) if len(self.grams) else np.zeros(len(codes), np.int64)
+        entries = np.concatenate(([0], np.cumsum(hits)))[first]  # of the texts before each
+        begin, step = 0, max(1, DENSE // max(1, self.n, self.matrix.shape[1]))
+        while begin < len(texts):
+            end = max(begin + 1, min(begin + step, len(texts), int(np.searchsorted(entries, entries[begin] + DENSE, side="right")) - 1))
+            part = slice(first[begin], first[end])
+            some = place[part] >= 0
+            own = np.zeros((end - begin, self.matrix.shape[1]), np.float32)
+            own[row[part][some] - begin, place[part][some]] = 1
+            both = self.matrix @ own.T  # counts, exact
+            if entries[end] > entries[begin]:
+                few = part.start + np.flatnonzero(hits[part])
+                n = hits[few]
+                entry = np.repeat(self.lo[at[few]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both += np.bincount(self.queries[entry] * (end - begin) + np.repeat(row[few] - begin, n), minlength=both.size).reshape(both.shape)
+            yield begin, both / np.maximum(1, np.minimum(self.sizes[:, None], size[None, begin:end]))
+            begin = end
+
+
+def _shares(texts: list[str], asked: _Asked) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Numbers of texts and of names that share much, and how much."""
+    for begin, score in asked.scores(texts):
+        q, t = np.nonzero(score >= sm.CONTAIN_RECALL)
+        yield t + begin, q, score[q, t]
 
 
 def _shared_broadcast(forms: DataFrame, library: DataFrame) -> DataFrame:
@@ -258,10 +294,11 @@ def _shared_broadcast(forms: DataFrame, library: DataFrame) -> DataFrame:
     held = forms.sparkSession.sparkContext.broadcast((asked, *_bigram_rows(asked)))
 
     def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = held.value[0]
+        names, *sets = held.value
+        lists = _Asked(len(names), *sets)
         for b in batches:
             texts = b.column(0).to_pylist()
-            for t, q, score in _shares(texts, *held.value):
+            for t, q, score in _shares(texts, lists):
                 found = ([names[i] for i in q], pa.string()), ([texts[i] for i in t], pa.string()), (score, pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(*x) for x in found], ["q_norm", "norm", "score"])
 
@@ -269,47 +306,82 @@ def _shared_broadcast(forms: DataFrame, library: DataFrame) -> DataFrame:
 
 
 def _top_broadcast(asked: list[str], library: DataFrame, k: int) -> DataFrame:
-    """Of library rows (norm, doc_id, s_idx, s_display) those that may be among the k best of an asked form, with q_norm and
-    score. Of each batch a task lets k for each form leave at most, and none below what its k best so far have."""
-    held = library.sparkSession.sparkContext.broadcast((asked, *_bigram_rows(asked)))
+    """Of library rows (norm, doc_id, s_idx, display) the k best of each asked form, with q_norm, score and rank. A task
+    keeps k for each form and lets each row leave once, at its end, however many forms it is best for: rows may be long, and
+    a long line contains the bigrams of many forms. Ranks are found without the texts, which then come for the best only;
+    the tasks' rows are held on disk meanwhile."""
+    spark = library.sparkSession
+    held = spark.sparkContext.broadcast((asked, *_bigram_rows(asked)))
     names = ["norm", "doc_id", "s_idx", "s_display"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = held.value[0]
-        best = np.full((len(asked), k), -1.0)  # scores, ascending
+        names, *sets = held.value
+        lists, kept = _Asked(len(names), *sets), None
+        q, score, row = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)  # row: of what is kept
+        floor = np.full(len(names), sm.CONTAIN_RECALL)
         for batch in batches:
-            order = pc.sort_indices(pa.table([batch.column(1), batch.column(2)], names=["a", "b"]), [("a", "ascending"), ("b", "ascending")], null_placement="at_start")
-            batch = batch.take(order)  # so a row's number decides between equal scores
-            norm = batch.column(0).dictionary_encode()
+            batch = _in_order(pa.Table.from_batches([batch])).combine_chunks()  # so a row's number decides between equal scores
+            norm = batch.column(0).combine_chunks().dictionary_encode()
             form = np.asarray(norm.indices.cast(pa.int32()).fill_null(-1))
             rows = np.argsort(form, kind="stable")
             begin, end = (np.searchsorted(form[rows], np.arange(len(norm.dictionary)), side=x) for x in ("left", "right"))
-            held_q, held_r, held_s = [], [], []
-            for t, q, score in _shares(norm.dictionary.to_pylist(), *held.value):
-                some = np.flatnonzero(score >= best[q, 0])
-                t, q, score = t[some], q[some], score[some]
-                count = np.minimum(end[t] - begin[t], k)  # a form's first rows
-                row = rows[np.repeat(begin[t] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-                q, score = np.repeat(q, count), np.repeat(score, count)
-                first = _first(q, score, row, k)
-                held_q.append(q[first])
-                held_r.append(row[first])
-                held_s.append(score[first])
-            if not held_q:
+            new_q, new_s, new_t = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+            for at, share in lists.scores(norm.dictionary.to_pylist()):
+                for _ in range(min(k, share.shape[1]) if len(names) else 0):  # forms stand by their first rows, of equal ones the first is taken
+                    t = share.argmax(axis=1)
+                    most = share[np.arange(len(t)), t]
+                    some = np.flatnonzero(most >= floor)
+                    if not len(some):
+                        break
+                    new_q.append(some)
+                    new_s.append(most[some])
+                    new_t.append(t[some] + at)
+                    share[np.arange(len(t)), t] = -1.0
+            t, own_q, own_s = map(np.concatenate, (new_t, new_q, new_s))
+            if not len(t):
                 continue
-            q, row, score = map(np.concatenate, (held_q, held_r, held_s))
-            first = _first(q, score, row, k)
-            q, row, score = q[first], row[first], score[first]
-            for i in np.unique(q).tolist():
-                lo, hi = np.searchsorted(q, [i, i + 1])
-                best[i] = np.sort(np.concatenate((best[i], score[lo:hi])))[-k:]
-            some = np.flatnonzero(score >= best[q, 0])
-            if len(some):
-                found = pa.array([asked[i] for i in q[some]], pa.string()), pa.array(score[some])
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row[some])).columns, *found], [*names, "q_norm", "score"])
+            first = _first(own_q, own_s, t, k)
+            t, own_q, own_s = t[first], own_q[first], own_s[first]
+            count = np.minimum(end[t] - begin[t], k)  # a form's first rows
+            own_row = rows[np.repeat(begin[t] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            taken, own_row = np.unique(own_row, return_inverse=True)
+            some = batch.take(pa.array(taken))
+            q, score = np.concatenate((q, np.repeat(own_q, count))), np.concatenate((score, np.repeat(own_s, count)))
+            row = np.concatenate((row, own_row + (0 if kept is None else kept.num_rows)))
+            kept = some if kept is None else pa.concat_tables([kept, some])
+            place = np.empty(kept.num_rows, np.int64)
+            place[_order_of(kept)] = np.arange(kept.num_rows)
+            first = _first(q, score, place[row], k)
+            q, score = q[first], score[first]
+            taken, row = np.unique(row[first], return_inverse=True)
+            kept = kept.take(pa.array(taken))
+            full = np.bincount(q, minlength=len(floor)) >= k
+            least = np.full(len(floor), np.inf)
+            np.minimum.at(least, q, score)
+            floor = np.where(full, least, floor)
+        if kept is not None:
+            order = np.argsort(row, kind="stable")
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=kept.num_rows)))).astype(np.int32)
+            best = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(q[order].astype(np.int32)), pa.array(score[order])], ["q", "score"]))
+            yield from kept.append_column("best", best).to_batches(max_chunksize=1024)
 
     kinds = ", ".join(f"{c} {library.schema[c].dataType.simpleString()}" for c in names)
-    return library.select(*names).mapInArrow(run, f"{kinds}, q_norm string, score double")
+    hits = library.select(*names).mapInArrow(run, f"{kinds}, best array<struct<q:int,score:double>>").withColumn("hit", F.xxhash64(*names)).persist(StorageLevel.DISK_ONLY)
+    w = Window.partitionBy("q").orderBy(F.col("score").desc(), "doc_id", "s_idx")
+    top = hits.select("hit", "doc_id", "s_idx", F.inline("best")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # k rows for each form at most, without texts
+    texts = hits.select("hit", "norm", "s_display").join(F.broadcast(top.select("hit").distinct()), "hit", "left_semi").dropDuplicates(["hit"])
+    named = F.broadcast(spark.createDataFrame(list(enumerate(asked)), "q int, q_norm string"))
+    return texts.join(F.broadcast(top), "hit").join(named, "q").select(*names, "q_norm", "score", "rank")
+
+
+def _order_of(rows: pa.Table) -> np.ndarray:
+    """The order of library rows by (doc_id, s_idx), null first."""
+    return np.asarray(pc.sort_indices(pa.table([rows.column(1), rows.column(2)], names=["a", "b"]), [("a", "ascending"), ("b", "ascending")], null_placement="at_start"))
+
+
+def _in_order(rows: pa.Table) -> pa.Table:
+    return rows.take(pa.array(_order_of(rows)))
 
 
 def _first(q: np.ndarray, score: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
@@ -368,9 +440,11 @@ def containment_top(query: DataFrame, library: DataFrame, k: int = sm.TOP) -> Da
     asked = _few(forms)
     lib = library.select("doc_id", F.col("idx").alias("s_idx"), F.col("display").alias("s_display"), "norm")
     # the k best of each form first: a sentence's k best are among its form's
-    w = Window.partitionBy("q_norm").orderBy(F.col("score").desc(), "doc_id", "s_idx")
-    scored = _shared_lists(forms.withColumnRenamed("norm", "q_norm"), library).join(lib, "norm") if asked is None else _top_broadcast([r["norm"] for r in asked], lib, k)
-    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if asked is None:
+        w = Window.partitionBy("q_norm").orderBy(F.col("score").desc(), "doc_id", "s_idx")
+        best = _shared_lists(forms.withColumnRenamed("norm", "q_norm"), library).join(lib, "norm").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    else:
+        best = _top_broadcast([r["norm"] for r in asked], lib, k)
     qs = query.select(F.col("doc_id").alias("q_doc"), F.col("idx").alias("q_idx"), F.col("norm").alias("q_norm"))
     return best.join(qs, "q_norm").select("q_doc", "q_idx", "q_norm", "doc_id", "s_idx", "s_display", "norm", "score", "rank")
 
@@ -542,13 +616,13 @@ def summary(query: DataFrame, best: DataFrame) -> DataFrame:
 
 def spans(matches: DataFrame) -> DataFrame:
     """Runs of matched sentences with gaps of two at most: q_doc, span, q_start, q_end, n_matches, matches, primary."""
-    hit = matches.select("q_doc", "q_idx").distinct()
+    # rows of one sentence are peers: only the first of them may open a run, and all of them are in it
     w = Window.partitionBy("q_doc").orderBy("q_idx")
     new = F.coalesce((F.col("q_idx") - F.lag("q_idx").over(w) > SPAN_GAP).cast("int"), F.lit(0))
-    runs = hit.withColumn("new", new).withColumn("span", F.sum("new").over(w)).drop("new")
+    runs = matches.withColumn("new", new).withColumn("span", F.sum("new").over(w)).drop("new")
     own = F.struct("q_idx", (-F.col("sim")).alias("less"), (-F.col("cos")).alias("far"), F.coalesce("min_block", F.lit(9)).alias("block"), "doc_id", "s_idx", "sim", "cos", "tier")
     best = F.struct((-F.col("sim")).alias("less"), (-F.col("cos")).alias("far"), "q_idx", "doc_id", "s_idx", "tier")
-    x = matches.join(runs, ["q_doc", "q_idx"]).groupBy("q_doc", "span")
+    x = runs.groupBy("q_doc", "span")
     return x.agg(F.min("q_idx").alias("q_start"), F.max("q_idx").alias("q_end"), F.count("*").alias("n_matches"), F.array_sort(F.collect_list(own)).alias("matches"), F.min(best).alias("primary"))
 
 

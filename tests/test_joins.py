@@ -162,3 +162,22 @@ def test_a_bounded_query_side_moves_no_candidates(spark, monkeypatch):
     monkeypatch.setattr(overlap, "ASKED_FORMS", 0)
     assert found() == small and all(len(x) > 10 for x in small)
     lib.unpersist(), query.unpersist()
+
+
+def test_a_long_line_leaves_once_for_all_forms(spark):
+    """A line that contains the bigrams of every form is handed on once by a task, not once for each form; a fallback and
+    runs of matches read the library's scan once."""
+    long = " ".join(t for _, t in lines(2, 200))
+    rows = [(5, long), (7, long + " again"), (6, long), (3, long), *[(i + 10, t) for i, t in lines(3, 40)]]
+    lib = overlap.fingerprinted(library.library_sentences(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)))
+    query = overlap.fingerprinted(library.library_sentences(spark.createDataFrame(lines(2, 60), "doc_id long, text string")))
+    top = overlap.containment_top(query, lib).orderBy("q_doc", "q_idx", "rank").collect()
+    assert [(r["doc_id"], r["rank"], r["score"]) for r in top] == [(d, k, 1.0) for _ in range(60) for d, k in ((3, 1), (5, 2), (6, 3))]
+    plan = overlap.containment_top(query, lib)._jdf.queryExecution().optimizedPlan().toString()
+    assert "best#" in plan and "hit#" in plan  # a row with all the forms that it is best for
+    found = overlap.fallback_matches(query, lib)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+    matches = spark.createDataFrame([(1, i, d, 0, "x", 0, 9, 1.0, "copy", 0.0, 0) for i in (0, 2, 5, 9, 11) for d in (4, 5)], "q_doc long, q_idx int, doc_id long, s_idx int, s_display string, d int, m int, sim double, tier string, cos double, min_block int")
+    spans = overlap.spans(matches)
+    assert "Join" not in spans._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["span"], r["q_start"], r["q_end"], r["n_matches"]) for r in spans.collect()) == [(0, 0, 2, 4), (1, 5, 5, 2), (2, 9, 11, 4)]

@@ -41,9 +41,25 @@ def bigram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((chars << np.uint64(21)) | own)[keep], np.where(size > 1, size - 1, size)
 
 
-def _hash_bigram(code: int) -> int:
+def bigram_text(code: int) -> str:
     a, b = code >> 21, code & 0x1FFFFF
-    return fnv1a((chr(a) + (chr(b - 1) if b else "")).encode())
+    return chr(a) + (chr(b - 1) if b else "")
+
+
+def counted_codes(codes: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in ascending order, and how often each is there."""
+    if times is None:
+        codes, order = np.sort(codes), None
+    else:
+        order = np.argsort(codes)
+        codes = codes[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1])))
+    count = np.diff(np.append(first, len(codes))) if order is None else np.add.reduceat(times[order], first) if len(first) else times
+    return codes[first], count
+
+
+def _hash_bigram(code: int) -> int:
+    return fnv1a(bigram_text(code).encode())
 
 
 def _simhashes(texts: list[str]) -> np.ndarray:

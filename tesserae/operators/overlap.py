@@ -41,6 +41,28 @@ def fingerprinted(sents: DataFrame) -> DataFrame:
     return sents.withColumn("fp", fp.simhash("norm"))
 
 
+def bigram_counts(sents: DataFrame) -> DataFrame:
+    """bigram, n: how often each stands in the normal forms. A task counts its own by numbers, and hands on what it has when
+    that grows beyond ``GRAMS``; only counts are moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([fp.bigram_text(c) for c in codes.tolist()], pa.string()), pa.array(count)], ["bigram", "n"])
+
+        for batch in batches:
+            own, times = fp.counted_codes(fp.bigram_codes([x for x in batch.column(0).to_pylist() if x])[0])
+            codes, count = fp.counted_codes(np.concatenate((codes, own)), np.concatenate((count, times)))
+            if len(codes) > GRAMS:
+                yield made()
+                codes, count = codes[:0], count[:0]
+        if len(codes):
+            yield made()
+
+    return sents.select("norm").mapInArrow(run, "bigram string, n long").groupBy("bigram").agg(F.sum("n").alias("n"))
+
+
 def candidates(query: DataFrame, library: DataFrame) -> DataFrame:
     """Pairs of fingerprints that share a block and differ in four bits at most: q_norm, norm, distance, min_block.
 

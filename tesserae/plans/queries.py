@@ -80,8 +80,7 @@ def ref_cut(spark, d):
 
 
 def char_bigrams(spark, d):
-    own = segment.sentences(docs(spark, d)).select(F.explode(T.bigrams(F.col("norm"))).alias("bigram"))
-    return own.groupBy("bigram").agg(F.count("*").alias("n"))
+    return overlap.bigram_counts(segment.sentences(docs(spark, d)))
 
 
 def fnv1a64_bigrams(spark, d):

@@ -181,3 +181,18 @@ def test_a_long_line_leaves_once_for_all_forms(spark):
     spans = overlap.spans(matches)
     assert "Join" not in spans._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["span"], r["q_start"], r["q_end"], r["n_matches"]) for r in spans.collect()) == [(0, 0, 2, 4), (1, 5, 5, 2), (2, 9, 11, 4)]
+
+
+def test_bigrams_are_counted_in_tasks(spark, monkeypatch):
+    texts = ["", "a", "ab", "aab🙂é", "漢字漢字", None, "x" * 3000, "aa" * 50 + "b"]
+    rows = spark.createDataFrame([(t,) for t in texts * 3], "norm string").coalesce(1)
+    expected: dict = {}
+    for t in texts * 3:
+        for g in [t[i : i + 2] for i in range(len(t) - 1)] or [t] if t else []:
+            expected[g] = expected.get(g, 0) + 1
+    for most in (overlap.GRAMS, 2):
+        monkeypatch.setattr(overlap, "GRAMS", most)
+        found = overlap.bigram_counts(rows)
+        assert {r["bigram"]: r["n"] for r in found.collect()} == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan  # no row for each place

@@ -16,7 +16,7 @@ FNV_PRIME = 0x100000001B3
 BLOCKS = 4
 BLOCK_BITS = 16
 MAX_DISTANCE = 4
-_RUN = 100_000  # bigrams whose votes are added at once
+_RUN = 100_000  # bigrams whose bits are counted at once
 
 
 def fnv1a(data: bytes) -> int:
@@ -63,22 +63,31 @@ def _hash_bigram(code: int) -> int:
 
 
 def _simhashes(texts: list[str]) -> np.ndarray:
-    """Each distinct bigram is hashed once and becomes 64 votes of +1 and -1; a text's votes are one segmented sum."""
+    """Each distinct bigram is hashed once; of a text's bigrams the bits are counted in one segmented sum. The 64 counters of
+    a text stand side by side in words of 64 bits, each as wide as the text's number of bigrams needs."""
     grams, count = bigram_codes(texts)
     out = np.zeros(len(texts), np.int64)
     if not len(grams):
         return out
-    distinct, where = np.unique(grams, return_inverse=True)
+    distinct, _ = counted_codes(grams)
+    where = np.searchsorted(distinct, grams)
     hashes = np.array([_hash_bigram(c) for c in distinct.tolist()], "<u8")
-    votes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
-    some = np.flatnonzero(count)
-    begins = np.concatenate(([0], np.cumsum(count[some])))
-    at = 0
-    while at < len(some):
-        end = max(at + 1, int(np.searchsorted(begins, begins[at] + _RUN, side="right")) - 1)
-        total = np.add.reduceat(votes[where[begins[at] : begins[end]]], begins[at:end] - begins[at], axis=0, dtype=np.int32)
-        out[some[at:end]] = np.packbits(total > 0, axis=1, bitorder="little").view("<i8").reshape(-1)
-        at = end
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    above = 0
+    for width, most in (("<u1", 0xFF), ("<u2", 0xFFFF), ("<u4", 0xFFFFFFFF)):
+        mine = (count > above) & (count <= most)
+        above, some = most, np.flatnonzero(mine)
+        if not len(some):
+            continue
+        lanes = np.ascontiguousarray(bits.astype(width)).view("<u8")
+        own = where if len(some) == len(texts) else where[np.repeat(mine, count)]
+        begins = np.concatenate(([0], np.cumsum(count[some])))
+        at = 0
+        while at < len(some):
+            end = max(at + 1, int(np.searchsorted(begins, begins[at] + _RUN, side="right")) - 1)
+            ones = np.add.reduceat(lanes[own[begins[at] : begins[end]]], begins[at:end] - begins[at], axis=0).view(width)
+            out[some[at:end]] = np.packbits(2 * ones.astype(np.int64) > count[some[at:end], None], axis=1, bitorder="little").view("<i8").reshape(-1)
+            at = end
     return out
 
 
@@ -90,6 +99,10 @@ def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(_simhashes(s.where(~null, "").tolist()), dtype="Int64").mask(null.reset_index(drop=True))
 
 
+# else a filter on fingerprints is moved before their column, and all are made twice
+simhash = simhash.asNondeterministic()
+
+
 @F.pandas_udf(StringType())
 def fnv1a_hex(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The hash of a text's UTF-8 bytes, in hexadecimal."""
@@ -99,7 +112,7 @@ def fnv1a_hex(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def blocks(fp: Column) -> Column:
     """The fingerprint's four blocks of 16 bits, lowest first."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.call_function("shiftrightunsigned", fp, i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int"))
+    return F.array(*(F.shiftrightunsigned(fp, i * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int") for i in range(BLOCKS)))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -66,9 +66,51 @@ def bigram_counts(sents: DataFrame) -> DataFrame:
 def candidates(query: DataFrame, library: DataFrame) -> DataFrame:
     """Pairs of fingerprints that share a block and differ in four bits at most: q_norm, norm, distance, min_block.
 
+    Fingerprints of 0 take no part. A query side of bounded size is broadcast: the library's distinct normal forms are
+    moved once, for that, and each leaves its task once with all the pairs that it is in. A larger one is joined."""
+    asked = _asked(query)
+    if asked is None:
+        return _joined(query, library)
+    spark, names = library.sparkSession, [r["norm"] for r in asked]
+    held = spark.sparkContext.broadcast(np.array([r["fp"] for r in asked], np.int64))
+    kind = pa.list_(pa.struct([("q", pa.int32()), ("distance", pa.int32()), ("min_block", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints = held.value
+        step = max(1, DENSE // max(1, len(prints)))
+        for batch in batches:
+            for begin in range(0, batch.num_rows if len(prints) else 0, step):
+                rows = batch.slice(begin, step)
+                t, q, distance, first = _near(np.asarray(rows.column(1)), prints)
+                own, count = np.unique(t, return_counts=True)
+                if len(own):
+                    found = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (q, distance, first)], fields=list(kind.value_type))
+                    ends = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(own)), pa.ListArray.from_arrays(ends, found)], ["norm", "found"])
+
+    forms = library.where("fp <> 0").select("norm", "fp").distinct()
+    x = forms.mapInArrow(run, "norm string, found array<struct<q:int,distance:int,min_block:int>>").select("norm", F.inline("found"))
+    named = F.broadcast(spark.createDataFrame(list(enumerate(names)), "q int, q_norm string"))
+    return x.join(named, "q").select("q_norm", "norm", "distance", "min_block")
+
+
+def _near(own: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of fingerprints and asked ones the pairs that share a block and differ in four bits at most, by the first's place:
+    the places of both, how many bits differ, the first block shared. Fingerprints of 0 are in none."""
+    differ = own[:, None] ^ prints[None, :]
+    bits = np.bitwise_count(differ.view(np.uint64))
+    t, q = np.nonzero((bits <= fp.MAX_DISTANCE) & (own != 0)[:, None])
+    same = (differ[t, q].view(np.uint64)[:, None] >> _SHIFTS) & _BLOCK == 0
+    some = same.any(axis=1)
+    return t[some], q[some], bits[t, q][some], same[some].argmax(axis=1)
+
+
+def _joined(query: DataFrame, library: DataFrame) -> DataFrame:
+    """The candidates of a query side of any size.
+
     Both sides are first reduced to distinct normal forms, so repeated sentences do not multiply a hot block's
     pairs; an equi-join on the block then finds the pairs, and a pair that shares several blocks is kept at the
-    first one only, so nothing has to be made distinct. Fingerprints of 0 take no part. A block value that many forms
+    first one only, so nothing has to be made distinct. A block value that many forms
     have is counted and split, see :func:`_split`.
     """
 
@@ -151,13 +193,11 @@ def _met_by(asked: list, library: DataFrame, keep: list[str]) -> DataFrame:
                 texts = norm.dictionary.to_pylist()
                 own = np.zeros(len(texts), np.int64)  # a form has one fingerprint
                 own[form[form >= 0]] = np.asarray(rows.column(1).fill_null(0))[form >= 0]
-                differ = own[:, None] ^ prints[None, :]
-                t, q = np.nonzero((np.bitwise_count(differ.view(np.uint64)) <= fp.MAX_DISTANCE) & (own != 0)[:, None])
-                same = (differ[t, q].view(np.uint64)[:, None] >> _SHIFTS) & _BLOCK == 0
+                t, q, _, first = _near(own, prints)
                 length = np.fromiter(map(len, texts), np.int64, len(texts))[t]
                 longest = np.maximum(length, size[q])
-                fine = np.flatnonzero(same.any(axis=1) & (20 * np.abs(length - size[q]) < 9 * longest))
-                t, q, m, first = t[fine], q[fine], longest[fine], same[fine].argmax(axis=1)
+                fine = np.flatnonzero(20 * np.abs(length - size[q]) < 9 * longest)
+                t, q, m, first = t[fine], q[fine], longest[fine], first[fine]
                 d = sm.tier_distances_to(asked, texts, q, t)
                 fine = np.flatnonzero((20 * d <= 9 * m) & (d < m))
                 order = fine[np.argsort(t[fine], kind="stable")]
@@ -192,7 +232,7 @@ def literal_pairs(query: DataFrame, library: DataFrame) -> DataFrame:
     As ``verified(candidates(query, library))``; a query side of bounded size is broadcast, so no candidate is moved."""
     asked = _asked(query)
     if asked is None:
-        x = verified(candidates(query, library))
+        x = verified(_joined(query, library))
     else:
         x = _tiered(_met_by(asked, library, ["norm"]).distinct())
     return x.select("q_norm", "norm", "d", "m", "sim", "tier", "min_block")
@@ -204,7 +244,7 @@ def literal_matches(query: DataFrame, library: DataFrame) -> DataFrame:
     reads them several times."""
     asked = _asked(query)
     if asked is None:
-        return placed(verified(candidates(query, library)), query, library)
+        return placed(verified(_joined(query, library)), query, library)
     s = library.select("doc_id", F.col("idx").alias("s_idx"), F.col("display").alias("s_display"), "norm", "fp")
     found = _tiered(_met_by(asked, s, ["doc_id", "s_idx", "s_display"])).withColumn("cos", F.lit(0.0))
     q = query.select(F.col("doc_id").alias("q_doc"), F.col("idx").alias("q_idx"), F.col("norm").alias("q_norm"))

@@ -97,7 +97,9 @@ def lsh_blocks(spark, d):
 
 
 def bucket_histogram(spark, d):
-    return lsh_blocks(spark, d).groupBy("block_idx", "block_key").agg(F.count("*").alias("n"))
+    # normal forms are told apart by fingerprint and hash, so their texts are not moved
+    own = lib(spark, d).where("fp <> 0").select(F.xxhash64("norm").alias("form"), "fp").distinct()
+    return own.select(F.posexplode(fp.blocks(F.col("fp"))).alias("block_idx", "block_key")).groupBy("block_idx", "block_key").agg(F.count("*").alias("n"))
 
 
 def lsh_candidates(spark, d):

@@ -196,3 +196,29 @@ def test_bigrams_are_counted_in_tasks(spark, monkeypatch):
         assert {r["bigram"]: r["n"] for r in found.collect()} == expected
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan  # no row for each place
+
+
+def test_fingerprints_are_made_once(spark):
+    """A filter on fingerprints does not make them again; block values are counted without moving texts."""
+    from tesserae.plans import queries
+
+    texts = spark.createDataFrame(lines(5, 50), "doc_id long, norm string")
+    own = overlap.fingerprinted(texts).where("fp <> 0").select("norm", "fp").distinct()
+    assert own._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    plan = queries.bucket_histogram(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not any("norm" in x for x in plan.splitlines() if "Exchange" in x) and plan.count("ArrowEvalPython") == 1
+
+
+def test_candidates_of_few_forms_are_not_joined_by_blocks(spark, monkeypatch):
+    schema = "doc_id long, text string"
+    lib = overlap.fingerprinted(library.library_sentences(spark.createDataFrame(lines(1, 300) + lines(1, 20), schema)))
+    query = overlap.fingerprinted(library.library_sentences(spark.createDataFrame(lines(2, 30) + lines(1, 40), schema)))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    few = overlap.candidates(query, lib)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and "posexplode" not in plan  # the library's distinct forms only
+    assert few.dtypes == overlap._joined(query, lib).dtypes
+    found = key(few)
+    assert found == key(overlap._joined(query, lib)) and len(found) >= 40
+    monkeypatch.setattr(overlap, "DENSE", 500)
+    assert key(overlap.candidates(query, lib)) == found

@@ -13,11 +13,16 @@ SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 #: The same, one by one.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+#: White space that ends no line, and where a line begins and ends within a text.
+BLANK = r"[\t\x1f\x20\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
+LINE_BEGIN, LINE_STOP = rf"(?<![^{LINE_END}])", rf"(?=[{LINE_END}]|\z)"
 NOT_SPACE = r"[^\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 HEADING = rf"^(?:#{{1,3}}{SPACE}|第[一二三四五六七八九十百]+[章节部分]|[(（]?(?:[一二三四五六七八九十]|[0-9]{{1,2}})[)）]、?{SPACE}*{NOT_SPACE})"
 #: Headings of graded papers do not count hundreds.
 PAPER_HEADING = rf"^(?:#{{1,3}}{SPACE}|第[一二三四五六七八九十]+[章节部分]|[(（]?(?:[一二三四五六七八九十]|[0-9]{{1,2}})[)）]、?{SPACE}*{NOT_SPACE})"
 REFERENCES = rf"^(?:参{SPACE}*考{SPACE}*文{SPACE}*献|References|REFERENCES)$"
+#: The references line within a text, and all that follows.
+FROM_REFERENCES = rf"(?s){LINE_BEGIN}{BLANK}*+(?:参{BLANK}*考{BLANK}*文{BLANK}*献|References|REFERENCES){BLANK}*+{LINE_STOP}.*"
 SENTENCE_END = "。！？!?；;"
 MIN_SENTENCE = 6
 
@@ -36,6 +41,12 @@ def without_end(line: Column) -> Column:
     return F.regexp_replace(line, rf"(?:\r\n|[{LINE_END}])$", "")
 
 
+def beginning(text: Column, first: str) -> Column:
+    """The lines, without their ends, that begin after white space with one of the characters ``first``. One search of the
+    text: other lines do not become values."""
+    return F.regexp_extract_all(text, F.lit(rf"{LINE_BEGIN}{BLANK}*+[{first}][^{LINE_END}]*+"), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     return F.transform(raw_lines(text), without_end)
 

@@ -22,9 +22,8 @@ def body_lines(raw: Column) -> Column:
 
 
 def excluded_chars(text: Column) -> Column:
-    """Characters from the references line to the end."""
-    kept = F.aggregate(body_lines(T.raw_lines(F.coalesce(text, F.lit("")))), F.lit(0), lambda a, x: a + F.char_length(x))
-    return F.char_length(F.coalesce(text, F.lit(""))) - kept
+    """Characters from the references line to the end, by one search of the text."""
+    return F.char_length(F.regexp_extract(F.coalesce(text, F.lit("")), T.FROM_REFERENCES, 0))
 
 
 def starts(sizes: Column) -> Column:

@@ -177,3 +177,27 @@ def test_vector_fallback(spark):
     rows = overlap.all_matches(asked, lib, vectors=vectors).collect()
     assert [(r["q_doc"], r["doc_id"], r["tier"], r["cos"]) for r in rows] == [("a", "l", "semantic", 0.8)]
     assert overlap.all_matches(asked, lib).count() == 0
+
+
+def test_one_search_finds_what_all_lines_give(spark):
+    """Title, headings and the cut at the references by one search of a text, against line by line; lines that do not count
+    do not become values."""
+    import random
+
+    from tesserae.functions import text as T
+
+    bare = lambda x: T.strip(F.regexp_replace(x, "^#+", ""))
+    own = F.transform(T.lines(F.col("t")), T.strip)
+    title = F.coalesce(F.get(F.filter(F.transform(own, bare), lambda x: F.char_length(x) >= 4), F.lit(0)), F.lit(""))
+    headings = F.slice(F.transform(F.filter(own, lambda x: x.rlike(T.PAPER_HEADING) & F.char_length(bare(x)).between(3, 40)), bare), 1, 30)
+    raw = T.raw_lines(F.col("t"))
+    kept = F.aggregate(segment.body_lines(raw), F.lit(0), lambda a, x: a + F.char_length(x))
+    rnd, pieces = random.Random(8), ["\n", "\r\n", "\r", "\x0b", " ", "\x1f", " ", "　", "\t", "# ", "##", "#", "第一章", "第", "(1)", "（二）、", "12)", "References", "REFERENCES", "参 考文　献", "参考文献", "abc", "🙂🙂", "ab", "1. x", "title here", "x" * 30]
+    rows = [("",), (None,), ("#\n##ab\n# 　 # abc  \r\n",), ("a\nReferences\r",), ("\r\nReferences",), (" References x\n参\n考文献\n",)]
+    rows += [("".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 14))),) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "t string").coalesce(1)
+    x = df.select("t", title.alias("t0"), G.title(F.col("t")).alias("t1"), headings.alias("h0"), G.headings(F.col("t")).alias("h1"), F.coalesce(F.char_length("t") - kept, F.lit(0)).alias("c0"), segment.excluded_chars(F.col("t")).alias("c1"))
+    for r in x.collect():
+        assert (r["t0"], r["h0"], r["c0"]) == (r["t1"], r["h1"], r["c1"]), ascii(r["t"])
+    plan = df.select(G.title(F.col("t")), segment.excluded_chars(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "lambda" not in plan

@@ -175,15 +175,17 @@ def _few(forms: DataFrame) -> list | None:
     return forms.collect() if n <= ASKED_FORMS and chars <= ASKED_CHARS else None
 
 
-def _met_by(asked: list, library: DataFrame, keep: list[str]) -> DataFrame:
+def _met_by(asked: list, library: DataFrame, keep: list[str], *, stored: bool = False) -> DataFrame:
     """The rows of the library (its columns ``keep``) with what they match of the asked normal forms (norm, fp): q_norm, d,
-    m, min_block. The forms are broadcast; a task compares each normal form of a batch once, and only matches leave it."""
-    names = [r["norm"] for r in asked]
+    m, min_block. The forms are broadcast; a task compares each normal form of a batch once, and only matches leave it. Where
+    the fingerprints are not ``stored``, the task makes them, for forms whose length leaves a match possible."""
+    names, kept_from = [r["norm"] for r in asked], 2 if stored else 1
     held = library.sparkSession.sparkContext.broadcast((names, np.array([r["fp"] for r in asked], np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, prints = held.value
         size = np.fromiter(map(len, asked), np.int64, len(asked))
+        sizes = np.unique(size)
         for batch in batches:
             step = max(1, DENSE // max(1, len(asked)))
             for begin in range(0, batch.num_rows if asked else 0, step):
@@ -191,10 +193,15 @@ def _met_by(asked: list, library: DataFrame, keep: list[str]) -> DataFrame:
                 norm = rows.column(0).dictionary_encode()
                 form = np.asarray(norm.indices.cast(pa.int32()).fill_null(-1))
                 texts = norm.dictionary.to_pylist()
+                lengths = np.fromiter(map(len, texts), np.int64, len(texts))
                 own = np.zeros(len(texts), np.int64)  # a form has one fingerprint
-                own[form[form >= 0]] = np.asarray(rows.column(1).fill_null(0))[form >= 0]
+                if stored:
+                    own[form[form >= 0]] = np.asarray(rows.column(kept_from - 1).fill_null(0))[form >= 0]
+                else:
+                    some = np.flatnonzero((20 * np.abs(lengths[:, None] - sizes) < 9 * np.maximum(lengths[:, None], sizes)).any(axis=1))
+                    own[some] = fp._simhashes([texts[i] for i in some])
                 t, q, _, first = _near(own, prints)
-                length = np.fromiter(map(len, texts), np.int64, len(texts))[t]
+                length = lengths[t]
                 longest = np.maximum(length, size[q])
                 fine = np.flatnonzero(20 * np.abs(length - size[q]) < 9 * longest)
                 t, q, m, first = t[fine], q[fine], longest[fine], first[fine]
@@ -206,12 +213,13 @@ def _met_by(asked: list, library: DataFrame, keep: list[str]) -> DataFrame:
                 row = np.repeat(np.arange(len(form)), hi - lo)
                 pair = order[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange(len(row))]
                 if len(row):
-                    kept = rows.take(pa.array(row)).columns[2:]
+                    kept = rows.take(pa.array(row)).columns[kept_from:]
                     found = pa.array([asked[i] for i in q[pair]], pa.string()), *(pa.array(x[pair], pa.int32()) for x in (d, m, first))
                     yield pa.RecordBatch.from_arrays([*kept, *found], [*keep, "q_norm", "d", "m", "min_block"])
 
     kinds = "".join(f"`{c}` {library.schema[c].dataType.simpleString()}, " for c in keep)
-    return library.select("norm", "fp", *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]).mapInArrow(run, f"{kinds}q_norm string, d int, m int, min_block int")
+    own = ["norm", "fp"] if stored else ["norm"]
+    return library.select(*own, *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]).mapInArrow(run, f"{kinds}q_norm string, d int, m int, min_block int")
 
 
 def _tiered(x: DataFrame) -> DataFrame:
@@ -238,15 +246,15 @@ def literal_pairs(query: DataFrame, library: DataFrame) -> DataFrame:
     return x.select("q_norm", "norm", "d", "m", "sim", "tier", "min_block")
 
 
-def literal_matches(query: DataFrame, library: DataFrame) -> DataFrame:
+def literal_matches(query: DataFrame, library: DataFrame, *, stored: bool = False) -> DataFrame:
     """Matches by fingerprint and edit similarity. A query side of bounded size is broadcast, and the library is read once;
     beyond, verified pairs of normal forms meet the sentences again. The matches are held on disk, as what follows
-    reads them several times."""
+    reads them several times. ``stored``: the library's fingerprints are read, not made."""
     asked = _asked(query)
     if asked is None:
         return placed(verified(_joined(query, library)), query, library)
     s = library.select("doc_id", F.col("idx").alias("s_idx"), F.col("display").alias("s_display"), "norm", "fp")
-    found = _tiered(_met_by(asked, s, ["doc_id", "s_idx", "s_display"])).withColumn("cos", F.lit(0.0))
+    found = _tiered(_met_by(asked, s, ["doc_id", "s_idx", "s_display"], stored=stored)).withColumn("cos", F.lit(0.0))
     q = query.select(F.col("doc_id").alias("q_doc"), F.col("idx").alias("q_idx"), F.col("norm").alias("q_norm"))
     return found.join(F.broadcast(q), "q_norm").select(*_MATCH).persist(StorageLevel.DISK_ONLY)
 

@@ -175,7 +175,7 @@ class SentenceStore:
         the pairs."""
         if overlap.few(query):
             wanted = self._sharing(query).select("norm_id").distinct().withColumn("slot", F.pmod("norm_id", F.lit(SLOTS)).cast("int")).persist(StorageLevel.DISK_ONLY)
-            return overlap.literal_matches(query, self._sentences_of(wanted))
+            return overlap.literal_matches(query, self._sentences_of(wanted), stored=True)
         pairs = self.candidates(query).withColumn("slot", F.pmod("norm_id", F.lit(SLOTS)).cast("int")).persist(StorageLevel.DISK_ONLY)
         sents = self._sentences_of(pairs.select("norm_id", "slot").distinct())
         named = pairs.join(sents.select("slot", "norm_id", "norm").distinct(), ["slot", "norm_id"]).select("q_norm", "norm", "distance", "min_block")

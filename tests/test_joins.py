@@ -56,6 +56,28 @@ def test_long_texts():
     assert sm.tier_distances([a, a[:70]], [b, a[:69]]).tolist() == [12, 1]
 
 
+def test_unlike_pairs_leave_early(monkeypatch):
+    """Distances of few patterns and many texts, shifted ones too, are those of the plain table; of unlike pairs a part of
+    the characters is not looked at."""
+    rnd = random.Random(7)
+    said = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    patterns = [said(n) for n in (1, 20, 63, 64, 65, 129, 150)]
+    texts = [said(rnd.randint(1, 220)) for _ in range(60)] + [x for a in patterns for x in (said(30) + a, a + said(30), a[len(a) // 3 :] + a[: len(a) // 3], a[: len(a) // 2] + said(len(a) // 3) + a[len(a) // 2 :])]
+    p, t = np.repeat(np.arange(len(patterns)), len(texts)), np.tile(np.arange(len(texts)), len(patterns))
+    expected = sm.tier_distances([patterns[i] for i in p], [texts[i] for i in t])
+    m = np.array([max(len(patterns[i]), len(texts[j])) for i, j in zip(p, t)])
+    plain = np.array([plain_distance(patterns[i], texts[j]) for i, j in zip(p, t)])
+    fits = np.array([20 * abs(len(patterns[i]) - len(texts[j])) < 9 * x for i, j, x in zip(p, t, m)])
+    inner = 20 * plain != 9 * m  # on the border the cut-off decides
+    assert (sm.tier_distances_to(patterns, texts, p, t)[inner] == np.where(fits & (20 * plain < 9 * m), plain, m)[inner]).all()
+    assert (sm.tier_distances_to(patterns, texts, p, t) == expected).all()
+    looked, columns = [], sm._columns
+    monkeypatch.setattr(sm, "_columns", lambda masks, place, *x: columns(masks, lambda j, own: looked.append(len(own)) or place(j, own), *x))
+    long = [said(150) for _ in range(400)]
+    assert (sm.tier_distances_to(patterns[-1:], long, np.zeros(400, int), np.arange(400)) == 150).all()
+    assert 0 < sum(looked) < 0.95 * 400 * 150
+
+
 def lines(seed, n, least=12):
     rnd = random.Random(seed)
     common = ["the ", "of and ", "in this "]
@@ -147,6 +169,8 @@ def test_a_bounded_query_side_moves_no_candidates(spark, monkeypatch):
     some = query.where("fp <> 0").select("norm", "fp").distinct().collect()
     plan = overlap._met_by(some, lib, ["norm"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+    unheld = overlap.fingerprinted(library.library_sentences(spark.createDataFrame(lines(1, 30), schema)))  # prints are made where they are compared
+    assert "ArrowEvalPython" not in overlap._met_by(some, unheld, ["norm"])._jdf.queryExecution().executedPlan().toString()
     forms = sorted({r["norm"] for r in query.collect()})
     s = lib.select("doc_id", F.col("idx").alias("s_idx"), F.col("display").alias("s_display"), "norm")
     assert overlap._shared_broadcast(query.select(F.col("norm").alias("q_norm")).distinct(), lib).join(lib, "norm").count() > 3 * len(forms)

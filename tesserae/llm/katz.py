@@ -28,6 +28,8 @@ from .shingles import mix, slices, word_hashes
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _U = np.uint64
+#: Bytes of text whose n-grams a part of the tables has at most: some two million entries of chunks.
+PART_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -71,6 +73,20 @@ def unpack_counts(data: bytes) -> np.ndarray:
 # ---- a chunk ----
 
 
+def _distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and at each position the index of its value, in four bytes: a chunk is far shorter than
+    two thousand million tokens, and several of these are held at once."""
+    order = np.argsort(g)
+    g = g[order]
+    new = np.ones(len(g), bool)
+    np.not_equal(g[1:], g[:-1], out=new[1:])
+    types = g[new]
+    del g
+    inverse = np.empty(len(order), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return types, inverse
+
+
 def _extended(before: np.ndarray, token: np.ndarray, m: int) -> np.ndarray:
     """The hash of an m-gram from that of its first m - 1 tokens and the last one."""
     return mix(before * _U(0x9E3779B97F4A7C15) + token + _U(m))
@@ -85,13 +101,13 @@ class Chunk:
         self.starts = ends - lengths
         held = [zlib.crc32(b"" if z else str(k).encode()) % 5 == 1 for k, z in zip(keys.tolist(), null.tolist())]
         self.held = np.array(held, bool)
-        self.doc = np.repeat(np.arange(len(lengths)), lengths)
+        self.doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         self.train = ~self.held[self.doc]
         self.is_start = np.zeros(len(tokens), bool)
         self.is_start[self.starts] = True
 
     def to_bytes(self) -> bytes:
-        vocabulary, local = np.unique(self.tokens, return_inverse=True)
+        vocabulary, local = _distinct(self.tokens)
         parts = [pack_sorted(vocabulary), zlib.compress(np.ascontiguousarray(local.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1), self.keys.astype("<i8").tobytes(), self.null.astype(np.uint8).tobytes(), self.lengths.astype("<i8").tobytes()]
         return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
@@ -106,18 +122,17 @@ class Chunk:
         local = np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
         return cls(np.frombuffer(parts[2], "<i8"), np.frombuffer(parts[3], np.uint8).astype(bool), np.frombuffer(parts[4], "<i8"), unpack_sorted(parts[0])[local])
 
-    def grams(self, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each level: the sorted distinct n-grams, and at each position the index of the one that ends there.
         Before a document's beginning stand further STARTs."""
-        out, g, before = [], self.tokens, START
+        g, before = self.tokens, START
         for m in range(1, order + 1):
             if m > 1:
                 previous = np.empty_like(g)
                 previous[1:] = g[:-1]
                 previous[self.starts] = before
                 g, before = _extended(previous, self.tokens, m), _extended(np.array([before]), np.array([START]), m)[0]
-            out.append(np.unique(g, return_inverse=True))
-        return out
+            yield _distinct(g)
 
 
 def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -146,6 +161,8 @@ def _messages(rows: DataFrame, folder: str, model: Katz, parts: int) -> DataFram
     def finish(number: int, held: list) -> Iterator[pa.RecordBatch]:
         keys, null, lengths, tokens = zip(*held)
         chunk = Chunk(np.array(keys, np.int64), np.array(null, bool), np.array(lengths, np.int64), np.concatenate(tokens))
+        held.clear()
+        del tokens
         fs, path = _path(folder, number)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         own = f"{path}.{TaskContext.get().taskAttemptId()}"
@@ -154,6 +171,7 @@ def _messages(rows: DataFrame, folder: str, model: Katz, parts: int) -> DataFram
         fs.move(own, path)
         for level, (types, inverse) in enumerate(chunk.grams(model.order), 1):
             count = np.bincount(inverse[chunk.train], minlength=len(types))
+            del inverse
             cuts = _cuts(types, parts)
             for p in range(parts):
                 s = slice(cuts[p], cuts[p + 1])
@@ -196,7 +214,7 @@ def _count(messages: DataFrame, model: Katz, parts: int) -> DataFrame:
 
     def finish(level: int, part: int, held: list) -> Iterator[pa.RecordBatch]:
         keys = [unpack_sorted(k) for _, k, _ in held]
-        types, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        types, inverse = _distinct(np.concatenate(keys))
         counts = np.concatenate([unpack_counts(c) for _, _, c in held])
         total = np.zeros(len(types), np.int64)
         np.add.at(total, inverse, counts)
@@ -268,7 +286,7 @@ class Scored:
     """A chunk with the tables' answers: probabilities of its distinct n-grams, level by level."""
 
     def __init__(self, chunk: Chunk, answers: dict[int, np.ndarray], stats: Stats, model: Katz) -> None:
-        self.chunk, self.grams, self.stats, self.model = chunk, chunk.grams(model.order), stats, model
+        self.chunk, self.grams, self.stats, self.model = chunk, list(chunk.grams(model.order)), stats, model
         self.total = {m: answers[m] >> 1 for m in range(1, model.order + 1)}
         self.owned = {m: (answers[m] & 1).astype(bool) for m in range(1, model.order + 1)}
         c = self.total[1]
@@ -374,7 +392,7 @@ def _weights(answers: DataFrame, folder: str, stats: Stats, model: Katz, m: int,
 
     def finish(part: int, held: list) -> Iterator[pa.RecordBatch]:
         keys = [unpack_sorted(x[1]) for x in held]
-        types, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        types, inverse = _distinct(np.concatenate(keys))
         sums, total, at = np.zeros((2, len(types))), np.zeros(len(types), np.int64), 0
         places = []
         for (_, _, t, i, s), k in zip(held, keys):
@@ -404,6 +422,12 @@ def _weights(answers: DataFrame, folder: str, stats: Stats, model: Katz, m: int,
     return asked.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "chunk").mapInArrow(run, "level int, part int, chunk long, answer binary")
 
 
+def _parts(rows: DataFrame) -> int:
+    """Parts of the tables: as many as shuffles have, more for larger texts, so that what a task holds does not grow."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_partitions(rows.sparkSession), -(-size // PART_BYTES))
+
+
 def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: Katz = Katz()) -> DataFrame:
     """Train on four fifths of the documents (crc32 of the id as text, modulo 5, is not 1) and score them all.
 
@@ -413,9 +437,9 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mode
     Without training documents every word is unknown. An empty table gives an empty one.
     """
     spark = df.sparkSession
-    parts = shuffle_partitions(spark)
     folder = shared_dir(spark, "katz")
     rows = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    parts = _parts(rows)
     counted = stored(_count(_messages(rows, folder, model, parts), model, parts), "katz-counts")
     stats = _stats(counted.where("chunk is null").collect(), model)  # a row for each level and part
     answers = counted.where("chunk is not null").select("level", "part", "chunk", "answer")
@@ -427,17 +451,19 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mode
         chunk, n = scored.chunk, len(scored.chunk.lengths)
         use = ~chunk.is_start
         doc = chunk.doc[use]
-        c = scored.total[1][scored.grams[0][1][use]]
-        p = scored.p[model.order][scored.grams[model.order - 1][1][use]]
+        word, gram, c = scored.grams[0][1][use], scored.grams[model.order - 1][1][use], scored.total[1]
+        # logarithms of distinct words and n-grams, then their places
         base = np.log10((c + 0.5) / (stats.tokens + 0.5 * (stats.types + 1)))
+        with np.errstate(divide="ignore"):  # of a START no probability is asked
+            p = np.log10(scored.p[model.order])
         return pa.table({
             "doc_id": pa.array(chunk.keys, pa.int64(), mask=chunk.null),
             "held_out": pa.array(chunk.held),
             "n_tokens": pa.array(chunk.lengths - 1, pa.int64()),
-            "n_known": pa.array(np.bincount(doc, c > 0, n).astype(np.int64)),
+            "n_known": pa.array(np.bincount(doc, (c > 0)[word], n).astype(np.int64)),
             "train_tokens": pa.array(np.full(n, stats.tokens, np.int64)),
-            "base_score": pa.array(np.bincount(doc, base, n)),
-            "score": pa.array(np.bincount(doc, np.log10(p), n)),
+            "base_score": pa.array(np.bincount(doc, base[word], n)),
+            "score": pa.array(np.bincount(doc, p[gram], n)),
         })
 
     return answers.groupBy("chunk").applyInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

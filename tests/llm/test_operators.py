@@ -374,6 +374,24 @@ def test_katz(spark, order):
     assert katz.score(empty(spark)).count() == 0
 
 
+def test_katz_memory(spark, monkeypatch):
+    """A chunk takes four bytes for each place, and parts of the tables follow the text; the scores stay."""
+    rnd = np.random.default_rng(3)
+    tokens = rnd.integers(1, 50_000, 300_000).astype(np.uint64)
+    chunk = katz.Chunk(np.arange(1), np.zeros(1, bool), np.array([len(tokens)]), tokens)
+    for _, inverse in chunk.grams(2):
+        assert inverse.dtype.itemsize == 4
+    assert chunk.doc.dtype.itemsize == 4
+    texts = [" ".join(f"w{(i * k) % 17}" for k in range(20)) for i in range(40)]
+    docs = table(spark, texts)
+    before = sorted(katz.score(docs).collect())
+    monkeypatch.setattr(katz, "PART_BYTES", 100)
+    assert katz._parts(docs.select("text")) == -(-sum(map(len, texts)) // 100) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    after = sorted(katz.score(docs).collect())
+    assert [r[:6] for r in after] == [r[:6] for r in before] and np.allclose([r["score"] for r in after], [r["score"] for r in before], rtol=1e-12)
+
+
+
 # ---- 8 ----
 
 

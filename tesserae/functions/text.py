@@ -43,8 +43,9 @@ def without_end(line: Column) -> Column:
 
 def beginning(text: Column, first: str) -> Column:
     """The lines, without their ends, that begin after white space with one of the characters ``first``. One search of the
-    text: other lines do not become values."""
-    return F.regexp_extract_all(text, F.lit(rf"{LINE_BEGIN}{BLANK}*+[{first}][^{LINE_END}]*+"), F.lit(0))
+    text: other lines do not become values. It looks for line ends, one before the text included, as to look back from each
+    character takes many times as long."""
+    return F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(rf"[{LINE_END}]({BLANK}*+[{first}][^{LINE_END}]*+)"), F.lit(1))
 
 
 def lines(text: Column) -> Column:

@@ -201,3 +201,14 @@ def test_one_search_finds_what_all_lines_give(spark):
         assert (r["t0"], r["h0"], r["c0"]) == (r["t1"], r["h1"], r["c1"]), ascii(r["t"])
     plan = df.select(G.title(F.col("t")), segment.excluded_chars(F.col("t")))._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan and "lambda" not in plan
+
+
+def test_beginning_looks_for_line_ends(spark):
+    """The lines that begin with a mark, at all line ends and the text's beginning; the search does not look back from each
+    character."""
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\n\n"]
+    texts = ["# a" + e + " \t# b x" + e + "no # c" + e + "　#d" + e for e in ends] + ["", "#", "x#", " #\n#", None]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.beginning(F.col("t"), "#").alias("b"))
+    assert "(?<" not in found._jdf.queryExecution().optimizedPlan().toString()
+    expected = [None if t is None else [x for x in t.splitlines() if x.strip(T.SPACES)[:1] == "#"] for t in texts]
+    assert [r["b"] for r in found.orderBy("i").collect()] == expected

@@ -246,3 +246,24 @@ def test_candidates_of_few_forms_are_not_joined_by_blocks(spark, monkeypatch):
     assert found == key(overlap._joined(query, lib)) and len(found) >= 40
     monkeypatch.setattr(overlap, "DENSE", 500)
     assert key(overlap.candidates(query, lib)) == found
+
+
+def test_pairs_far_beyond_their_limit_are_dropped_early(monkeypatch):
+    """Most pairs of texts of one language differ by far more than their limit: they leave in narrow windows, so few are
+    measured. Distances are as before, also with few pairs at once, patterns in parts, and texts in other letters."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(["th", "e", "ing", "on", "a", "s", "re"]) for _ in range(rnd.randint(20, 160))) for _ in range(120)]
+    patterns = [*texts[:12], "漢" * 80, texts[3][:50] + "q" * 9 + texts[3][50:]]
+    p, t = np.repeat(np.arange(len(patterns)), len(texts)), np.tile(np.arange(len(texts)), len(patterns))
+    expected = sm.tier_distances([patterns[i] for i in p], [texts[i] for i in t])
+    measured, columns = [], sm._columns
+    monkeypatch.setattr(sm, "_FEW", 1)
+    monkeypatch.setattr(sm, "_columns", lambda masks, place, m, *rest: measured.append(len(m)) or columns(masks, place, m, *rest))
+    assert (sm.tier_distances_to(patterns, texts, p, t) == expected).all()
+    m = np.array([max(len(patterns[i]), len(texts[j])) for i, j in zip(p, t)])
+    near = sum(20 * abs(len(patterns[i]) - len(texts[j])) < 9 * k for i, j, k in zip(p, t, m))
+    assert (expected < m).sum() <= sum(measured) < near / 4
+    for lanes, table in ((5, sm._TABLE), (sm._LANES, 1 << 12)):
+        monkeypatch.setattr(sm, "_LANES", lanes)
+        monkeypatch.setattr(sm, "_TABLE", table)
+        assert (sm.tier_distances_to(patterns, texts, p, t) == expected).all()

@@ -6,7 +6,7 @@ have ``fp`` as well. Matches: q_doc, q_idx, doc_id, s_idx, s_display, d, m, sim,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ ASKED_FORMS, ASKED_CHARS = 4096, 1_000_000
 DENSE = 4_000_000  # counters of one batch
 WIDE = 2048  # bigrams of asked forms that are columns of a matrix
 _SHIFTS, _BLOCK = np.arange(fp.BLOCKS, dtype=np.uint64) * np.uint64(fp.BLOCK_BITS), np.uint64((1 << fp.BLOCK_BITS) - 1)
+#: Columns of a library row for containment, and what a task adds.
+_ROW, _BEST = ("norm", "doc_id", "s_idx", "s_display"), "best array<struct<q:int,score:double>>"
 _MATCH = ("q_doc", "q_idx", "doc_id", "s_idx", "s_display", "d", "m", "sim", "tier", "cos", "min_block")
 
 
@@ -175,47 +177,57 @@ def _few(forms: DataFrame) -> list | None:
     return forms.collect() if n <= ASKED_FORMS and chars <= ASKED_CHARS else None
 
 
+def _meets(asked: list, keep: list[str], *, stored: bool = False) -> tuple[Callable[[pa.RecordBatch, list, np.ndarray], Iterator[pa.RecordBatch]], tuple]:
+    """What a task does with a batch of the library (norm, with ``stored`` fp, then the columns ``keep``): the batch's rows
+    with what they match of the asked normal forms; and what is broadcast for it."""
+    names, kept_from = [r["norm"] for r in asked], 2 if stored else 1
+
+    def run(batch: pa.RecordBatch, asked: list, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = np.fromiter(map(len, asked), np.int64, len(asked))
+        sizes = np.unique(size)
+        step = max(1, DENSE // max(1, len(asked)))
+        for begin in range(0, batch.num_rows if asked else 0, step):
+            rows = batch.slice(begin, step)
+            norm = rows.column(0).dictionary_encode()
+            form = np.asarray(norm.indices.cast(pa.int32()).fill_null(-1))
+            texts = norm.dictionary.to_pylist()
+            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+            own = np.zeros(len(texts), np.int64)  # a form has one fingerprint
+            if stored:
+                own[form[form >= 0]] = np.asarray(rows.column(kept_from - 1).fill_null(0))[form >= 0]
+            else:
+                some = np.flatnonzero((20 * np.abs(lengths[:, None] - sizes) < 9 * np.maximum(lengths[:, None], sizes)).any(axis=1))
+                own[some] = fp._simhashes([texts[i] for i in some])
+            t, q, _, first = _near(own, prints)
+            length = lengths[t]
+            longest = np.maximum(length, size[q])
+            fine = np.flatnonzero(20 * np.abs(length - size[q]) < 9 * longest)
+            t, q, m, first = t[fine], q[fine], longest[fine], first[fine]
+            d = sm.tier_distances_to(asked, texts, q, t)
+            fine = np.flatnonzero((20 * d <= 9 * m) & (d < m))
+            order = fine[np.argsort(t[fine], kind="stable")]
+            # every row of a form that matches, once for each match
+            lo, hi = np.searchsorted(t[order], form, side="left"), np.searchsorted(t[order], form, side="right")
+            row = np.repeat(np.arange(len(form)), hi - lo)
+            pair = order[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange(len(row))]
+            if len(row):
+                kept = rows.take(pa.array(row)).columns[kept_from:]
+                found = pa.array([asked[i] for i in q[pair]], pa.string()), *(pa.array(x[pair], pa.int32()) for x in (d, m, first))
+                yield pa.RecordBatch.from_arrays([*kept, *found], [*keep, "q_norm", "d", "m", "min_block"])
+
+    return run, (names, np.array([r["fp"] for r in asked], np.int64))
+
+
 def _met_by(asked: list, library: DataFrame, keep: list[str], *, stored: bool = False) -> DataFrame:
     """The rows of the library (its columns ``keep``) with what they match of the asked normal forms (norm, fp): q_norm, d,
     m, min_block. The forms are broadcast; a task compares each normal form of a batch once, and only matches leave it. Where
     the fingerprints are not ``stored``, the task makes them, for forms whose length leaves a match possible."""
-    names, kept_from = [r["norm"] for r in asked], 2 if stored else 1
-    held = library.sparkSession.sparkContext.broadcast((names, np.array([r["fp"] for r in asked], np.int64)))
+    meet, forms = _meets(asked, keep, stored=stored)
+    held = library.sparkSession.sparkContext.broadcast(forms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, prints = held.value
-        size = np.fromiter(map(len, asked), np.int64, len(asked))
-        sizes = np.unique(size)
         for batch in batches:
-            step = max(1, DENSE // max(1, len(asked)))
-            for begin in range(0, batch.num_rows if asked else 0, step):
-                rows = batch.slice(begin, step)
-                norm = rows.column(0).dictionary_encode()
-                form = np.asarray(norm.indices.cast(pa.int32()).fill_null(-1))
-                texts = norm.dictionary.to_pylist()
-                lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-                own = np.zeros(len(texts), np.int64)  # a form has one fingerprint
-                if stored:
-                    own[form[form >= 0]] = np.asarray(rows.column(kept_from - 1).fill_null(0))[form >= 0]
-                else:
-                    some = np.flatnonzero((20 * np.abs(lengths[:, None] - sizes) < 9 * np.maximum(lengths[:, None], sizes)).any(axis=1))
-                    own[some] = fp._simhashes([texts[i] for i in some])
-                t, q, _, first = _near(own, prints)
-                length = lengths[t]
-                longest = np.maximum(length, size[q])
-                fine = np.flatnonzero(20 * np.abs(length - size[q]) < 9 * longest)
-                t, q, m, first = t[fine], q[fine], longest[fine], first[fine]
-                d = sm.tier_distances_to(asked, texts, q, t)
-                fine = np.flatnonzero((20 * d <= 9 * m) & (d < m))
-                order = fine[np.argsort(t[fine], kind="stable")]
-                # every row of a form that matches, once for each match
-                lo, hi = np.searchsorted(t[order], form, side="left"), np.searchsorted(t[order], form, side="right")
-                row = np.repeat(np.arange(len(form)), hi - lo)
-                pair = order[np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange(len(row))]
-                if len(row):
-                    kept = rows.take(pa.array(row)).columns[kept_from:]
-                    found = pa.array([asked[i] for i in q[pair]], pa.string()), *(pa.array(x[pair], pa.int32()) for x in (d, m, first))
-                    yield pa.RecordBatch.from_arrays([*kept, *found], [*keep, "q_norm", "d", "m", "min_block"])
+            yield from meet(batch, *held.value)
 
     kinds = "".join(f"`{c}` {library.schema[c].dataType.simpleString()}, " for c in keep)
     own = ["norm", "fp"] if stored else ["norm"]
@@ -254,9 +266,13 @@ def literal_matches(query: DataFrame, library: DataFrame, *, stored: bool = Fals
     if asked is None:
         return placed(verified(_joined(query, library)), query, library)
     s = library.select("doc_id", F.col("idx").alias("s_idx"), F.col("display").alias("s_display"), "norm", "fp")
-    found = _tiered(_met_by(asked, s, ["doc_id", "s_idx", "s_display"], stored=stored)).withColumn("cos", F.lit(0.0))
+    return _with_sentences(_met_by(asked, s, ["doc_id", "s_idx", "s_display"], stored=stored), query).persist(StorageLevel.DISK_ONLY)
+
+
+def _with_sentences(found: DataFrame, query: DataFrame) -> DataFrame:
+    """Matches of asked forms as those of the query's sentences."""
     q = query.select(F.col("doc_id").alias("q_doc"), F.col("idx").alias("q_idx"), F.col("norm").alias("q_norm"))
-    return found.join(F.broadcast(q), "q_norm").select(*_MATCH).persist(StorageLevel.DISK_ONLY)
+    return _tiered(found).withColumn("cos", F.lit(0.0)).join(F.broadcast(q), "q_norm").select(*_MATCH)
 
 
 def placed(pairs: DataFrame, query: DataFrame, library: DataFrame) -> DataFrame:
@@ -375,74 +391,93 @@ def _shared_broadcast(forms: DataFrame, library: DataFrame) -> DataFrame:
     return library.select("norm").distinct().mapInArrow(count_shared, "q_norm string, norm string, score double")
 
 
-def _top_broadcast(asked: list[str], library: DataFrame, k: int) -> DataFrame:
-    """Of library rows (norm, doc_id, s_idx, display) the k best of each asked form, with q_norm, score and rank. A task
-    keeps k for each form and lets each row leave once, at its end, however many forms it is best for: rows may be long, and
-    a long line contains the bigrams of many forms. Ranks are found without the texts, which then come for the best only;
-    the tasks' rows are held on disk meanwhile."""
-    spark = library.sparkSession
-    held = spark.sparkContext.broadcast((asked, *_bigram_rows(asked)))
-    names = ["norm", "doc_id", "s_idx", "s_display"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, *sets = held.value
-        lists, kept = _Asked(len(names), *sets), None
-        q, score, row = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)  # row: of what is kept
-        floor = np.full(len(names), sm.CONTAIN_RECALL)
-        for batch in batches:
-            batch = _in_order(pa.Table.from_batches([batch])).combine_chunks()  # so a row's number decides between equal scores
-            norm = batch.column(0).combine_chunks().dictionary_encode()
-            form = np.asarray(norm.indices.cast(pa.int32()).fill_null(-1))
-            rows = np.argsort(form, kind="stable")
-            begin, end = (np.searchsorted(form[rows], np.arange(len(norm.dictionary)), side=x) for x in ("left", "right"))
-            new_q, new_s, new_t = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
-            for at, share in lists.scores(norm.dictionary.to_pylist()):
-                for _ in range(min(k, share.shape[1]) if len(names) else 0):  # forms stand by their first rows, of equal ones the first is taken
-                    t = share.argmax(axis=1)
-                    most = share[np.arange(len(t)), t]
-                    some = np.flatnonzero(most >= floor)
-                    if not len(some):
-                        break
-                    new_q.append(some)
-                    new_s.append(most[some])
-                    new_t.append(t[some] + at)
-                    share[np.arange(len(t)), t] = -1.0
-            t, own_q, own_s = map(np.concatenate, (new_t, new_q, new_s))
-            if not len(t):
-                continue
-            first = _first(own_q, own_s, t, k)
-            t, own_q, own_s = t[first], own_q[first], own_s[first]
-            count = np.minimum(end[t] - begin[t], k)  # a form's first rows
-            own_row = rows[np.repeat(begin[t] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-            taken, own_row = np.unique(own_row, return_inverse=True)
-            some = batch.take(pa.array(taken))
-            q, score = np.concatenate((q, np.repeat(own_q, count))), np.concatenate((score, np.repeat(own_s, count)))
-            row = np.concatenate((row, own_row + (0 if kept is None else kept.num_rows)))
-            kept = some if kept is None else pa.concat_tables([kept, some])
-            place = np.empty(kept.num_rows, np.int64)
-            place[_order_of(kept)] = np.arange(kept.num_rows)
-            first = _first(q, score, place[row], k)
-            q, score = q[first], score[first]
-            taken, row = np.unique(row[first], return_inverse=True)
-            kept = kept.take(pa.array(taken))
-            full = np.bincount(q, minlength=len(floor)) >= k
-            least = np.full(len(floor), np.inf)
-            np.minimum.at(least, q, score)
-            floor = np.where(full, least, floor)
+class _Tops:
+    """Of library rows (norm, doc_id, s_idx, display) that a task sees the k best of each asked form. Each row is held once,
+    however many forms it is best for: rows may be long, and a long line contains the bigrams of many forms."""
+
+    def __init__(self, k: int, names: list[str], *sets: np.ndarray) -> None:
+        self.k, self.lists, self.kept = k, _Asked(len(names), *sets), None
+        self.q, self.score, self.row = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)  # row: of what is kept
+        self.floor = np.full(len(names), sm.CONTAIN_RECALL)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        k, q, score, row = self.k, self.q, self.score, self.row
+        batch = _in_order(pa.Table.from_batches([batch])).combine_chunks()  # so a row's number decides between equal scores
+        norm = batch.column(0).combine_chunks().dictionary_encode()
+        form = np.asarray(norm.indices.cast(pa.int32()).fill_null(-1))
+        rows = np.argsort(form, kind="stable")
+        begin, end = (np.searchsorted(form[rows], np.arange(len(norm.dictionary)), side=x) for x in ("left", "right"))
+        new_q, new_s, new_t = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        for at, share in self.lists.scores(norm.dictionary.to_pylist()):
+            for _ in range(min(k, share.shape[1]) if len(self.floor) else 0):  # forms stand by their first rows, of equal ones the first is taken
+                t = share.argmax(axis=1)
+                most = share[np.arange(len(t)), t]
+                some = np.flatnonzero(most >= self.floor)
+                if not len(some):
+                    break
+                new_q.append(some)
+                new_s.append(most[some])
+                new_t.append(t[some] + at)
+                share[np.arange(len(t)), t] = -1.0
+        t, own_q, own_s = map(np.concatenate, (new_t, new_q, new_s))
+        if not len(t):
+            return
+        first = _first(own_q, own_s, t, k)
+        t, own_q, own_s = t[first], own_q[first], own_s[first]
+        count = np.minimum(end[t] - begin[t], k)  # a form's first rows
+        own_row = rows[np.repeat(begin[t] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        taken, own_row = np.unique(own_row, return_inverse=True)
+        some = batch.take(pa.array(taken))
+        q, score = np.concatenate((q, np.repeat(own_q, count))), np.concatenate((score, np.repeat(own_s, count)))
+        row = np.concatenate((row, own_row + (0 if self.kept is None else self.kept.num_rows)))
+        self.kept = some if self.kept is None else pa.concat_tables([self.kept, some])
+        place = np.empty(self.kept.num_rows, np.int64)
+        place[_order_of(self.kept)] = np.arange(self.kept.num_rows)
+        first = _first(q, score, place[row], k)
+        q, score = q[first], score[first]
+        taken, row = np.unique(row[first], return_inverse=True)
+        self.kept = self.kept.take(pa.array(taken))
+        full = np.bincount(q, minlength=len(self.floor)) >= k
+        least = np.full(len(self.floor), np.inf)
+        np.minimum.at(least, q, score)
+        self.floor = np.where(full, least, self.floor)
+        self.q, self.score, self.row = q, score, row
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """The rows held, each with ``best``: the forms it is best for, and scores."""
+        kept, q, score, row = self.kept, self.q, self.score, self.row
         if kept is not None:
             order = np.argsort(row, kind="stable")
             ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=kept.num_rows)))).astype(np.int32)
             best = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(q[order].astype(np.int32)), pa.array(score[order])], ["q", "score"]))
             yield from kept.append_column("best", best).to_batches(max_chunksize=1024)
 
-    kinds = ", ".join(f"{c} {library.schema[c].dataType.simpleString()}" for c in names)
-    hits = library.select(*names).mapInArrow(run, f"{kinds}, best array<struct<q:int,score:double>>").withColumn("hit", F.xxhash64(*names)).persist(StorageLevel.DISK_ONLY)
+
+def _top_broadcast(asked: list[str], library: DataFrame, k: int) -> DataFrame:
+    """Of library rows (norm, doc_id, s_idx, display) the k best of each asked form, with q_norm, score and rank. A task
+    keeps k for each form and lets each row leave once, at its end."""
+    held = library.sparkSession.sparkContext.broadcast((asked, *_bigram_rows(asked)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops = _Tops(k, *held.value)
+        for batch in batches:
+            tops.add(batch)
+        yield from tops.rows()
+
+    kinds = ", ".join(f"{c} {library.schema[c].dataType.simpleString()}" for c in _ROW)
+    return _top_of_tasks(asked, library.select(*_ROW).mapInArrow(run, f"{kinds}, {_BEST}").withColumn("hit", F.xxhash64(*_ROW)).persist(StorageLevel.DISK_ONLY), k)
+
+
+def _top_of_tasks(asked: list[str], hits: DataFrame, k: int) -> DataFrame:
+    """The k best of each asked form of what the tasks have kept (hits: held on disk). Ranks are found without the texts,
+    which then come for the best only."""
+    spark = hits.sparkSession
     w = Window.partitionBy("q").orderBy(F.col("score").desc(), "doc_id", "s_idx")
     top = hits.select("hit", "doc_id", "s_idx", F.inline("best")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     # k rows for each form at most, without texts
     texts = hits.select("hit", "norm", "s_display").join(F.broadcast(top.select("hit").distinct()), "hit", "left_semi").dropDuplicates(["hit"])
     named = F.broadcast(spark.createDataFrame(list(enumerate(asked)), "q int, q_norm string"))
-    return texts.join(F.broadcast(top), "hit").join(named, "q").select(*names, "q_norm", "score", "rank")
+    return texts.join(F.broadcast(top), "hit").join(named, "q").select(*_ROW, "q_norm", "score", "rank")
 
 
 def _order_of(rows: pa.Table) -> np.ndarray:
@@ -515,10 +550,49 @@ def containment_top(query: DataFrame, library: DataFrame, k: int = sm.TOP) -> Da
         best = _shared_lists(forms.withColumnRenamed("norm", "q_norm"), library).join(lib, "norm").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     else:
         best = _top_broadcast([r["norm"] for r in asked], lib, k)
+    return _at_sentences(best, query)
+
+
+def _at_sentences(best: DataFrame, query: DataFrame) -> DataFrame:
     qs = query.select(F.col("doc_id").alias("q_doc"), F.col("idx").alias("q_idx"), F.col("norm").alias("q_norm"))
     return best.join(qs, "q_norm").select("q_doc", "q_idx", "q_norm", "doc_id", "s_idx", "s_display", "norm", "score", "rank")
 
 
+def literal_and_contained(query: DataFrame, library: DataFrame, k: int = sm.TOP) -> tuple[DataFrame, DataFrame]:
+    """:func:`literal_matches`, and :func:`containment_top` of the sentences that these leave pending.
+
+    Both in one scan of the library where the query side is broadcast: a form's k best do not depend on other forms, so a task
+    keeps them for every form that may be left, and which are is known afterwards. What leaves the scan is held on disk."""
+    forms = _few(query.select("norm", "fp").distinct())
+    if forms is None:
+        literal = literal_matches(query, library)
+        return literal, containment_top(pending(query, literal), library, k)
+    names = list(dict.fromkeys(r["norm"] for r in forms if len(r["norm"]) >= MIN_PENDING))
+    meet, asked = _meets([r for r in forms if r["fp"]], [*_ROW[1:]])
+    held = library.sparkSession.sparkContext.broadcast((asked, names, *_bigram_rows(names)))
+    columns = [*_ROW, "q_norm", "d", "m", "min_block", "best"]
+    kinds = dict.fromkeys(columns, pa.int32()) | {"norm": pa.string(), "q_norm": pa.string(), "best": pa.list_(pa.struct([("q", pa.int32()), ("score", pa.float64())]))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, *sets = held.value
+        tops = _Tops(k, *sets)
+
+        def filled(x: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([x.column(c) if c in x.schema.names else pa.nulls(x.num_rows, kinds[c]) for c in columns], columns)
+
+        for batch in batches:
+            yield from map(filled, meet(batch, *asked))
+            tops.add(batch)
+        yield from map(filled, tops.rows())
+
+    lib = library.select("norm", "doc_id", F.col("idx").alias("s_idx"), F.col("display").alias("s_display"))
+    of_row = ", ".join(f"{c} {lib.schema[c].dataType.simpleString()}" for c in _ROW)
+    x = lib.mapInArrow(run, f"{of_row}, q_norm string, d int, m int, min_block int, {_BEST}").withColumn("hit", F.xxhash64(*_ROW)).persist(StorageLevel.DISK_ONLY)
+    literal = _with_sentences(x.where("best is null").select(*_ROW[1:], "q_norm", "d", "m", "min_block"), query)
+    best = _top_of_tasks(names, x.where("best is not null").select(*_ROW, "best", "hit"), k)
+    return literal, _at_sentences(best, pending(query, literal))
+
+
 def vector_top(query: DataFrame, library: DataFrame, vectors: DataFrame, k: int = sm.TOP) -> DataFrame:
     """As ``containment_top``, by the cosine of the normal forms' vectors (norm, vec). Forms without one match none."""
     vec = vectors.select("norm", "vec").dropDuplicates(["norm"])
@@ -535,7 +609,12 @@ def fallback_matches(query: DataFrame, library: DataFrame, vectors: DataFrame |
     ``vectors`` (norm, vec; of both sides) are given, by their cosine."""
     if vectors is not None:
         return _decided(vector_top(query, library, vectors), F.col("score"), sm.COSINE_RECALL, sm.COSINE_STRONG)
-    return _decided(containment_top(query, library), F.col("score"), sm.CONTAIN_RECALL, sm.CONTAIN_STRONG)
+    return decided(containment_top(query, library))
+
+
+def decided(top: DataFrame) -> DataFrame:
+    """The matches among what contains most of pending sentences (rows of :func:`containment_top`)."""
+    return _decided(top, F.col("score"), sm.CONTAIN_RECALL, sm.CONTAIN_STRONG)
 
 
 def _unit(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -632,6 +711,9 @@ def cosine_top(query: DataFrame, library: DataFrame, k: int = sm.TOP) -> DataFra
 
 def all_matches(query: DataFrame, library: DataFrame, *, fallback: bool = True, vectors: DataFrame | None = None) -> DataFrame:
     """Literal matches and, for sentences without one, the fallback's."""
+    if fallback and vectors is None:
+        literal, top = literal_and_contained(query, library)
+        return literal.unionByName(decided(top))
     literal = literal_matches(query, library)
     return literal.unionByName(fallback_matches(pending(query, literal), library, vectors)) if fallback else literal
 

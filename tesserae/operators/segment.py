@@ -52,10 +52,18 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 _HEADING, _REFERENCES, _END = re.compile(T.HEADING), re.compile(T.REFERENCES), re.compile(f"(?<=[{T.SENTENCE_END}])")
 _NORMAL = str.maketrans(T.PUNCTUATION_FROM, T.PUNCTUATION_TO, T.SPACES)
+_PUNCTUATION = re.compile(f"[{re.escape(T.PUNCTUATION_FROM)}]")
 #: Characters of text whose sentences leave a task together.
 _RUN = 1 << 20
 
 
+def _normal(part: str) -> str:
+    """A part's normal form. ``str.split`` drops the very characters of ``T.SPACES``; looking each character up, as translate
+    does, is left to parts with punctuation that changes."""
+    bare = "".join(part.split())
+    return (bare if bare.isascii() or not _PUNCTUATION.search(bare) else bare.translate(_NORMAL)).lower()
+
+
 def _sentences_of(text: str) -> Iterator[tuple[str, str, int, int]]:
     """display, norm, start, end of a text's sentences, by the rules of :mod:`..functions.text`; offsets count one for each
     line end."""
@@ -70,7 +78,7 @@ def _sentences_of(text: str) -> Iterator[tuple[str, str, int, int]]:
             continue
         heading = _HEADING.match(line) is not None
         for part in (line,) if heading else _END.split(line):
-            norm = part.translate(_NORMAL).lower()
+            norm = _normal(part)
             if heading or len(norm) >= T.MIN_SENTENCE:
                 yield part.strip(T.SPACES), norm, start, start + len(part)
             start += len(part)

@@ -118,8 +118,7 @@ def tier_histogram(spark, d):
 
 
 def containment_top3(spark, d):
-    q, s = asked(spark, d), lib(spark, d)
-    x = overlap.containment_top(overlap.pending(q, overlap.literal_matches(q, s)), s)
+    _, x = overlap.literal_and_contained(asked(spark, d), lib(spark, d))
     return x.select("q_doc", "q_idx", "doc_id", "s_idx", F.bround("score", 6).alias("score"), "rank")
 
 
@@ -129,8 +128,8 @@ def _matches(spark, d):
 
 
 def fallback_matches(spark, d):
-    q, s = asked(spark, d), lib(spark, d)
-    x = overlap.fallback_matches(overlap.pending(q, overlap.literal_matches(q, s)), s)
+    _, top = overlap.literal_and_contained(asked(spark, d), lib(spark, d))
+    x = overlap.decided(top)
     return x.select("q_doc", "q_idx", "doc_id", "s_idx", "tier", F.col("cos").alias("contain"))
 
 

@@ -267,3 +267,42 @@ def test_pairs_far_beyond_their_limit_are_dropped_early(monkeypatch):
         monkeypatch.setattr(sm, "_LANES", lanes)
         monkeypatch.setattr(sm, "_TABLE", table)
         assert (sm.tier_distances_to(patterns, texts, p, t) == expected).all()
+
+
+def test_one_scan_finds_literal_and_contained_matches(spark, monkeypatch):
+    """The library's sentences are read once for both, and the results are those of two scans and of the joins."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    schema = "doc_id long, text string"
+    held = library.library_sentences(spark.createDataFrame([*lines(1, 200), (None, "a line of no document at all")], schema)).persist()
+    lib = overlap.fingerprinted(held.mapInArrow(counted, held.schema))
+    query = overlap.fingerprinted(library.library_sentences(spark.createDataFrame([*lines(2, 30), *lines(1, 9), (71, "a line of no document at all"), (72, "short")], schema)))
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    literal, top = overlap.literal_and_contained(query, lib)
+    found = key(literal), key(top)
+    assert read.value == held.count() and all(len(x) > 9 for x in found)
+    matches = key(overlap.all_matches(query, lib))
+    assert read.value == 2 * held.count()
+    apart = overlap.literal_matches(query, held.transform(overlap.fingerprinted))
+    rest = overlap.pending(query, apart)
+    assert found == (key(apart), key(overlap.containment_top(rest, lib)))
+    assert matches == key(apart.unionByName(overlap.fallback_matches(rest, lib)))
+    monkeypatch.setattr(overlap, "ASKED_FORMS", 0)
+    assert found == tuple(map(key, overlap.literal_and_contained(query, lib)))
+    held.unpersist()
+
+
+def test_normal_forms_by_whole_words():
+    """Spaces of every kind go, wide punctuation becomes plain, and parts without any are not translated."""
+    from tesserae.operators import segment
+
+    assert set(T.SPACES) == {chr(i) for i in range(0x110000) if not chr(i).split()}
+    rnd = random.Random(3)
+    for _ in range(3000):
+        part = "".join(rnd.choice(T.SPACES + T.PUNCTUATION_FROM + "aBÄß漢İ🙂.,\x00") for _ in range(rnd.randint(0, 12)))
+        assert segment._normal(part) == part.translate(segment._NORMAL).lower()
